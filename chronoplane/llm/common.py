@@ -76,3 +76,17 @@ def connected_components(edges: DataFrame, tag: str = "components", rounds: int
     else:
         raise RuntimeError(f"components did not converge in {rounds} rounds")
     return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+
+
+def block_pairs(members: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
+    """Deal each group of ``members`` over cells of two blocks with about ``size`` rows each, so no task holds a group.
+
+    A group of n rows gets b = ceil(n / size) blocks and its rows go to the b cells of their block; every two rows
+    of a group meet in exactly one cell (lo, hi), lo <= hi, rows of the same block in cell (lo, lo). Small groups have
+    the one cell (0, 0). Adds columns lo, hi and mine, the row's block.
+    """
+    large = members.groupBy(*keys).count().filter(F.col("count") > size).select(*keys, F.ceil(F.col("count") / F.lit(size)).cast("int").alias("blocks"))
+    dealt = members.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(11), F.col(item)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", "blocks")
