@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, rarer_collection, split_chunks
+from .chunks import Memo, plain_word, rarer_collection, split_chunks
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -120,7 +120,7 @@ class TreeEncoder:
             known.clear()
         for chunk in chunks:
             parts = []
-            for match in find(chunk):
+            for match in (chunk,) if plain_word(chunk) else find(chunk):
                 packed = known.get(match)
                 if packed is None:
                     ids = self.piece(match.encode())

@@ -23,10 +23,15 @@ def rarer_collection() -> None:
     gc.set_threshold(500_000, 50, 100)
 
 
+def plain_word(chunk: str) -> bool:
+    """Whether a chunk is one match of the pattern: letters, perhaps after one space."""
+    return (chunk[1:] if chunk[:1] == " " else chunk).isalpha()
+
+
 class Memo(dict):
     """chunk -> value, filled by batches; emptied when it holds ``limit`` entries, so memory stays bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 600_000, longest: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 1_200_000, longest: int = 64):
         super().__init__()
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
 
@@ -34,11 +39,14 @@ class Memo(dict):
         """The values of each list of chunks; long chunks, which hardly ever repeat, are not kept."""
         if len(self) > self.limit:
             self.clear()
-        new = [c for c in set().union(*texts) if c not in self]
-        self.update(zip(new, self.encode_many(new), strict=True))
-        get = self.__getitem__
+        get = self.get
         out = [list(map(get, chunks)) for chunks in texts]
-        for c in new:
-            if len(c) > self.longest:
-                del self[c]
+        new: dict[str, bytes | None] = {}
+        holes = [(values, chunks) for values, chunks in zip(out, texts, strict=True) if None in values]
+        for values, chunks in holes:
+            new.update((c, None) for c, v in zip(chunks, values, strict=True) if v is None)
+        new = dict(zip(new, self.encode_many(list(new)), strict=True))
+        for values, chunks in holes:
+            values[:] = [new[c] if v is None else v for c, v in zip(chunks, values, strict=True)]
+        self.update((c, v) for c, v in new.items() if len(c) <= self.longest)
         return out

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .chunks import Memo, rarer_collection, split_chunks
+from .chunks import Memo, plain_word, rarer_collection, split_chunks
 
 NONE = np.iinfo(np.int64).max
+MARKS = ",.!?;:"  # marks that are a match and a symbol by themselves after a letter
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,7 +34,7 @@ def byte_letters() -> dict[str, int]:
 class ArrayMerger:
     """Encode batches of byte-level pre-tokens with a ``tokenizers`` BPE file by rank-synchronous merging."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000):
+    def __init__(self, path: str, pattern: str, limit: int = 1_200_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -51,6 +52,7 @@ class ArrayMerger:
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self._table(keys)
         self.find = regex.compile(pattern).findall
+        self.mark = {m: int(self.first[ord(m)]).to_bytes(4, "little") for m in MARKS}
         self.memo = Memo(self.encode_chunks, limit=limit)
 
     def _table(self, keys: np.ndarray, bits: int = 20) -> None:
@@ -146,15 +148,34 @@ class ArrayMerger:
         return at[(np.arange(len(at)) - first) % 2 == 0]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk's ids as little-endian unsigned 32-bit integers."""
+        """Each chunk's ids as little-endian unsigned 32-bit integers.
+
+        A word with one mark after it shares the word's ids, whether those are in the memo or made here.
+        """
         if not chunks:
             return []
-        found = [self.find(c) for c in chunks]
-        ids, lengths = self.merge([p.encode() for f in found for p in f])
+        own: dict[str, list[str]] = {}
+        for c in chunks:
+            if plain_word(c):
+                own[c] = [c]
+            elif c[-1] in MARKS and plain_word(c[:-1]):
+                if c[:-1] not in self.memo:
+                    own[c[:-1]] = [c[:-1]]
+            else:
+                own[c] = self.find(c)
+        ids, lengths = self.merge([p.encode() for f in own.values() for p in f])
         bounds = np.r_[0, np.cumsum(lengths)]
-        ends = bounds[np.cumsum([len(f) for f in found])] * 4
+        ends = (bounds[np.cumsum([len(f) for f in own.values()])] * 4).tolist() if own else []
         data = ids.astype("<u4").tobytes()
-        return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+        made = dict(zip(own, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        out = []
+        for c in chunks:
+            packed = made.get(c)
+            if packed is None:
+                word = c[:-1]
+                packed = (made.get(word) or self.memo[word]) + self.mark[c[-1]]
+            out.append(packed)
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each text its ids; special strings in a text become their special ids, as the library does by default."""
