@@ -78,6 +78,16 @@ class Shingler:
         return np.unique(out)
 
 
+_shinglers: dict[int, Shingler] = {}
+
+
+def shingler(words: int) -> Shingler:
+    """One per worker process, so that its memo lives as long as the worker."""
+    if words not in _shinglers:
+        _shinglers[words] = Shingler(words)
+    return _shinglers[words]
+
+
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """(len(sets), SAMPLES) minima; the sets must not be empty."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -117,7 +127,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     """(doc_id, n_shingles, fingerprint, bands, sketch); the last three are null for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        shingles = shingler(words)
         for batch in batches:
             for start, texts in by_size(batch.column(1), 2 << 20):
                 sets = [shingles(t) for t in texts]
@@ -158,7 +168,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """The pairs (src, dst) whose full shingle sets satisfy 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, of_last = Shingler(words), None, np.zeros(0, dtype=np.uint64)
+        shingles, last, of_last = shingler(words), None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             good = []
             for i, (src, a, b) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
@@ -223,7 +233,7 @@ def links_in_cells(cells: DataFrame, keys: list[str], words: int, percent: int)
     """A spanning forest (src, dst) of the links between components in each cell, decided on full shingle sets."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(words)
+        shingles = shingler(words)
         pdf = pdf.drop_duplicates("doc_id")
         sets = [shingles(t or "") for t in pdf["text"]]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -234,13 +244,15 @@ def links_in_cells(cells: DataFrame, keys: list[str], words: int, percent: int)
         order = order[shared[inverse[order]]]
         rank = np.cumsum(shared) - 1
         column, row = rank[inverse[order]], owner[order]
-        width = max(256, (1 << 24) // max(1, len(sets)))
+        width = max(1, min(int(shared.sum()), (1 << 22) // len(sets)))
         both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        part = np.zeros((len(sets), width), dtype=np.float32)
         for low in range(0, int(shared.sum()), width):
             a, b = np.searchsorted(column, [low, low + width])
-            part = np.zeros((len(sets), width), dtype=np.float32)
-            part[row[a:b], column[a:b] - low] = 1
+            at = row[a:b], column[a:b] - low
+            part[at] = 1
             both += part @ part.T
+            part[at] = 0
         both = np.rint(both).astype(np.int64)
         comp = pdf["component"].to_numpy()
         good = linked(both, sizes[:, None], sizes[None, :], percent) & (comp[:, None] != comp[None, :])
