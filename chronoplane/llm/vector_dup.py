@@ -1,13 +1,14 @@
 """Embedding near-duplicates: spherical k-means cells and blocked cosine products.
 
 Equal vectors of a label are collapsed first, so copies cost nothing. Centroids are fitted on a bounded sample; every
-vector is indexed. A vector lives in the cell of its nearest centroid and also probes the cells whose centroid is at
-most ``slack`` less similar to it. Cells are compared in blocks of bounded size. A task returns, for each vector of its
-cell, the number of links and the smallest vector its links reach there: no pairs leave it.
-
-Two vectors whose cosine is t differ by a vector of length sqrt(2 - 2t); a centroid's similarity to them differs by at
-most that, and by about a sqrt(d)th of it when the difference has no preferred direction. With ``slack`` None a bound
-that no pair can evade is used instead: cells out to twice the angle of the threshold beyond the home cell's.
+vector is indexed. A vector lives in the cell of its nearest centroid a and also probes a cell c when
+u.a - u.c <= k * |a - c|, where k is half the distance of two unit vectors at the threshold: it lies that close to the
+border of the two cells. No link can be missed: if u in a's cell and v in b's did not probe each other's cells,
+(u - v).(a - b) would exceed 2k * |a - b|, so |u - v| > 2k. Cells that hold no vector of the label, or none within the
+threshold's angle, are not probed.
+
+Cells are compared in blocks of bounded size. A task returns, for each vector of its cell, the number of links and the
+smallest vector its links reach there: no pairs leave it.
 """
 
 from __future__ import annotations
@@ -25,37 +26,44 @@ from pyspark.sql import functions as F
 from .common import block_pairs, connected_components, materialize
 
 THRESHOLD = 0.93
-SLACK = 0.35
-SAMPLE = 20_000  # vectors the centroids are fitted on, at most about this many
-CELLS = 256
-PER_CELL = 256
+SAMPLE = 40_000  # vectors the centroids are fitted on, at most about this many
+CELLS = 1_024
+PER_CELL = 1_024
 ITERATIONS = 12
-BLOCK = 1_024
+BLOCK = 3_072
+
+
+def unit(raw: bytes, dim: int) -> np.ndarray:
+    """The unit vector, in double precision, of packed components: doubles, or floats where those hold the same values."""
+    v = np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
+    v = v / np.abs(v).max() + 0.0
+    return v / np.sqrt((v * v).sum())
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, dim, unit binary, print binary): unit and print null for vectors that link with nothing."""
+def packed_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, label, dim, raw binary, print binary): raw and print null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, prints, dims = [], [], []
+            raws, prints, dims = [], [], []
             for vector, label in zip(batch.column(1), batch.column(2), strict=True):
                 x = vector.as_py()
-                unit = None
+                raw = None
                 if label.as_py() is not None and x and None not in x:
                     v = np.array(x, dtype=np.float64)
-                    if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                        v = v / top + 0.0
-                        unit = (v / np.sqrt((v * v).sum())).tobytes()
-                units.append(unit)
-                prints.append(None if unit is None else xxhash.xxh3_128_digest(unit + str(label.as_py()).encode()))
+                    if np.isfinite(v).all() and v.any():
+                        with np.errstate(over="ignore"):
+                            short = v.astype(np.float32)
+                        raw = (short if (short == v).all() else v).tobytes()
+                raws.append(raw)
+                prints.append(None if raw is None else xxhash.xxh3_128_digest(unit(raw, len(x)).tobytes() + str(label.as_py()).encode()))
                 dims.append(len(x) if x else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(units, pa.binary()), pa.array(prints, pa.binary())], names=["id", "label", "dim", "unit", "print"]
+                [batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(prints, pa.binary())], names=["id", "label", "dim", "raw", "print"]
             )
 
     chosen = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    return chosen.mapInArrow(run, "id long, label string, dim int, unit binary, print binary")
+    return chosen.mapInArrow(run, "id long, label string, dim int, raw binary, print binary")
 
 
 def spherical_k_means(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 7) -> np.ndarray:
@@ -76,21 +84,58 @@ def spherical_k_means(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed:
     return centroids
 
 
-def fitted_cells(units: DataFrame, n: int, cells: int, sample: int, per_cell: int) -> dict[int, np.ndarray]:
+def fitted_cells(heads: DataFrame, n: int, cells: int, sample: int, per_cell: int) -> dict[int, np.ndarray]:
     """Centroids for each dimension that occurs in a sample of about ``sample`` of the n vectors, by a hash of their ids."""
     step = max(1, n // sample)
-    rows = units.filter(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(step)) == 0).select("dim", "unit").limit(2 * sample).collect()
+    rows = heads.filter(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(step)) == 0).select("dim", "raw").limit(2 * sample).collect()
     by_dim: dict[int, list[np.ndarray]] = {}
     for r in rows:
-        by_dim.setdefault(r["dim"], []).append(np.frombuffer(r["unit"], dtype=np.float64))
+        by_dim.setdefault(r["dim"], []).append(unit(r["raw"], r["dim"]))
     k = max(1, min(cells, n // per_cell))
     return {d: spherical_k_means(np.stack(v), k) for d, v in by_dim.items()}
 
 
+def compare(cell: int, mixed: bool, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a cell's own vectors with each other and with those that probe the cell: (id, links, root)."""
+    ids, copies, home, block_of = (pdf[c].to_numpy() for c in ("id", "copies", "home", "mine"))
+    own = np.flatnonzero(home == cell)
+    if not len(own):
+        return pd.DataFrame({"id": ids[:0], "links": copies[:0], "root": ids[:0]})
+    x = np.stack([unit(r, d) for r, d in zip(pdf["raw"], pdf["dim"], strict=True)])
+    link = np.empty((len(own), len(ids)), dtype=bool)
+    for start in range(0, len(own), 256):
+        part = own[start : start + 256]
+        cosines = x[part] @ x.T
+        link[start : start + 256] = cosines >= threshold
+        for i, j in np.argwhere(np.abs(cosines - threshold) < 1e-12):  # borderline pairs by one fixed order of summation
+            link[start + i, j] = float((x[part[i]] * x[j]).sum()) >= threshold
+    link[np.arange(len(own)), own] = False
+    if mixed:
+        link &= block_of[own][:, None] != block_of[None, :]
+    # A pair found in both vectors' cells counts in the one with the smaller number.
+    probes = pdf["probes"].to_numpy()
+    for j in np.flatnonzero((home < cell) & link.any(axis=0)):
+        for i in np.flatnonzero(link[:, j]):
+            if (probes[own[i]] == home[j]).any():
+                link[i, j] = False
+    most = np.iinfo(np.int64).max
+    root = ids.copy()
+    while True:
+        new = root.copy()
+        new[own] = np.minimum(new[own], np.where(link, root[None, :], most).min(axis=1))
+        new = np.minimum(new, np.where(link, new[own][:, None], most).min(axis=0))
+        if (new == root).all():
+            break
+        root = new
+    links = copies[own] @ link
+    links[own] = link @ copies
+    linked = links > 0
+    return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": root[linked]})
+
+
 def near_vectors(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
-    slack: float | None = SLACK,
     cells: int = CELLS,
     sample: int = SAMPLE,
     per_cell: int = PER_CELL,
@@ -107,69 +152,47 @@ def near_vectors(
     empty table gives an empty one; other columns are ignored.
     """
     spark = vectors.sparkSession
-    signed = materialize(unit_vectors(vectors, id_col, vector_col, label_col), "vectors-units")
+    signed = materialize(packed_vectors(vectors, id_col, vector_col, label_col), "vectors-packed")
     classes = signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes, "vectors-classes")
     heads = signed.filter("print is not null").join(classes, "print").filter("id = first").dropDuplicates(["print"])
-    heads = materialize(heads.select("id", "label", "dim", "unit", "copies"), "vectors-heads")
+    heads = materialize(heads.select("id", "label", "dim", "raw", "copies"), "vectors-heads")
     n = heads.count()
-    centroids = spark.sparkContext.broadcast(fitted_cells(heads, n, cells, sample, per_cell))  # at most ``cells`` vectors a dimension
-    reach = 2 * math.acos(threshold)
+    fitted = fitted_cells(heads, n, cells, sample, per_cell)  # at most ``cells`` centroids for each length of vectors
+    apart = {d: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for d, c in fitted.items()}  # distances of unit centroids
+    shared = spark.sparkContext.broadcast((fitted, apart))
+    half, angle = math.sqrt(2 - 2 * threshold) / 2 + 1e-9, math.acos(threshold)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, distances = shared.value
         for batch in batches:
-            home, probes = [], []
-            for dim, unit in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                c = centroids.value.get(dim)
-                if c is None:  # a length too rare for the sample: one cell
+            home, probes, cosines = [], [], []
+            for dim, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if dim not in centroids:  # a length too rare for the sample: one cell
                     home.append(0)
                     probes.append([0])
+                    cosines.append([1.0])
                     continue
-                near = c @ np.frombuffer(unit, dtype=np.float64)
+                near = centroids[dim] @ unit(raw, dim)
                 best = int(near.argmax())
-                low = near[best] - slack if slack is not None else math.cos(min(math.pi, math.acos(min(1.0, near[best])) + reach)) - 1e-9
+                found = np.flatnonzero((near[best] - near <= half * distances[dim][best] + 1e-9) | (np.arange(len(near)) == best))
                 home.append(best)
-                probes.append(np.flatnonzero((near >= low) | (np.arange(len(near)) == best)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], names=[*batch.schema.names, "home", "probes"])
+                probes.append(found)
+                cosines.append(near[found])
+            added = [pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(cosines, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "home", "probes", "cosines"])
 
-    placed = materialize(heads.mapInArrow(assign, "id long, label string, dim int, unit binary, copies long, home int, probes array<int>"), "vectors-placed")
+    placed = materialize(heads.mapInArrow(assign, "id long, label string, dim int, raw binary, copies long, home int, probes array<int>, cosines array<double>"), "vectors-placed")
     keys = ["label", "dim", "cell"]
-    members = placed.select("id", "label", "dim", F.explode("probes").alias("cell"))
-    dealt = block_pairs(members, keys, "id", block)
+    reached = placed.select("id", "label", "dim", "home", F.explode(F.arrays_zip("probes", "cosines")).alias("p")).select("id", "label", "dim", "home", F.col("p.probes").alias("cell"), F.col("p.cosines").alias("cosine"))
+    held = reached.filter("cell = home").groupBy(*keys).agg(F.min("cosine").alias("widest"))
+    safe = lambda c: F.acos(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
+    members = reached.join(held, keys).filter(safe(F.col("cosine")) <= safe(F.col("widest")) + F.lit(angle + 1e-6)).select("id", *keys)
+    dealt = block_pairs(materialize(members, "vectors-members"), keys, "id", block)
     # Vectors join their cells only here, so that what is counted and dealt above is narrow.
-    rows = dealt.select("id", *keys, "lo", "hi", "mine").join(placed.select("id", "unit", "copies", "home", "probes"), "id")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, mixed = key[2], key[3] != key[4]
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        x = np.stack([np.frombuffer(u, dtype=np.float64) for u in pdf["unit"]])
-        home, block_of = pdf["home"].to_numpy(), pdf["mine"].to_numpy()
-        link = x @ x.T >= threshold
-        close = np.abs(x @ x.T - threshold) < 1e-12  # decide borderline pairs by one fixed order of summation
-        for i, j in np.argwhere(close):
-            link[i, j] = float((x[i] * x[j]).sum()) >= threshold
-        np.fill_diagonal(link, False)
-        own = home == cell
-        link &= own[:, None] | own[None, :]
-        if mixed:
-            link &= block_of[:, None] != block_of[None, :]
-        # A pair with one foreign vector may be found in both home cells; it counts in the one with the smaller number.
-        probes = [set(p) for p in pdf["probes"]]
-        for i in np.flatnonzero(~own):
-            if home[i] < cell:
-                for j in np.flatnonzero(link[i]):
-                    if home[i] in probes[j]:
-                        link[i, j] = link[j, i] = False
-        label = np.minimum(ids, np.where(link, ids[None, :], np.iinfo(np.int64).max).min(axis=1))
-        for _ in range(len(ids)):
-            new = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-            if (new == label).all():
-                break
-            label = new
-        linked = link.any(axis=1)
-        return pd.DataFrame({"id": ids, "links": link @ copies, "root": label})[linked]
-
-    found = materialize(rows.groupBy(*keys, "lo", "hi").applyInPandas(compare, "id long, links long, root long"), "vectors-links")
+    rows = dealt.select("id", *keys, "lo", "hi", "mine").join(placed.select("id", "raw", "copies", "home", "probes"), "id")
+    found = rows.groupBy(*keys, "lo", "hi").applyInPandas(lambda key, pdf: compare(key[2], key[3] != key[4], pdf, threshold), "id long, links long, root long")
+    found = materialize(found, "vectors-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), "vectors-components")
     of_class = classes.join(links.withColumnRenamed("id", "first"), "first", "left").join(components.select(F.col("node").alias("first"), "component"), "first", "left")
