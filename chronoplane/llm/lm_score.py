@@ -77,82 +77,97 @@ class Symbols:
         rarer_collection()
 
     def __call__(self, text: str) -> np.ndarray:
-        memo, out = self.memo, []
-        if len(memo) > self.limit:
-            self.memo = memo = dict(self.own)
-        for w in text.encode().lower().split():
-            s = memo.get(w)
-            if s is None:
-                s = memo[w] = KNOWN + 1 + xxhash.xxh32_intdigest(w) % (SYMBOLS - KNOWN - 1)
-            out.append(s)
-        return np.array(out, dtype=np.int64)
+        if len(self.memo) > self.limit:
+            self.memo = dict(self.own)
+        memo, words = self.memo, text.encode().lower().split()
+        out = list(map(memo.get, words))
+        if None in out:
+            for i, s in enumerate(out):
+                if s is None:
+                    w = words[i]
+                    out[i] = memo[w] = KNOWN + 1 + xxhash.xxh32_intdigest(w) % (SYMBOLS - KNOWN - 1)
+        return np.array(out, dtype=np.int16)
 
 
 def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One array with WINDOW pads around each text; the positions of all words in it, and each word's text."""
-    pad = np.zeros(WINDOW, dtype=np.int64)
-    line = np.concatenate([x for t in texts for x in (pad, t)] + [pad])
+    pad = np.zeros(WINDOW, dtype=np.int16)
+    line = np.concatenate([x for t in texts for x in (pad, t)] + [pad]).astype(np.int16)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(int(sizes.sum())) + (owner + 1) * WINDOW
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    at = np.arange(int(sizes.sum()), dtype=np.int32) + (owner + 1) * WINDOW
     return line, at, owner
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of each row, written over x; their sums; log-probability of ``chosen``)."""
+    at = x[np.arange(len(x)), chosen]
+    top = x.max(initial=0.0)
+    if top > 60:  # no row needs more than its own largest value, few batches need any
+        top = x.max(axis=1, keepdims=True)
+        x -= top
+        at = at - top[:, 0]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    return x, sums, at - np.log(sums)
 
 
-OFFSETS = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
+OFFSETS = np.array([d for d in range(-WINDOW, WINDOW + 1) if d], dtype=np.int32)
 
 
 def forward(model: Model, line: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
     """Log-probability of each word at ``at``; words come sorted by class inside. ``keep`` returns what training needs."""
     target = line[at]
-    order = np.argsort(target // PER_CLASS, kind="stable")
+    order = np.argsort(target // PER_CLASS, kind="stable")  # 16-bit integers sort by radix
     at, target = at[order], target[order]
     cls, member = target // PER_CLASS, target % PER_CLASS
     context = line[at[:, None] + OFFSETS]
-    x = model["embed"][context].reshape(len(at), -1)
-    h = np.tanh(x @ model["layer"] + model["layer_bias"])
-    outer = log_softmax(h @ model["classes"] + model["class_bias"])
+    x = model["embed"].take(context, axis=0).reshape(len(at), -1)
+    h = x @ model["layer"]
+    h += model["layer_bias"]
+    np.tanh(h, out=h)
+    logits = h @ model["classes"]
+    logits += model["class_bias"]
+    outer, outer_sums, log_class = softmax(logits, cls)
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-    inner = np.empty((len(at), PER_CLASS), dtype=np.float32)
+    logits = np.empty((len(at), PER_CLASS), dtype=h.dtype)
     for c in range(CLASSES):
         a, b = ends[c], ends[c + 1]
         if b > a:
-            inner[a:b] = log_softmax(h[a:b] @ model["members"][c] + model["member_bias"][c])
-    rows = np.arange(len(at))
-    out = np.empty(len(at), dtype=np.float32)
-    out[order] = outer[rows, cls] + inner[rows, member]
-    return out, (context, x, h, outer, inner, cls, member, ends) if keep else None
+            np.matmul(h[a:b], model["members"][c], out=logits[a:b])
+            logits[a:b] += model["member_bias"][c]
+    inner, inner_sums, log_member = softmax(logits, member)
+    out = np.empty(len(at), dtype=h.dtype)
+    out[order] = log_class + log_member
+    return out, (context, x, h, outer, outer_sums, inner, inner_sums, cls, member, ends) if keep else None
 
 
 def gradients(model: Model, held: tuple) -> tuple[Model, np.ndarray, np.ndarray]:
     """Mean gradients of the negative log-probability; those of ``embed`` as (rows touched, their gradients)."""
-    context, x, h, outer, inner, cls, member, ends = held
+    context, x, h, d_outer, outer_sums, d_inner, inner_sums, cls, member, ends = held
     n, rows = len(h), np.arange(len(h))
-    d_outer, d_inner = np.exp(outer), np.exp(inner)
-    d_outer[rows, cls] -= 1
-    d_inner[rows, member] -= 1
-    d_outer /= n
-    d_inner /= n
+    one = h.dtype.type(1 / n)
+    d_outer *= (one / outer_sums)[:, None]
+    d_inner *= (one / inner_sums)[:, None]
+    d_outer[rows, cls] -= one
+    d_inner[rows, member] -= one
     out = {"classes": h.T @ d_outer, "class_bias": d_outer.sum(axis=0), "members": np.zeros_like(model["members"]), "member_bias": np.zeros_like(model["member_bias"])}
     d_h = d_outer @ model["classes"].T
     for c in range(CLASSES):
         a, b = ends[c], ends[c + 1]
         if b > a:
-            out["members"][c] = h[a:b].T @ d_inner[a:b]
-            out["member_bias"][c] = d_inner[a:b].sum(axis=0)
+            np.matmul(h[a:b].T, d_inner[a:b], out=out["members"][c])
+            d_inner[a:b].sum(axis=0, out=out["member_bias"][c])
             d_h[a:b] += d_inner[a:b] @ model["members"][c].T
-    d_h *= 1 - h * h
+    h *= h
+    d_h -= d_h * h
     out["layer"], out["layer_bias"] = x.T @ d_h, d_h.sum(axis=0)
     d_x = (d_h @ model["layer"].T).reshape(-1, WIDTH)
     ids = context.ravel()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return out, ids[starts], np.add.reduceat(d_x[order], starts, axis=0)
+    return out, ids[starts], np.add.reduceat(d_x.take(order, axis=0), starts, axis=0)
 
 
 class Trainer:
@@ -185,7 +200,7 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
         for batch in batches:
             for text in batch.column(0):
                 counts.update((text.as_py() or "").encode().lower().split())
-            if len(counts) > 200_000:
+            if len(counts) > 500_000:
                 yield packed(counts)
                 counts.clear()
         if counts:
