@@ -7,8 +7,6 @@ fit and the capped allocation inside a period are sequential per metric and run
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_div
 from ..operators.intervals import coalesce_intervals, sliced
+from ..storage import written
 from .nnls import nnls
 
 NONE, EXACT, VARIABLE = "none", "exact", "variable"
@@ -58,9 +57,9 @@ def activity(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
     spans = pairs.filter("start_ns < end_ns").select("metric_path", "start_ns", "end_ns", "phase_type", "factor", F.lit(None).cast("struct<p_start:bigint,p_end:bigint>").alias("period"))
     parts = sliced(marks.unionByName(spans), ["metric_path"], "start_ns", "end_ns")
     # Within a slice there is at most one period; every phase active there gets it.
-    of_slice = parts.filter("period is not null").select(F.col("metric_path").alias("m"), F.col("__s").alias("s"), F.col("__e").alias("e"), "period.*")
+    of_slice = parts.filter("period is not null").select("metric_path", "__s", "__e", "period.*")
     phases = parts.filter("period is null").groupBy("metric_path", "__s", "__e", "phase_type").agg(F.sum("factor").alias("n"))
-    met = phases.join(of_slice, (F.col("metric_path") == F.col("m")) & (F.col("__s") == F.col("s")) & (F.col("__e") == F.col("e")))
+    met = phases.join(of_slice, ["metric_path", "__s", "__e"])
     share = F.col("n") * (F.col("__e") - F.col("__s")) / (F.col("p_end") - F.col("p_start"))
     return met.groupBy("metric_path", F.col("p_start").alias("start_ns"), F.col("p_end").alias("end_ns"), "phase_type").agg(F.sum(share).alias("active"))
 
@@ -89,7 +88,8 @@ def fitted_rules(metrics: DataFrame, pairs: DataFrame, overrides: DataFrame | No
         x = nnls(a, np.maximum(y, 0))
         return pd.DataFrame({"metric_path": key[0], "phase_type": list(columns), "coefficient": x})
 
-    fits = metrics.select("metric_path", "start_ns", "value").groupBy("metric_path").cogroup(acts.groupBy("metric_path")).applyInPandas(fit, "metric_path string, phase_type string, coefficient double")
+    acts = acts.select(F.col("metric_path").alias("of_metric"), F.col("start_ns").alias("start_ns"), F.col("phase_type").alias("phase_type"), F.col("active").alias("active"))
+    fits = metrics.select("metric_path", "start_ns", "value").groupBy("metric_path").cogroup(acts.groupBy("of_metric")).applyInPandas(fit, "metric_path string, phase_type string, coefficient double")
     # A type without activity in any period still has a rule, with demand 0.
     rules = plain.join(fits, ["metric_path", "phase_type"], "left").select("metric_path", "phase_path", F.lit(VARIABLE).alias("kind"), F.coalesce("coefficient", F.lit(0.0)).alias("demand"))
     if given is not None:
@@ -199,16 +199,16 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
     spans = rules.filter(F.col("kind") != NONE).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").filter("start_ns < end_ns")
     rows = level.unionByName(spans.select("metric_path", "start_ns", "end_ns", "phase_path", "kind", "demand"), allowMissingColumns=True)
     parts = sliced(rows, ["metric_path"], "start_ns", "end_ns")
-    at = parts.filter("phase_path is null").groupBy(F.col("metric_path").alias("m"), F.col("__s").alias("s"), F.col("__e").alias("e")).agg(*(F.max(c).alias(c) for c in ("u", "cap", "x", "v"))).filter("u is not null")
+    at = parts.filter("phase_path is null").groupBy("metric_path", "__s", "__e").agg(*(F.max(c).alias(c) for c in ("u", "cap", "x", "v"))).filter("u is not null")
     own = parts.filter("phase_path is not null").select("metric_path", "phase_path", "kind", F.col("demand").alias("d"), "__s", "__e")
-    met = own.join(at, (F.col("metric_path") == F.col("m")) & (F.col("__s") == F.col("s")) & (F.col("__e") == F.col("e")))
+    met = own.join(at, ["metric_path", "__s", "__e"])
 
     def part_of(total: Column, when_zero: Column) -> Column:
         as_exact = F.least(ieee_div(total * F.col("d"), F.col("x")), F.col("d"))
         as_variable = ieee_div(F.greatest(total - F.col("x"), F.lit(0.0)) * F.col("d"), F.col("v"))
         return F.when(F.col("d") == 0, when_zero).when(F.col("kind") == EXACT, as_exact).otherwise(as_variable)
 
-    steps = met.select("metric_path", "phase_path", F.col("s").alias("start_ns"), F.col("e").alias("end_ns"), part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
+    steps = met.select("metric_path", "phase_path", F.col("__s").alias("start_ns"), F.col("__e").alias("end_ns"), part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
     return coalesce_intervals(steps, ["metric_path", "phase_path"], ["usage", "capacity"], "start_ns", "end_ns")
 
 
@@ -233,37 +233,48 @@ def attribute_composites(leaves: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 class Attribution:
-    """The steps over one job, lazily; ``only`` restricts the pairs that are attributed, before anything is computed."""
+    """The steps over one job. Each step's result is written once: later steps use it several times."""
 
     def __init__(self, metrics: DataFrame, phases: DataFrame, aliases: dict[str, str] | None = None, overrides: DataFrame | None = None, rules: DataFrame | None = None):
         self.metrics, self.phases = metrics, phases
-        self._aliases, self._overrides, self._rules = aliases or {}, overrides, rules
+        self._aliases, self._overrides = aliases or {}, overrides
+        self._rules, self._demands = rules, {}
+        self._stored = False
+
+    def _inputs(self) -> None:
+        if not self._stored:
+            self.metrics, self.phases, self._stored = written(self.metrics, "metrics"), written(self.phases, "phases"), True
 
     def rules(self) -> DataFrame:
         if self._rules is None:
-            pairs = candidate_pairs(self.metrics, self.phases, self._aliases)
-            self._rules = fitted_rules(self.metrics, pairs, self._overrides)
+            self._inputs()
+            pairs = written(candidate_pairs(self.metrics, self.phases, self._aliases), "pairs")
+            self._rules = written(fitted_rules(self.metrics, pairs, self._overrides), "rules")
         return self._rules
 
     def save_rules(self, path: str) -> None:
         """Rules as a Parquet table, to be given to a later Attribution."""
         self.rules().write.mode("overwrite").parquet(path)
 
-    def demands(self) -> Iterator[DataFrame]:
-        for kind in (EXACT, VARIABLE):
-            yield demand(self.metrics, self.rules(), self.phases, kind)
+    def demand(self, kind: str) -> DataFrame:
+        if kind not in self._demands:
+            rules = self.rules()
+            self._inputs()
+            self._demands[kind] = written(demand(self.metrics, rules, self.phases, kind), "demand")
+        return self._demands[kind]
 
     def upsampled(self) -> DataFrame:
-        return upsample(self.metrics, *self.demands())
+        exact, variable = self.demand(EXACT), self.demand(VARIABLE)
+        return upsample(self.metrics, exact, variable)
 
     def attributed(self) -> DataFrame:
         """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of all phases."""
-        exact, variable = self.demands()
-        leaves = attribute_leaves(self.rules(), self.phases, upsample(self.metrics, exact, variable), exact, variable)
+        exact, variable = self.demand(EXACT), self.demand(VARIABLE)
+        leaves = written(attribute_leaves(self.rules(), self.phases, written(self.upsampled(), "upsampled"), exact, variable), "leaves")
         return leaves.unionByName(attribute_composites(leaves, self.phases))
 
-    def only(self, metrics: Column | None = None, phases: Column | None = None) -> Attribution:
-        """Restrict to metrics and to phases, whose leaves below are kept; rules are fitted on all phases of the metrics."""
-        kept = self.metrics if metrics is None else self.metrics.filter(metrics)
-        out = Attribution(kept, self.phases, self._aliases, self._overrides, self._rules)
-        return out
+    def only(self, metrics: Column | None = None) -> Attribution:
+        """Restricted to some metrics before anything is computed; rules are fitted per metric, so they stay the same."""
+        if metrics is None:
+            return self
+        return Attribution(self.metrics.filter(metrics), self.phases, self._aliases, self._overrides, self._rules)

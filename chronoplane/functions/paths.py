@@ -33,7 +33,7 @@ def matches_either(a: Column, b: Column) -> Column:
     regex = F.replace(quoted, F.lit("**"), F.lit("\\E\x00\\Q"))
     regex = F.replace(F.replace(regex, F.lit("*"), F.lit(r"\E[^/]*\Q")), F.lit("\x00"), F.lit(".*"))
     regex = F.concat(F.lit(r"(?s)\A(?:"), regex, F.lit(r")\z"))
-    return F.when(wild_a & wild_b, F.raise_error(F.lit("both sides of a match have wildcards")).cast("boolean")).when(wild_a | wild_b, path.rlike(regex)).otherwise(a == b)
+    return F.when(wild_a & wild_b, F.raise_error(F.lit("both sides of a match have wildcards")).cast("boolean")).when(wild_a | wild_b, F.rlike(path, regex)).otherwise(a == b)
 
 
 def _rest(path: Column, ancestor: Column) -> Column:

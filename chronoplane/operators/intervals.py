@@ -88,22 +88,24 @@ def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
 
 
 def change_points(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END, width: float | None = None) -> DataFrame:
-    """(keys, t, i): the distinct change points of each key, numbered in order.
+    """(keys, __t, __i, __next): the distinct change points of each key, numbered in order, and the one that follows.
 
     With ``width`` numbering is done per time bucket and the buckets' counts are added up, so that one key with very
     many change points, or no key at all, is not one task.
     """
     times = df.select(*_cols(keys), F.explode(F.array(F.col(q(start)), F.col(q(end)))).alias("__t")).distinct()
     if width is None:
-        return times.withColumn("__i", F.row_number().over(Window.partitionBy(*_cols(keys)).orderBy("__t")).cast("long"))
-    times = times.withColumn("__b", F.floor(F.col("__t") / F.lit(width)))
-    counts = times.groupBy(*_cols(keys), "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*_cols(keys)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+        order = Window.partitionBy(*_cols(keys)).orderBy("__t")
+        return times.withColumns({"__i": F.row_number().over(order).cast("long"), "__next": F.lead("__t").over(order)})
     inside = Window.partitionBy(*_cols(keys), F.col("__b")).orderBy("__t")
-    numbered = times.withColumn("__in", F.row_number().over(inside))
-    joined = numbered.join(counts, [*keys, "__b"]) if not keys else numbered.alias("n").join(counts.alias("c"), _same("n", "c", [*keys, "__b"])).select("n.*", "c.__before")
-    return joined.withColumn("__i", F.col("__before") + F.col("__in")).select(*_cols(keys), "__t", "__i")
+    times = times.withColumn("__b", F.floor(F.col("__t") / F.lit(width)))
+    numbered = times.withColumns({"__in": F.row_number().over(inside), "__next": F.lead("__t").over(inside)})
+    buckets = times.groupBy(*_cols(keys), "__b").agg(F.count("*").alias("__n"), F.min("__t").alias("__low"))
+    order = Window.partitionBy(*_cols(keys)).orderBy("__b")
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select(*_cols(keys), "__b", before.alias("__before"), F.lead("__low").over(order).alias("__after"))
+    joined = numbered.alias("n").join(buckets.alias("c"), _same("n", "c", [*keys, "__b"])).select("n.*", "c.__before", "c.__after")
+    return joined.select(*_cols(keys), "__t", (F.col("__before") + F.col("__in")).alias("__i"), F.coalesce("__next", "__after").alias("__next"))
 
 
 def _same(a: str, b: str, names: Sequence[str]) -> Column:
@@ -125,8 +127,7 @@ def time_slices(df: DataFrame, keys: Sequence[str] = (), start: str = START, end
 
 
 def _slices(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    after = points.select(*_cols(keys), F.col("__t").alias("__e"), (F.col("__i") - 1).alias("__i"))
-    return points.alias("a").join(after.alias("b"), _same("a", "b", [*keys, "__i"])).select(*(F.col(f"a.{q(k)}") for k in keys), F.col("a.__i").alias("__i"), F.col("a.__t").alias("__s"), "b.__e")
+    return points.filter("__next is not null").select(*_cols(keys), "__i", F.col("__t").alias("__s"), F.col("__next").alias("__e"))
 
 
 def sliced(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.intervals import coalesce_intervals, sliced, temporal_join
 from ..schema import BOOLEAN, DURATION, END, NUMERIC, RESERVED, START, PlanError, kind_of, q, require_distinct
 from .expressions import Compiler, conjuncts, has_aggregate, names_in
-from .language import Binary, Name, Select, Star, show
+from .language import Binary, Call, Name, Select, Star, Unary, show
 
 
 @dataclass
@@ -43,9 +43,20 @@ def relation(df: DataFrame, keys: set[str] | list[str], name: str = "table") ->
     return Relation(df.withColumn("__s0", hidden), kinds, keys, ["__s0"], [f"ScanTable {name}"])
 
 
+def unprefixed(e: object, alias: str) -> object:
+    """An expression as it reads without an alias; names of other tables stay and match nothing there."""
+    if isinstance(e, Name):
+        return Name(e.path.removeprefix(alias + ".")) if e.path.startswith(alias + ".") else Name("?" + e.path)
+    if isinstance(e, Call):
+        return Call(e.function, tuple(unprefixed(a, alias) for a in e.args))
+    if isinstance(e, Unary):
+        return Unary(e.op, unprefixed(e.arg, alias))
+    return Binary(e.op, unprefixed(e.left, alias), unprefixed(e.right, alias)) if isinstance(e, Binary) else e
+
+
 @dataclass
 class Planner:
-    """lookup: gives the relation of a table name. narrow: may filter a source before it is computed (attribution)."""
+    """lookup: gives the relation of a table name, and may use the conditions given with it to compute less of it."""
 
     lookup: Callable[[str, list], Relation]
     observed: list[tuple[str, object]] | None = None  # (node, Observation) where statistics are asked for
@@ -92,7 +103,8 @@ class Planner:
         if isinstance(table, Select):
             rel = self.plan(table)
         else:
-            rel = self.lookup(table, [e for e in (conjuncts(s.where) if s.where is not None else []) if not joined and alias is None])
+            parts = conjuncts(s.where) if s.where is not None else []
+            rel = self.lookup(table, [unprefixed(e, alias) for e in parts] if alias else [] if joined else parts)
         if alias is None:
             return self.note(rel)
         # Un-prefixed reserved columns, and every column with its prefix.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,8 +40,9 @@ def whole_texts(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     if not paths:
         return {}
     rows = spark.read.text(paths, wholetext=True).selectExpr("value", "_metadata.file_path AS path").collect()
-    names = {p.partition(":")[2].lstrip("/"): p for p in paths}
-    return {names[r["path"].partition(":")[2].lstrip("/")]: r["value"] for r in rows}
+    bare = lambda p: re.sub(r"^[a-zA-Z][\w+.-]*:", "", p).lstrip("/")
+    names = {bare(p): p for p in paths}
+    return {names[bare(unquote(r["path"]))]: r["value"] for r in rows}
 
 
 def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -1,0 +1 @@
+"""Nothing here: the engine analyses finished jobs, and its query language has no streams."""
