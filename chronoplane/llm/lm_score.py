@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import rarer_collection
+from .common import materialize
 
 WINDOW = 2
 CLASSES = 36
@@ -213,18 +214,44 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(known).collect()]
 
 
-def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """One pass over all documents in ``rounds`` rounds of averaged local training."""
-    spark, model = docs.sparkSession, initial_model(seed)
+def as_symbols(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, symbols binary): every text's words as 16-bit symbols, written once and read by all later passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(shared.value)
+        for batch in batches:
+            for start, texts in by_size(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([symbols(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "symbols"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, symbols binary"), "lm-symbols")
+
+
+def parts_of(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Consecutive parts of a batch of symbol arrays with about ``most`` words each."""
+    start, part, held = 0, [], 0
+    for i, x in enumerate(column):
+        part.append(np.frombuffer(x.as_py(), dtype=np.int16))
+        held += len(part[-1])
+        if held >= most:
+            yield start, part
+            start, part, held = i + 1, [], 0
+    if part:
+        yield start, part
+
+
+def train(symbols: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """One pass over all documents of (doc_id, symbols) in ``rounds`` rounds of averaged local training."""
+    spark, model = symbols.sparkSession, initial_model(seed)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((words, model))
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, start = shared.value
-            symbols, trainer = Symbols(own), Trainer(start)
+            trainer = Trainer(shared.value)
             for batch in batches:
-                for _, texts in by_size(batch.column(0), 2 << 20):
-                    trainer.learn([symbols(t) for t in texts])
+                for _, texts in parts_of(batch.column(0)):
+                    trainer.learn(texts)
             if trainer.words:
                 values = flat(trainer.model).astype(np.float64) * trainer.words
                 parts = [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
@@ -236,8 +263,8 @@ def train(docs: DataFrame, words: list[str], rounds: int = ROUNDS, seed: int = 5
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "bucket": pdf["bucket"].iloc[:1], "words": [pdf["words"].sum()], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]})
 
         kinds = "block int, bucket int, words double, sums array<double>"
-        mine = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-        trained = mine.select("text").mapInArrow(run, kinds).groupBy("block", "bucket").applyInPandas(add, kinds).groupBy("block").applyInPandas(add, kinds)
+        mine = symbols.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+        trained = mine.select("symbols").mapInArrow(run, kinds).groupBy("block", "bucket").applyInPandas(add, kinds).groupBy("block").applyInPandas(add, kinds)
         rows = sorted(trained.collect(), key=lambda x: x["block"])
         if rows:
             model = unflat(np.concatenate([np.array(x["sums"]) / x["words"] for x in rows]))
@@ -260,19 +287,16 @@ def score_documents(docs: DataFrame, words: list[str] | None = None, model: Mode
     Null, empty and blank texts have no words, log_prob 0 and a null mean. Repeated rows are trained on and scored
     each; an empty table gives an empty one, other columns are ignored. Very long texts take memory in proportion.
     """
-    docs = docs.select("doc_id", "text")
     words = vocabulary(docs) if words is None else words
-    model = train(docs, words) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast((words, model))
+    symbols = as_symbols(docs, words)
+    model = train(symbols) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(shared.value[0])
         for batch in batches:
-            for start, texts in by_size(batch.column(1), 2 << 20):
-                ids = [symbols(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(score_texts(shared.value[1], ids))], names=["doc_id", "n_words", "log_prob"]
-                )
+            for start, texts in parts_of(batch.column(1)):
+                scores = pa.array(score_texts(shared.value, texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in texts], pa.int64()), scores], names=["doc_id", "n_words", "log_prob"])
 
-    scored = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
+    scored = symbols.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -99,7 +99,7 @@ def test_training_lowers_loss_and_prefers_real_order(spark, sf):
         for w in r.text.encode().lower().split():
             counted[w] = counted.get(w, 0) + 1
     assert words == [w.decode() for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: lm_score.KNOWN]]
-    model = lm_score.train(docs, words)
+    model = lm_score.train(lm_score.as_symbols(docs, words))
     scored = {r.doc_id: r for r in lm_score.score_documents(docs, words, model).collect()}
     before = {r.doc_id: r for r in lm_score.score_documents(docs, words, lm_score.initial_model()).collect()}
     assert len(scored) == docs.count()
