@@ -126,7 +126,8 @@ def training_sample(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int =
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a document is never learned from; one without an id may be."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def identify_languages(docs: DataFrame, sample: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, cell: in
     Documents are linked where 100 * intersection >= percent * union, with a default of five words and 0.8; a
     component's id is its smallest document id. Null, empty and blank texts have no shingles and are linked with
     nothing. Rows repeated with the same id are in one component, of course, and come back as often as they were
-    there. An empty table gives an empty one; other columns are ignored. Very long texts cost memory in proportion.
+    there; one without an id is kept unless it is a copy of one with an id. An empty table gives an empty one; other columns are ignored. Very long texts cost memory in proportion.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(texts, words, "doc_id", "text"), "near-signatures")
@@ -308,4 +308,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, cell: in
 
     of_class = classes.join(components.select(F.col("node").alias("first"), "component"), "first", "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(of_class, "fingerprint", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

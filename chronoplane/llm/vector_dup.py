@@ -200,4 +200,4 @@ def near_vectors(
     out = signed.select("id", "print").join(of_class, "print", "left")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

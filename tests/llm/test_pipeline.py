@@ -56,3 +56,14 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_clashing_columns_and_missing_ids(spark):
+    odd = [(*r, 7.5, "keep", 1) for r in rows()[:20]] + [(None, rows()[0][1], "de", "s", 0, 1.5, "me", 2), (None, rows()[0][1], "de", "s", 0, 2.5, None, 3)]
+    docs = spark.createDataFrame(odd, SCHEMA + ", score double, pii_spans string, bucket int")
+    for stage, n in ((pipeline.identify, 22), (pipeline.deduplicate, 22), (pipeline.mask, 22)):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == n
+        assert {(r.doc_id, r.score, r.pii_spans, r.bucket) for r in out.collect()} == {(r[0], *r[5:]) for r in odd}
+    packed = pipeline.pack(spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in packed) == 2 and len(packed) == 22
