@@ -19,6 +19,12 @@ from chronoplane.llm.packing import pack_documents
 from chronoplane.llm.pii import find_pii, masked_text
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names renamed, and how to name them back: operators add columns with such names."""
+    moved = {n: f"__own_{n}" for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language learned from the labelled ones.
 
@@ -27,21 +33,27 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     only texts without a letter are rejected.
     """
     sample = training_sample(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    judged = identify_languages(docs, sample)
+    own, back = set_aside(docs, ("lang_pred", "score", "rate"))
+    judged = identify_languages(own, sample)
     kept = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("rate") < REJECT_RATE)) if sample else judged.filter(F.col("text").rlike(r"\p{L}"))
     found = F.coalesce("lang", F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred")))
-    return kept.withColumn("lang", found).select(*docs.columns)
+    return kept.withColumn("lang", found).drop("lang_pred", "score", "rate").withColumnsRenamed(back).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five words, 0.8): the one with the smallest id, once."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keep one document of each group of near duplicates (five words, 0.8): the one with the smallest id, once.
+
+    Documents without an id stay.
+    """
+    named = docs.filter("doc_id is not null")
+    kept = near_duplicates(named).filter("kept").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and secrets by their kind in brackets; ``n_chars`` follows the text."""
-    masked = masked_text(find_pii(docs))
+    own, back = set_aside(docs, ("pii_spans",))
+    masked = masked_text(find_pii(own)).withColumnsRenamed(back)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
