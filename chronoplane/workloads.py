@@ -211,7 +211,7 @@ dialect("agg_count", "FROM states GROUP BY path, state SELECT path, state, COUNT
 dialect("agg_count_if", 'FROM states GROUP BY path SELECT path, COUNT_IF(state = "click") AS n;', "SELECT path, count_if(state = 'click')::DOUBLE AS n FROM states GROUP BY path")
 dialect("agg_min", "FROM states GROUP BY path SELECT path, MIN(amount) AS low, MIN(state) AS first, MIN(amount > 10) AS every;", "SELECT path, min(amount) AS low, min(state) AS first, bool_and(amount > 10) AS every FROM states GROUP BY path")
 dialect("agg_max", "FROM states GROUP BY path SELECT path, MAX(amount) AS high, MAX(state) AS last, MAX(amount > 480) AS some;", "SELECT path, max(amount) AS high, max(state) AS last, bool_or(amount > 480) AS some FROM states GROUP BY path")
-dialect("agg_sum", "FROM states GROUP BY state SELECT state, SUM(amount) AS total, SUM(amount * _duration) AS area;", "SELECT state, sum(amount) AS total, sum(amount * _duration) AS area FROM states GROUP BY state")
+dialect("agg_sum", "FROM states GROUP BY state SELECT state, SUM(amount) AS total, SUM(amount * _duration / 1000000) AS area;", "SELECT state, sum(amount) AS total, sum(amount * _duration / 1e6) AS area FROM states GROUP BY state")
 dialect("agg_avg", "FROM states GROUP BY state SELECT state, AVG(amount) AS mean;", "SELECT state, avg(amount) AS mean FROM states GROUP BY state")
 dialect("agg_weighted_avg", "FROM states GROUP BY state SELECT state, WEIGHTED_AVG(amount, _duration) AS mean, WEIGHTED_AVG(amount, amount - amount) AS undefined;", "SELECT state, sum(amount * _duration) / sum(_duration) AS mean, 'NaN'::DOUBLE AS undefined FROM states GROUP BY state")
 dialect("agg_avg_over_time", "FROM metrics GROUP BY type SELECT type, AVG_OVER_TIME(usage) AS mean;", """SELECT type, sum("usage" * (_end_time - _start_time)) / sum(_end_time - _start_time) AS mean FROM metrics GROUP BY type""")
@@ -240,8 +240,8 @@ dialect("temporal_join_keyless", 'FROM states AS a TEMPORAL JOIN states AS b WHE
 dialect("temporal_join_chain", "FROM metrics AS m TEMPORAL JOIN states AS s TEMPORAL JOIN metrics AS n WHERE m.path = n.path AND PATH_PREFIX(m.path, 2) = s.path SELECT m.path AS path, s.state AS state, n.usage AS used, _duration;",
         """SELECT m.path, s.state, n."usage" AS used, least(m._end_time, s._end_time, n._end_time) - greatest(m._start_time, s._start_time, n._start_time) AS _duration FROM metrics m JOIN states s ON regexp_extract(m.path, '^(.*):value$', 1) = s.path
            AND m._start_time < s._end_time AND s._start_time < m._end_time JOIN metrics n ON m.path = n.path AND n._start_time < least(m._end_time, s._end_time) AND greatest(m._start_time, s._start_time) < n._end_time""")
-dialect("temporal_join_then_agg", "FROM metrics AS m TEMPORAL JOIN states AS s WHERE PARENT_OF(m.path) = s.path GROUP BY s.state SELECT s.state AS state, SUM(m.usage * (_end_time - _start_time)) AS area;",
-        """SELECT s.state, sum(m."usage" * (least(m._end_time, s._end_time) - greatest(m._start_time, s._start_time))) AS area FROM metrics m JOIN states s ON regexp_extract(m.path, '^(.*):value$', 1) = s.path AND m._start_time < s._end_time AND s._start_time < m._end_time GROUP BY s.state""")
+dialect("temporal_join_then_agg", "FROM metrics AS m TEMPORAL JOIN states AS s WHERE PARENT_OF(m.path) = s.path GROUP BY s.state SELECT s.state AS state, SUM(m.usage * (_end_time - _start_time) / 1000000) AS area;",
+        """SELECT s.state, sum(m."usage" * (least(m._end_time, s._end_time) - greatest(m._start_time, s._start_time)) / 1e6) AS area FROM metrics m JOIN states s ON regexp_extract(m.path, '^(.*):value$', 1) = s.path AND m._start_time < s._end_time AND s._start_time < m._end_time GROUP BY s.state""")
 dialect("view_over_view", "FROM busy GROUP BY state SELECT state, COUNT(path) AS n;", "SELECT state, count(*)::DOUBLE AS n FROM states WHERE amount > 200 AND _duration > 60 GROUP BY state", setup="CREATE TABLE large = FROM states WHERE amount > 200 SELECT *; CREATE TABLE busy = FROM large WHERE _duration > 60 SELECT *;")
 dialect("cached_view", "FROM large GROUP BY path SELECT path, MAX(amount) AS high;", "SELECT path, max(amount) AS high FROM states WHERE amount > 200 GROUP BY path", setup="CREATE TABLE large = FROM states WHERE amount > 200 SELECT *; CACHE TABLE large;")
 
@@ -276,16 +276,12 @@ def _step_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.step_series(states(spark, sf_dir), ["path"], "amount")
 
 
-@built("tree_match", r"SELECT path FROM places WHERE regexp_full_match(path, '/[^/]*/[A-F][^/]*/[^/]+')")
+@built("tree_match", r"SELECT path FROM places WHERE regexp_full_match(path, '/A[^/]*/[^/]*/[^/]*[1-3]')")
 def _tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .model.paths import matches_tree
 
-    table = places(spark, sf_dir)
-    out = None
-    for letter in "ABCDEF":
-        hit = matches_tree(F.col("path"), f"/*/{letter}*/*")
-        out = hit if out is None else out | hit
-    return table.filter(out).select("path")
+    path = F.col("path")
+    return places(spark, sf_dir).filter(matches_tree(path, "/A*/*/*1") | matches_tree(path, "/A*/*/*2") | matches_tree(path, "/x/../A*/*/*3")).select("path")
 
 
 @built("path_prefix_varying", "SELECT path, CASE c_nationkey % 4 WHEN 0 THEN '/' WHEN 1 THEN region WHEN 2 THEN nation ELSE path END AS part FROM (SELECT path, region, nation, c_nationkey FROM places JOIN customer ON path LIKE '%/' || replace(c_name, ' ', '_'))")
