@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, plain_word, rarer_collection, split_chunks
+from .chunks import Memo, plain_word, rarer_collection, sole_holder, split_chunks
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,7 +133,7 @@ class TreeEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        return [b"".join(values) for values in self.memo.values_of([split_chunks(t) for t in texts])]
+        return self.memo.joined(map(split_chunks, texts))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], dtype="<u4").tolist()
@@ -151,6 +151,7 @@ _encoders: dict[tuple[str, str], TreeEncoder] = {}
 
 def encoder(path: str, pattern: str) -> TreeEncoder:
     """One encoder per worker process, so that its memos live as long as the worker."""
+    sole_holder("encoders", _encoders.clear)
     if (path, pattern) not in _encoders:
         rarer_collection()
         _encoders[path, pattern] = TreeEncoder(read_ranks(path), pattern)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 # The characters of the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -23,6 +23,16 @@ def rarer_collection() -> None:
     gc.set_threshold(500_000, 50, 100)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def sole_holder(name: str, clear: Callable[[], None]) -> None:
+    """Worker processes outlive their tasks: keep the memos of one operator at a time, those of the one that runs now."""
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+    _held[name] = clear
+
+
 def plain_word(chunk: str) -> bool:
     """Whether a chunk is one match of the pattern: letters, perhaps after one space."""
     return (chunk[1:] if chunk[:1] == " " else chunk).isalpha()
@@ -35,18 +45,25 @@ class Memo(dict):
         super().__init__()
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
 
-    def values_of(self, texts: list[list[str]]) -> list[list]:
-        """The values of each list of chunks; long chunks, which hardly ever repeat, are not kept."""
+    def joined(self, texts: Iterable[list[str]]) -> list[bytes]:
+        """The values of each list of chunks, joined; long chunks, which hardly ever repeat, are not kept.
+
+        Lists may come from a generator: each is looked up while it is still in the processor's caches.
+        """
         if len(self) > self.limit:
             self.clear()
-        get = self.get
-        out = [list(map(get, chunks)) for chunks in texts]
+        get, out, holes = self.get, [], []
         new: dict[str, bytes | None] = {}
-        holes = [(values, chunks) for values, chunks in zip(out, texts, strict=True) if None in values]
-        for values, chunks in holes:
-            new.update((c, None) for c, v in zip(chunks, values, strict=True) if v is None)
+        for chunks in texts:
+            values = list(map(get, chunks))
+            if None in values:
+                holes.append((len(out), chunks, values))
+                new.update((c, None) for c, v in zip(chunks, values, strict=True) if v is None)
+                out.append(b"")
+            else:
+                out.append(b"".join(values))
         new = dict(zip(new, self.encode_many(list(new)), strict=True))
-        for values, chunks in holes:
-            values[:] = [new[c] if v is None else v for c, v in zip(chunks, values, strict=True)]
+        for i, chunks, values in holes:
+            out[i] = b"".join([new[c] if v is None else v for c, v in zip(chunks, values, strict=True)])
         self.update((c, v) for c, v in new.items() if len(c) <= self.longest)
         return out

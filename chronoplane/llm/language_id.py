@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import by_size
+from .chunks import sole_holder
 
 SAMPLE_CHARS = 60_000
 SAMPLE_DOCS = 60
@@ -88,6 +89,7 @@ _automata: dict[tuple, list[tuple[str, dict]]] = {}
 
 def automata(sample: tuple[tuple[str, str], ...]) -> list[tuple[str, dict]]:
     """Built once per worker process and sample."""
+    sole_holder("automata", _automata.clear)
     if sample not in _automata:
         _automata.clear()
         _automata[sample] = [(lang, automaton(text)) for lang, text in sample]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .chunks import rarer_collection
+from .chunks import rarer_collection, sole_holder
 from .common import block_pairs, connected_components, materialize
 
 BANDS, ROWS = 32, 6
@@ -83,6 +83,7 @@ _shinglers: dict[int, Shingler] = {}
 
 def shingler(words: int) -> Shingler:
     """One per worker process, so that its memo lives as long as the worker."""
+    sole_holder("shinglers", _shinglers.clear)
     if words not in _shinglers:
         _shinglers[words] = Shingler(words)
     return _shinglers[words]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .chunks import Memo, plain_word, rarer_collection, split_chunks
+from .chunks import Memo, plain_word, rarer_collection, sole_holder, split_chunks
 
 NONE = np.iinfo(np.int64).max
 MARKS = ",.!?;:"  # marks that are a match and a symbol by themselves after a letter
@@ -181,19 +181,18 @@ class ArrayMerger:
         """For each text its ids; special strings in a text become their special ids, as the library does by default."""
         special = [i for i, t in enumerate(texts) if self.special_split is not None and "<" in t and self.special_split.search(t)]
         if not special:
-            return [b"".join(v) for v in self.memo.values_of([split_chunks(t) for t in texts])]
-        parts = [self.special_split.split(t) if i in set(special) else [t] for i, t in enumerate(texts)]
-        plain = iter(self.memo.values_of([split_chunks(p) for ps in parts for p in ps[::2]]))
-        out = []
-        for ps in parts:
-            out.append(b"".join(b"".join(next(plain)) if k % 2 == 0 else np.array([self.specials[p]], dtype="<u4").tobytes() for k, p in enumerate(ps)))
-        return out
+            return self.memo.joined(map(split_chunks, texts))
+        cut = set(special)
+        parts = [self.special_split.split(t) if i in cut else [t] for i, t in enumerate(texts)]
+        plain = iter(self.memo.joined(split_chunks(p) for ps in parts for p in ps[::2]))
+        return [b"".join(next(plain) if k % 2 == 0 else np.array([self.specials[p]], dtype="<u4").tobytes() for k, p in enumerate(ps)) for ps in parts]
 
 
 _mergers: dict[tuple[str, str], ArrayMerger] = {}
 
 
 def merger(path: str, pattern: str) -> ArrayMerger:
+    sole_holder("mergers", _mergers.clear)
     if (path, pattern) not in _mergers:
         rarer_collection()
         _mergers[path, pattern] = ArrayMerger(path, pattern)
