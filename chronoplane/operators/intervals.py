@@ -166,6 +166,34 @@ def temporal_aggregate(
     return coalesce_intervals(out, list(keys), list(made), start, end) if merge else out
 
 
+def temporal_counts(df: DataFrame, keys: Sequence[str], counts: dict[str, Column | None], start: str = START, end: str = END) -> DataFrame:
+    """What ``temporal_aggregate`` gives for counts of rows (None) and of rows that satisfy a condition, by a sweep.
+
+    Whole numbers can be added and taken away again without error, so no row is repeated for the slices it spans. The
+    conditions must not use the bounds. Without keys the sweep runs per time bucket from the sums of those before.
+    """
+    names = list(counts)
+    steps = {f"__c{i}": F.lit(1) if c is None else c.cast("int") for i, c in enumerate(counts.values())} | {"__all": F.lit(1)}
+    rows = df.filter(F.col(q(start)) < F.col(q(end))).select(*_cols(keys), F.col(q(start)).alias("__a"), F.col(q(end)).alias("__z"), *(c.cast("long").alias(n) for n, c in steps.items()))
+    side = lambda t, sign: F.struct(F.col(t).alias("__t"), *((F.col(n) * sign).alias(n) for n in steps))
+    changes = rows.select(*_cols(keys), F.explode(F.array(side("__a", 1), side("__z", -1))).alias("x")).select(*_cols(keys), "x.*")
+    points = changes.groupBy(*_cols(keys), "__t").agg(*(F.sum(n).alias(n) for n in steps))
+    if keys:
+        order = Window.partitionBy(*_cols(keys)).orderBy("__t")
+        swept = points.select(*_cols(keys), "__t", F.lead("__t").over(order).alias("__e"), *(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in steps))
+    else:
+        points = points.withColumn("__b", F.floor(F.col("__t") / F.lit(point_width(df, start, end))))
+        inside, across = Window.partitionBy("__b").orderBy("__t"), Window.orderBy("__b")
+        so_far = across.rowsBetween(Window.unboundedPreceding, -1)
+        totals = points.groupBy("__b").agg(F.min("__t").alias("__low"), *(F.sum(n).alias(n) for n in steps))
+        totals = totals.select("__b", F.lead("__low").over(across).alias("__after"), *(F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(f"{n}_before") for n in steps))
+        running = points.select("__b", "__t", F.lead("__t").over(inside).alias("__e"), *(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in steps))
+        swept = running.join(totals, "__b").select("__t", F.coalesce("__e", "__after").alias("__e"), *((F.col(n) + F.col(f"{n}_before")).alias(n) for n in steps))
+    out = swept.filter((F.col("__all") > 0) & F.col("__e").isNotNull())
+    out = out.select(F.col("__t").alias(start), F.col("__e").alias(end), *_cols(keys), *(F.col(f"__c{i}").cast("double").alias(n) for i, n in enumerate(names)))
+    return coalesce_intervals(out, list(keys), names, start, end)
+
+
 def active_count(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:
     """(keys, _start_time, _end_time, active): how many rows are active between changes, by a sweep of +1 and -1."""
     ends = df.select(*_cols(keys), F.explode(F.array(F.struct(F.col(q(start)).alias("t"), F.lit(1).alias("d")), F.struct(F.col(q(end)).alias("t"), F.lit(-1).alias("d")))).alias("x"))

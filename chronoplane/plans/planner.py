@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import coalesce_intervals, sliced, temporal_join
+from ..operators.intervals import coalesce_intervals, sliced, temporal_counts, temporal_join
 from ..schema import BOOLEAN, DURATION, END, NUMERIC, RESERVED, START, PlanError, kind_of, q, require_distinct
 from .expressions import Compiler, conjuncts, has_aggregate, names_in
 from .language import Binary, Call, Name, Select, Star, Unary, show
@@ -186,6 +186,9 @@ class Planner:
         groups = [c for c in dict.fromkeys(s.group_by) if c not in (START, END)]
         df = rel.df
         if temporal:
+            bounds = [n for n, _ in terms[:2]] == [START, END] and [e for _, e in terms[:2]] == [Name(START), Name(END)]
+            if bounds and terms[2:] and all(self.sweepable(e, groups) for _, e in terms[2:]):
+                return self.counted(rel, groups, terms)
             if [n for n, _ in terms[:2]] != [START, END] or [e for _, e in terms[:2]] != [Name(START), Name(END)]:
                 raise PlanError("a temporal aggregate selects _start_time, _end_time first")
             # The order of rows is that of the rows themselves, not of the slices they are cut into.
@@ -220,6 +223,29 @@ class Planner:
         rel = Relation(out, kinds, keys, ["__s0"], rel.step(f"{kind} by [{', '.join(by)}] " + ", ".join(f"{show(e)} AS {n}" for n, e in terms)))
         return self.merged(rel) if temporal else rel
 
+    @staticmethod
+    def sweepable(e: object, groups: list[str]) -> bool:
+        """Counts whose condition does not depend on the slice, and group columns."""
+        if isinstance(e, Name):
+            return e.path in groups
+        return isinstance(e, Call) and (e.function == "COUNT" or e.function == "COUNT_IF" and not names_in(e) & {START, END})
+
+    def counted(self, rel: Relation, groups: list[str], terms: list[tuple[str, object]]) -> Relation:
+        """A temporal aggregate of nothing but counts: a sweep over change points instead of a row for every slice."""
+        typing, inner = Compiler(rel.kinds, F.lit(0), set(groups), F.col), Compiler(rel.kinds)
+        for _, e in terms[2:]:
+            typing(e)
+        kept = {g: f"__g{i}" for i, g in enumerate(groups)}
+        conditions = {n: inner(e.args[0])[0].alias(f"__if{i}") for i, (n, e) in enumerate(terms) if isinstance(e, Call) and e.function == "COUNT_IF"}
+        df = rel.df.select(START, END, *(F.col(q(g)).alias(n) for g, n in kept.items()), *conditions.values())
+        counts = {n: F.col(f"__if{i}") if n in conditions else None for i, (n, e) in enumerate(terms) if isinstance(e, Call)}
+        swept = temporal_counts(df, list(kept.values()), counts)
+        out = [F.col(START), F.col(END)] + [F.col(kept[e.path]).alias(n) if isinstance(e, Name) else F.col(q(n)) for n, e in terms[2:]]
+        series = F.struct(*(F.col(n) for n in kept.values())) if kept else F.lit(0)
+        kinds = {n: NUMERIC if not isinstance(e, Name) else rel.kinds[e.path] for n, e in terms}
+        keys = {n for n, e in terms if isinstance(e, Name) and e.path in groups}
+        return Relation(swept.select(*out, series.alias("__s0")), kinds, keys, ["__s0"], rel.step(f"TemporalCount by [{', '.join([START, END, *groups])}] " + ", ".join(f"{show(e)} AS {n}" for n, e in terms)))
+
     def sort(self, rel: Relation, by: tuple[tuple[str, bool], ...]) -> Relation:
         unknown = [c for c, _ in by if c not in rel.kinds]
         if unknown:

@@ -97,6 +97,9 @@ def test_temporal_aggregate_and_joins_against_models(spark):
                     want.append(last)
         got = iv.temporal_aggregate(df, keys, {"v": F.sum("v"), "n": F.count("*")}).collect()
         assert sorted((r[0], r[1], (r.v, r.n), r.k if keys else None) for r in got) == sorted(tuple(w) for w in want)
+        swept = iv.temporal_counts(df, keys, {"n": None, "x": F.col("state") == "x"})
+        plain = iv.temporal_aggregate(df, keys, {"n": F.count("*").cast("double"), "x": F.count_if(F.col("state") == "x").cast("double")})
+        assert sorted(map(tuple, swept.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
     other = df.select("_start_time", "_end_time", "_duration", F.col("k").alias("k2"), F.col("v").alias("w"))
     brute = sorted((max(a[0], b[0]), min(a[1], b[1]), a[6], b[6]) for a in rows for b in rows if a[0] < b[1] and b[0] < a[1])
     for width in (None, 0.7, 100.0):
@@ -120,5 +123,5 @@ def test_coalesce_and_steps(spark):
     got = iv.coalesce_intervals(df, ["series"], ["state"]).collect()
     assert sorted((r[0], r[1], r[3], r[4]) for r in got) == sorted(map(tuple, want)) and all(r[2] == r[1] - r[0] for r in got)
     empty = df.limit(0)
-    for out in (iv.coalesce_intervals(empty, ["series"], ["state"]), iv.time_slices(empty), iv.active_count(empty), iv.temporal_join(empty, empty.withColumnsRenamed({"series": "a", "state": "b"})), iv.zoom(empty, 0, 1)):
+    for out in (iv.coalesce_intervals(empty, ["series"], ["state"]), iv.time_slices(empty), iv.active_count(empty), iv.temporal_counts(empty, [], {"n": None}), iv.temporal_join(empty, empty.withColumnsRenamed({"series": "a", "state": "b"})), iv.zoom(empty, 0, 1)):
         assert out.count() == 0
