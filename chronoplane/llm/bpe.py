@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, plain_word, rarer_collection, sole_holder, split_chunks
+from .common import modest_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,7 +188,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays([ids, pa.array(enc.encode_many(texts), pa.binary())], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    return modest_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -221,4 +222,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFr
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return modest_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,8 @@ import gc
 import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+
 # The characters of the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -28,8 +30,12 @@ _held: dict[str, Callable[[], None]] = {}
 
 def sole_holder(name: str, clear: Callable[[], None]) -> None:
     """Worker processes outlive their tasks: keep the memos of one operator at a time, those of the one that runs now."""
-    for other in [n for n in _held if n != name]:
+    others = [n for n in _held if n != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _held[name] = clear
 
 
@@ -41,7 +47,7 @@ def plain_word(chunk: str) -> bool:
 class Memo(dict):
     """chunk -> value, filled by batches; emptied when it holds ``limit`` entries, so memory stays bounded."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 1_200_000, longest: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 800_000, longest: int = 64):
         super().__init__()
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import sole_holder
+from .common import modest_batches
 
 SAMPLE_CHARS = 60_000
 SAMPLE_DOCS = 60
@@ -154,7 +155,7 @@ def identify_languages(docs: DataFrame, sample: tuple[tuple[str, str], ...]) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(rate)], names=[*kept, "lang_pred", "score", "rate"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rate", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return modest_batches(docs).select(*kept).mapInArrow(run, schema)
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:

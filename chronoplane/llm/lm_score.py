@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import rarer_collection
-from .common import materialize
+from .common import materialize, modest_batches
 
 WINDOW = 2
 CLASSES = 36
@@ -210,7 +210,7 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
     def packed(counts: Counter[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts]), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = modest_batches(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(known).collect()]
 
 
@@ -225,7 +225,7 @@ def as_symbols(docs: DataFrame, words: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([symbols(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "symbols"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, symbols binary"), "lm-symbols")
+    return materialize(modest_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, symbols binary"), "lm-symbols")
 
 
 def parts_of(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:

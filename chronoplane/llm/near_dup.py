@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import rarer_collection, sole_holder
-from .common import block_pairs, connected_components, materialize
+from .common import block_pairs, connected_components, materialize, modest_batches
 
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     names=["doc_id", "n_shingles", "fingerprint", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return modest_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>, sketch array<long>"
     )
 

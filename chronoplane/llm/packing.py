@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .common import discard, materialize
+from .common import discard, materialize, modest_batches
 from .token_count import merger
 
 CAPACITY = 2048
@@ -102,7 +102,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CA
             yield flush()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return modest_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pack_documents(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import Memo, plain_word, rarer_collection, sole_holder, split_chunks
+from .common import modest_batches
 
 NONE = np.iinfo(np.int64).max
 MARKS = ",.!?;:"  # marks that are a match and a symbol by themselves after a letter
@@ -34,7 +35,7 @@ def byte_letters() -> dict[str, int]:
 class ArrayMerger:
     """Encode batches of byte-level pre-tokens with a ``tokenizers`` BPE file by rank-synchronous merging."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 1_200_000):
+    def __init__(self, path: str, pattern: str, limit: int = 800_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -214,7 +215,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 10
                     [batch.column(0).slice(start, len(texts)), pa.array(n)], names=["doc_id", "n_tokens"]
                 )
 
-    counted = docs.select("doc_id", "text").mapInArrow(
+    counted = modest_batches(docs).select("doc_id", "text").mapInArrow(
         lambda batches: _with_bytes(batches, run), "doc_id long, n_bytes long, n_tokens long"
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
