@@ -2,8 +2,11 @@
 
 Every word is predicted from the WINDOW words on either side, itself masked. Words are symbols: the most frequent
 words of the whole corpus have one each, the others share buckets by hash. The network embeds the 2 * WINDOW symbols,
-has one tanh layer, and predicts the symbol's class, then the symbol within its class (a two-level softmax). A
-document's score is the sum of the conditional log-probabilities of its words.
+has one tanh layer, and predicts the symbol's class, then the symbol within its class (a two-level softmax). Below a
+shared symbol stand all words of the corpus that share it, each with its part of the symbol's exact count, so that
+every distinct word has a probability of its own: P(word | context) = P(symbol | context) * P(word | symbol). Those
+counts stay a sharded table, as large as the corpus has distinct words. A document's score is the sum of the
+conditional log-probabilities of its words.
 
 Training sees every word of every document once. In each of ROUNDS rounds a hash of the ids picks that round's
 documents; all tasks start from the round's model, run Adagrad over their documents, and return their parameters
@@ -13,6 +16,7 @@ on the corpus.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import by_size
@@ -32,6 +36,7 @@ WINDOW = 2
 CLASSES = 36
 PER_CLASS = 36
 KNOWN = 1_024  # words with a symbol of their own; symbol 0 pads, the rest are hash buckets
+FREQUENT = 65_536  # words whose counts every task holds; only the rarer ones are looked up by a shuffle
 WIDTH, HIDDEN = 16, 32
 ROUNDS = 2
 BATCH, RATE = 8_192, 0.1
@@ -80,7 +85,10 @@ class Symbols:
     def __call__(self, text: str) -> np.ndarray:
         if len(self.memo) > self.limit:
             self.memo = dict(self.own)
-        memo, words = self.memo, text.encode().lower().split()
+        return self.of(words_of(text))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        memo = self.memo
         out = list(map(memo.get, words))
         if None in out:
             for i, s in enumerate(out):
@@ -90,6 +98,10 @@ class Symbols:
         return np.array(out, dtype=np.int16)
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()
+
+
 def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One array with WINDOW pads around each text; the positions of all words in it, and each word's text."""
     pad = np.zeros(WINDOW, dtype=np.int16)
@@ -193,14 +205,14 @@ class Trainer:
             self.words += len(part)
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
-    """The most frequent words of all documents, by exact counts; ties go by the word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the exact count of every word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts.update((text.as_py() or "").encode().lower().split())
+                counts.update(words_of(text.as_py() or ""))
             if len(counts) > 500_000:
                 yield packed(counts)
                 counts.clear()
@@ -211,21 +223,98 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
         return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts]), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counted = modest_batches(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(counted, "lm-words")
+
+
+def most_frequent(counted: DataFrame, known: int = KNOWN) -> list[str]:
+    """The most frequent words; ties go by the word."""
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(known).collect()]
 
 
-def as_symbols(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, symbols binary): every text's words as 16-bit symbols, written once and read by all later passes."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def vocabulary(docs: DataFrame, known: int = KNOWN) -> list[str]:
+    """The most frequent words of all documents, by exact counts."""
+    return most_frequent(word_counts(docs), known)
+
+
+def frequent_words(counted: DataFrame, most: int) -> list[tuple[str, int]]:
+    """At most ``most`` words with their counts: all those from some count on, so that tasks need not rank words."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = counted.groupBy(level.alias("level")).count().collect()
+    lowest, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        lowest = r["level"]
+    return [] if lowest is None else [(r["word"], r["n"]) for r in counted.filter(level >= lowest).collect()]
+
+
+def as_symbols(docs: DataFrame, words: list[str], frequent: list[tuple[str, int]] = ()) -> DataFrame:
+    """Every text's words as 16-bit symbols, written once and read by all later passes.
+
+    (doc_id, row, symbols binary, logs, shared array<struct<word, n>>): ``row`` is the row's own number. Of its words
+    without a symbol of their own, ``logs`` adds up the logs of the counts of those in ``frequent``, and ``shared``
+    lists the others, and how often each occurs in the row.
+    """
+    given = docs.sparkSession.sparkContext.broadcast((words, {w.encode(): math.log(n) for w, n in frequent}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(shared.value)
+        symbols, row = Symbols(given.value[0]), TaskContext.get().partitionId() << 40
+        log_count = (given.value[1] | dict.fromkeys(symbols.own, 0.0)).get
         for batch in batches:
             for start, texts in by_size(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([symbols(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "symbols"])
+                ids, logs, ends, rare, times = [], [], [0], [], []
+                for text in texts:
+                    parts = words_of(text)
+                    ids.append(symbols.of(parts).tobytes())
+                    counts = Counter(parts)
+                    found = list(map(log_count, counts))
+                    if None in found:
+                        for i, (w, n) in enumerate(counts.items()):
+                            if found[i] is None:
+                                found[i] = 0.0
+                                rare.append(w)
+                                times.append(n)
+                    logs.append(math.sumprod(found, counts.values()))
+                    ends.append(len(rare))
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                columns = [
+                    batch.column(0).slice(start, len(texts)),
+                    pa.array(range(row, row + len(texts)), pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array(logs, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                ]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "symbols", "logs", "shared"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(modest_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, symbols binary"), "lm-symbols")
+    schema = f"doc_id {kind}, row long, symbols binary, logs double, shared array<struct<word:binary,n:long>>"
+    return materialize(modest_batches(docs).select("doc_id", "text").mapInArrow(run, schema), "lm-symbols")
+
+
+def symbol_counts(symbols: DataFrame) -> np.ndarray:
+    """How often each symbol occurs in all texts of ``as_symbols``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SYMBOLS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                counts += np.bincount(np.frombuffer(x.as_py(), dtype=np.int16), minlength=SYMBOLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["symbol", "n"])
+
+    out = np.zeros(SYMBOLS, dtype=np.int64)
+    for r in symbols.select("symbols").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        out[r["symbol"]] = r["n"]
+    return out
+
+
+def log_word_counts(symbols: DataFrame) -> DataFrame:
+    """(row, rare_logs): over the words in ``shared`` of each row, the sum of the logs of their counts in all rows."""
+    each = symbols.select("row", F.inline("shared"))
+    total = F.sum("n").over(Window.partitionBy("word"))
+    return each.select("row", (F.col("n") * F.log(total)).alias("part")).groupBy("row").agg(F.sum("part").alias("rare_logs"))
 
 
 def parts_of(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -281,22 +370,36 @@ def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, words: list[str] | None = None, model: Model | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, words: list[str] | None = None, model: Model | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of each document, under a model trained on all of them by default.
 
-    Null, empty and blank texts have no words, log_prob 0 and a null mean. Repeated rows are trained on and scored
-    each; an empty table gives an empty one, other columns are ignored. Very long texts take memory in proportion.
+    The trained model knows every word of ``docs``. A ``model`` that is given comes without counts of words and scores
+    symbols alone. Null, empty and blank texts have no words, log_prob 0 and a null mean. Repeated rows are trained on
+    and scored each; an empty table gives an empty one, other columns are ignored. Very long texts take memory in
+    proportion.
     """
-    words = vocabulary(docs) if words is None else words
-    symbols = as_symbols(docs, words)
+    by_word = model is None
+    counted = word_counts(docs) if by_word or words is None else None
+    words = most_frequent(counted) if words is None else words
+    symbols = as_symbols(docs, words, frequent_words(counted, frequent) if by_word else [])
     model = train(symbols) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    log_symbols = np.zeros(SYMBOLS)
+    if by_word:
+        log_symbols[KNOWN + 1 :] = np.log(np.maximum(symbol_counts(symbols)[KNOWN + 1 :], 1))
+    shared = docs.sparkSession.sparkContext.broadcast((model, log_symbols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, logs = shared.value
         for batch in batches:
-            for start, texts in parts_of(batch.column(1)):
-                scores = pa.array(score_texts(shared.value, texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([len(x) for x in texts], pa.int64()), scores], names=["doc_id", "n_words", "log_prob"])
-
-    scored = symbols.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
+            for start, texts in parts_of(batch.column(2)):
+                part = batch.slice(start, len(texts))
+                scores = score_texts(network, texts)
+                if by_word:
+                    scores += part.column(3).to_numpy() - np.array([logs[x].sum() for x in texts])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array(scores)], names=["doc_id", "row", "n_words", "log_prob"])
+
+    scored = symbols.select("doc_id", "row", "symbols", "logs").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_words long, log_prob double")
+    if by_word:
+        scored = scored.join(log_word_counts(symbols), "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rare_logs", F.lit(0.0)))
+    scored = scored.select("doc_id", "n_words", "log_prob")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

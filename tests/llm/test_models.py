@@ -116,3 +116,25 @@ def test_scoring_edge_cases(spark):
     out = sorted((r.doc_id, r.n_words, r.mean_log_prob is None) for r in lm_score.score_documents(docs).collect())
     assert out == [(1, 0, True), (2, 0, True), (3, 2, False), (3, 2, False), (4, 60_000, False)]
     assert lm_score.score_documents(docs.limit(0)).count() == 0
+
+
+def test_words_that_share_a_symbol_have_their_own_probability(spark):
+    rnd = np.random.default_rng(4)
+    names = [f"w{i}" for i in range(2_000)]
+    texts = [" ".join(["the", *rnd.choice(names, 60, p=np.arange(2_000, 0, -1) / 2_001_000)]) for _ in range(80)]
+    rows = list(enumerate([*texts, texts[3], "the the", "the onlyhere"])) + [(None, texts[5]), (3, "w1 W1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text")
+    words = ["the"]
+    symbols, counts, of_symbol = lm_score.Symbols(words), {}, {}
+    for w in (w for _, t in rows for w in t.encode().lower().split() if w != b"the"):
+        counts[w] = counts.get(w, 0) + 1
+        of_symbol[symbols(w.decode())[0]] = of_symbol.get(symbols(w.decode())[0], 0) + 1
+    assert max(of_symbol.values()) > 20
+    model = lm_score.train(lm_score.as_symbols(docs, words))
+    part = lambda w: math.log(counts[w] / of_symbol[symbols(w.decode())[0]]) if w != b"the" else 0.0
+    wanted = sorted((brute_log_prob(model, symbols(t)) + sum(part(w) for w in t.encode().lower().split()), len(t.split())) for _, t in rows)
+    for frequent in (0, 40, lm_score.FREQUENT):
+        out = lm_score.score_documents(docs, words, frequent=frequent)
+        assert out.columns == ["doc_id", "n_words", "log_prob", "mean_log_prob"]
+        got = sorted((r.log_prob, r.n_words) for r in out.collect())
+        assert np.allclose([x for x, _ in got], [x for x, _ in wanted], rtol=1e-3, atol=1e-2) and [n for _, n in got] == [n for _, n in wanted]
