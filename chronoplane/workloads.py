@@ -170,7 +170,8 @@ def _temporal(source: str, aggregates: str, values: list[str], key: str | None)
         WINDOW w AS ({p} ORDER BY s))) GROUP BY {k} run"""
 
 
-# Users and orders by which interval queries that have very many rows per moment are keyed or narrowed, as their feature.
+# Queries with very many rows per moment are keyed. temporal_join_keyless alone is narrowed, to two id prefixes, to show
+# filters on both sides and the pairs themselves; temporal_join_keyless_whole joins all users and reduces the pairs.
 Q: dict[str, Query] = {}
 
 
@@ -237,6 +238,9 @@ dialect("temporal_join_keyed", "FROM metrics AS m TEMPORAL JOIN states AS s WHER
            ON left(m.path, length(m.path) - length('/value') - 1 + 1) = s.path AND m._start_time < s._end_time AND s._start_time < m._end_time WHERE m."usage" > 100""")
 dialect("temporal_join_keyless", 'FROM states AS a TEMPORAL JOIN states AS b WHERE a.path ~= "/users/user[id=1*" AND b.path ~= "/users/user[id=2*" SELECT a.path AS p, b.path AS q, a.amount + b.amount AS total, _duration;',
         "SELECT a.path AS p, b.path AS q, a.amount + b.amount AS total, least(a._end_time, b._end_time) - greatest(a._start_time, b._start_time) AS _duration FROM states a JOIN states b ON a._start_time < b._end_time AND b._start_time < a._end_time WHERE a.path LIKE '/users/user[id=1%' AND b.path LIKE '/users/user[id=2%'")
+dialect("temporal_join_keyless_whole", "FROM states AS a TEMPORAL JOIN states AS b GROUP BY a.state, b.state SELECT a.state AS p, b.state AS q, COUNT(a.path) AS n, SUM((a.amount + b.amount) / 1000) AS total, SUM((_end_time - _start_time) / 1000000) AS shared;",
+        """SELECT a.state AS p, b.state AS q, count(*)::DOUBLE AS n, sum((a.amount + b.amount) / 1000) AS total, sum((least(a._end_time, b._end_time) - greatest(a._start_time, b._start_time)) / 1e6) AS shared
+           FROM states a JOIN states b ON a._start_time < b._end_time AND b._start_time < a._end_time GROUP BY a.state, b.state""")
 dialect("temporal_join_chain", "FROM metrics AS m TEMPORAL JOIN states AS s TEMPORAL JOIN metrics AS n WHERE m.path = n.path AND PATH_PREFIX(m.path, 2) = s.path SELECT m.path AS path, s.state AS state, n.usage AS used, _duration;",
         """SELECT m.path, s.state, n."usage" AS used, least(m._end_time, s._end_time, n._end_time) - greatest(m._start_time, s._start_time, n._start_time) AS _duration FROM metrics m JOIN states s ON regexp_extract(m.path, '^(.*):value$', 1) = s.path
            AND m._start_time < s._end_time AND s._start_time < m._end_time JOIN metrics n ON m.path = n.path AND n._start_time < least(m._end_time, s._end_time) AND greatest(m._start_time, s._start_time) < n._end_time""")
@@ -413,7 +417,7 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "agg_avg_over_time": ("mean",), "agg_find_or_default": ("amount",), "agg_first_row_columns": ("amount", DURATION), "agg_time_bounds": (START, END, "span"), "agg_expression": ("x", "y"), "global_agg": ("total",),
     "order_by": ("amount", START), "top_k": ("amount", START), "sub_select": ("total",), "interval_merge": (START, END, DURATION), "interval_merge_hidden_series": (START, END), "temporal_agg_count": (START, END),
     "temporal_agg_max": (START, END), "temporal_agg_weighted": (START, END, "x"), "temporal_agg_by_state": (START, END), "temporal_agg_global": (START, END), "temporal_join_keyed": (START, END, "used"),
-    "temporal_join_keyless": ("total", DURATION), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
+    "temporal_join_keyless": ("total", DURATION), "temporal_join_keyless_whole": ("n", "total", "shared"), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
     "active_phase_count": (START, END), "step_sum": (START, END, "amount"), "zoom": (START, END, DURATION, "amount"), "step_series": ("time",), "activity_matrix": ("active",), "demand_exact": ("demand",), "demand_variable": ("demand",),
     "attribution_leaf": ("usage", "capacity"), "attribution_composite": ("area",), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
 }
