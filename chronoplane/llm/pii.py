@@ -20,7 +20,17 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+# A country's fixed length first, so that words after a number are left for what follows; else any length.
+_FIXED = "|".join(
+    rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])"
+    for n, c in IBAN_LENGTHS.items()
+)
+IBAN = rf"(?<![A-Za-z0-9])(?:{_FIXED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 SECRET = r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key)\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_-]{16,128}+[\"']?"
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 
@@ -109,10 +119,25 @@ HINT = {
 }
 
 
+def valid_start(x: Column, kind: str) -> Column:
+    """The longest valid start of a proposed span that ends where the span or a word of it does; null if there is none."""
+    m = x["m"]
+    cut = F.filter(
+        F.sequence(F.lit(0), F.length(m) - 1),
+        lambda k: ((k == 0) | (F.substring(m, F.length(m) - k + 1, F.lit(1)) == " ")) & VALID[kind](F.substring(m, F.lit(1), F.length(m) - k)),
+    )
+    k = F.get(cut, F.lit(0))
+    return F.when(k.isNotNull(), F.struct(x["s"].alias("s"), (x["e"] - k).alias("e"), F.substring(m, F.lit(1), F.length(m) - k).alias("m")))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """The valid spans of one kind with their scores."""
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    good = F.filter(F.when(HINT[kind](text), proposed(text, PATTERN[kind])).otherwise(empty), lambda x: VALID[kind](x["m"]))
+    found = F.when(HINT[kind](text), proposed(text, PATTERN[kind])).otherwise(empty)
+    if kind == "iban":
+        good = F.filter(F.transform(found, lambda x: valid_start(x, kind)), lambda x: x.isNotNull())
+    else:
+        good = F.filter(found, lambda x: VALID[kind](x["m"]))
 
     def scored(x: Column) -> Column:
         left = F.greatest(x["s"] - NEAR, F.lit(0))
