@@ -295,21 +295,25 @@ def _prefix_varying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("path", paths.path_prefix(F.col("path"), F.col("n")).alias("part"))
 
 
-# Attribution: a metric per event type (its periods are an hour, its value the number of events), phases are a user's gaps of that type.
+# Attribution: a metric per event type (its periods are an hour, its value the number of events), phases are a user's gaps of that type,
+# by definition at most two hours of them; those of attribution_leaf_whole_gaps last until the user's next event.
 ATT_SQL = """hours AS (SELECT event_type AS metric_path, epoch_us(ts) // 3600000000 AS h, count(*)::DOUBLE AS value FROM events GROUP BY ALL),
     periods AS (SELECT metric_path, h * 3600000000 AS start_ns, (h + 1) * 3600000000 AS end_ns, value, 1000.0::DOUBLE AS max_value FROM hours),
     pairs AS (SELECT event_type AS metric_path, '/gap[id=' || event_id || ']' AS phase_path, '/gap/' || (user_id % 3) AS phase_type, epoch_us(ts) AS start_ns, n AS end_ns FROM
         (SELECT *, least(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch_us(ts) + 7200000000) AS n FROM events))"""
 
+WHOLE_GAPS = ATT_SQL[: ATT_SQL.index("(SELECT *, least(")] + "(SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)"
 
-def attribution_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+
+def attribution_inputs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Periods and phases; ``whole`` gaps end with the user's next event, so that the last event has none."""
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _micros("ts").alias("us"))
     hour = 3_600_000_000
     h = F.floor(F.col("us") / F.lit(hour))
     hours = events.groupBy(F.col("event_type").alias("metric_path"), h.alias("h")).agg(F.count("*").cast("double").alias("value"))
     periods = hours.select("metric_path", (F.col("h") * hour).alias("start_ns"), ((F.col("h") + 1) * hour).alias("end_ns"), "value", F.lit(1000.0).alias("max_value"))
-    gap = F.least(F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id")), F.col("us") + 2 * hour)
-    pairs = events.withColumn("n", gap)
+    following = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    pairs = events.withColumn("n", following).filter("n is not null") if whole else events.withColumn("n", F.least(following, F.col("us") + 2 * hour))
     pairs = pairs.select(F.col("event_type").alias("metric_path"), F.concat(F.lit("/gap[id="), F.col("event_id"), F.lit("]")).alias("phase_path"), F.concat(F.lit("/gap/"), F.col("user_id") % 3).alias("phase_type"), F.col("us").alias("start_ns"), F.col("n").alias("end_ns"))
     return periods, pairs
 
@@ -362,9 +366,9 @@ def _upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.upsample(periods, exact, variable)
 
 
-def leaf_attribution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def leaf_attribution(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Attribution of the metric as measured, without upsampling, so that SQL can follow it."""
-    periods, pairs = attribution_inputs(spark, sf_dir)
+    periods, pairs = attribution_inputs(spark, sf_dir, whole)
     rules, leaves = _rules(pairs)
     exact, variable = (written(att.demand(periods, rules, leaves, k), "demand") for k in (att.EXACT, att.VARIABLE))
     return written(att.attribute_leaves(rules, leaves, periods, exact, variable), "leaves"), pairs
@@ -385,6 +389,11 @@ def _leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf_attribution(spark, sf_dir)[0]
 
 
+@built("attribution_leaf_whole_gaps", f"WITH {LEAF_SQL.replace(ATT_SQL, WHOLE_GAPS)} SELECT * FROM att")
+def _leaf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaf_attribution(spark, sf_dir, whole=True)[0]
+
+
 @built("attribution_composite", f"""WITH {LEAF_SQL}, up AS (SELECT a.metric_path, '/gap' AS phase_path, start_ns, end_ns, "usage", capacity FROM att a),
     sl AS (SELECT * FROM (SELECT metric_path, t AS s, lead(t) OVER (PARTITION BY metric_path ORDER BY t) AS e FROM (SELECT DISTINCT metric_path, unnest([start_ns, end_ns]) AS t FROM up)) WHERE e IS NOT NULL),
     ch AS (SELECT metric_path, t, sum(u) AS u, sum(c) AS c, sum(n) AS n FROM (SELECT metric_path, start_ns AS t, "usage" AS u, capacity AS c, 1 AS n FROM up UNION ALL SELECT metric_path, end_ns, -"usage", -capacity, -1 FROM up) GROUP BY ALL)
@@ -419,7 +428,7 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "temporal_agg_max": (START, END), "temporal_agg_weighted": (START, END, "x"), "temporal_agg_by_state": (START, END), "temporal_agg_global": (START, END), "temporal_join_keyed": (START, END, "used"),
     "temporal_join_keyless": ("total", DURATION), "temporal_join_keyless_whole": ("n", "total", "shared"), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
     "active_phase_count": (START, END), "step_sum": (START, END, "amount"), "zoom": (START, END, DURATION, "amount"), "step_series": ("time",), "activity_matrix": ("active",), "demand_exact": ("demand",), "demand_variable": ("demand",),
-    "attribution_leaf": ("usage", "capacity"), "attribution_composite": ("area",), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
+    "attribution_leaf": ("usage", "capacity"), "attribution_leaf_whole_gaps": ("usage", "capacity"), "attribution_composite": ("area",), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
 }
 
 
