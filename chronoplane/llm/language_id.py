@@ -23,7 +23,7 @@ from .common import modest_batches
 
 SAMPLE_CHARS = 60_000
 SAMPLE_DOCS = 60
-LANGUAGES = 256  # at most so many languages are learned, the most frequent ones
+LANGUAGES = 256  # with more languages each is learned from fewer characters, as many as these have in all
 UNKNOWN = "und"
 REJECT_RATE = 0.6  # phrases per character from which a text is in none of the learned languages
 
@@ -109,15 +109,20 @@ def judge(text: str | None, languages: list[tuple[str, dict]]) -> tuple[str, flo
 
 
 def training_sample(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> tuple[tuple[str, str], ...]:
-    """(language, text) pairs, at most ``chars`` characters each, of the rows (doc_id, text, lang) given."""
+    """(language, text) pairs of every language, at most ``chars`` characters each, of the rows (doc_id, text, lang) given.
+
+    With more than ``languages`` languages each has so many characters fewer that all together stay within the same bound.
+    """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    found = counts.count()
+    chars = max(1, min(chars, chars * languages // max(found, 1)))
     order = F.xxhash64(F.lit(3), "doc_id")
     rows = []
-    if counts:
+    if found:
         # Thinned to about four times the documents wanted before any are ranked, so that no task sees a whole language.
-        share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * docs / r["count"]))])
-        thin = usable.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
+        share = F.least(F.lit(1.0), F.lit(4.0 * docs) / F.col("of_lang"))
+        thin = usable.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
         rows = thin.select("lang", F.substring("text", 1, chars).alias("text"), order.alias("o"), rank.alias("r")).filter(F.col("r") <= docs).orderBy("lang", "r").collect()
     texts: dict[str, str] = {}

@@ -138,3 +138,11 @@ def test_words_that_share_a_symbol_have_their_own_probability(spark):
         assert out.columns == ["doc_id", "n_words", "log_prob", "mean_log_prob"]
         got = sorted((r.log_prob, r.n_words) for r in out.collect())
         assert np.allclose([x for x, _ in got], [x for x, _ in wanted], rtol=1e-3, atol=1e-2) and [n for _, n in got] == [n for _, n in wanted]
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, "".join(chr(97 + (i // 26**k) % 26) for k in range(3)) * 9, f"l{i:03d}") for i in range(300)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in sample] == [r[2] for r in rows]
+    few = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=12, languages=150)
+    assert len(few) == 300 and {len(text) for _, text in few} == {7}
