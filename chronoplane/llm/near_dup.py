@@ -3,12 +3,14 @@
 1. One pass over the texts gives each document its number of distinct word shingles, a fingerprint of that set, band
    keys of its MinHash samples, and an odd sketch: the samples folded into a parity bitmap, whose XOR with another
    one has few bits where the similarity is high, and tells high similarities apart sharply.
-2. Documents with equal fingerprints (exact copies of the set) become one class; only its smallest id goes on.
-3. In every bucket of equal band keys each member is paired with the bucket's smallest id, never all with all.
+2. Documents with equal fingerprints (exact copies of the set) become one class, a numbered node; only its first row,
+   by id, goes on. Nodes stand for texts, not for ids: rows that share an id and nothing else are told apart.
+3. In every bucket of equal band keys each member is paired with the bucket's first node, never all with all.
    Sketches drop pairs that are far below the threshold, the rest is confirmed on full shingle sets.
-4. Buckets whose members are still in several components are looked at again in cells of two bounded blocks: sketches
-   pick members with a likely partner in another component, and full sets decide in the task, by a product of
-   incidence matrices. A cell returns a spanning forest of its confirmed links, not its pairs.
+4. Buckets whose members are still in several components are looked at again: those outside the bucket's largest
+   component meet all members, in cells of two bounded blocks. Sketches pick members with a likely partner in another
+   component, and full sets decide in the task, by a product of incidence matrices. A cell returns a spanning forest of
+   its confirmed links, not its pairs.
 5. Components of all confirmed links.
 
 With SAMPLES in BANDS of ROWS, a pair at similarity s shares no band with probability (1 - s**ROWS)**BANDS.
@@ -28,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .bpe import by_size
 from .chunks import rarer_collection, sole_holder
-from .common import block_pairs, connected_components, materialize, modest_batches
+from .common import Scratch, connected_components, discard, materialize, modest_batches
 
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 DEVIATIONS = 6.0  # a pair is dropped on sketches only when its estimate is so many deviations below the threshold
-CELL = 1_024
+CELL = 1_024  # members in a block of a cell
+SHINGLES = 4_000_000  # shingles of the members in a block of a cell, but for a single longer text
 
 _random = np.random.Generator(np.random.PCG64(20_240_229))
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -124,13 +127,18 @@ def most_differing(threshold: float) -> int:
     return int(min(SKETCH_BITS, math.ceil(mean + 3 * math.sqrt(mean) / 2)))
 
 
-def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, bands, sketch); the last three are null for documents without words."""
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text): a row is known by its id and a hash of its text; rows equal in both are the same."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def signatures(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, fingerprint, bands, sketch); the last three are null for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
         for batch in batches:
-            for start, texts in by_size(batch.column(1), 2 << 20):
+            for start, texts in by_size(batch.column(2), 2 << 20):
                 sets = [shingles(t) for t in texts]
                 full = [s for s in sets if len(s)]
                 prints: list = [None] * len(sets)
@@ -147,42 +155,47 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                         prints[i], bands[i], sketches[i] = xxhash.xxh3_128_digest(x.tobytes()), k, s
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, len(texts)),
+                        *(batch.column(i).slice(start, len(texts)) for i in (0, 1)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(prints, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(sketches, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "fingerprint", "bands", "sketch"],
+                    names=["doc_id", "text_hash", "n_shingles", "fingerprint", "bands", "sketch"],
                 )
 
-    return modest_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>, sketch array<long>"
-    )
+    return modest_batches(texts).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fingerprint binary, bands array<long>, sketch array<long>")
 
 
 def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets satisfy 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, block: int = CELL) -> DataFrame:
+    """The pairs (src, dst) whose full shingle sets satisfy 100 * intersection >= percent * union.
+
+    The text of ``src`` goes ahead of those of its partners, once for each ``block`` of them, so that neither a text
+    with very many partners is repeated for each nor all of these meet in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, of_last = shingler(words), None, np.zeros(0, dtype=np.uint64)
+        shingles, of_src = shingler(words), np.zeros(0, dtype=np.uint64)
         for batch in batches:
             good = []
-            for i, (src, a, b) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
-                if last != src.as_py():
-                    last, of_last = src.as_py(), shingles(a.as_py() or "")
-                mine = shingles(b.as_py() or "")
-                if linked(len(np.intersect1d(of_last, mine, assume_unique=True)), len(of_last), len(mine), percent):
+            for i, (src, node, text) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
+                mine = shingles(text.as_py() or "")
+                if node.as_py() is None:
+                    of_src = mine
+                elif linked(len(np.intersect1d(of_src, mine, assume_unique=True)), len(of_src), len(mine), percent):
                     good.append(i)
-            yield batch.select(["src", "dst"]).take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["src", "dst"]).take(pa.array(good, pa.int64()))
 
-    one = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("dst_text"))
-    two = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("src_text"))
-    return pairs.join(one, "dst").join(two, "src").select("src", "dst", "src_text", "dst_text").mapInArrow(run, "src long, dst long")
+    large = pairs.groupBy("src").count().filter(F.col("count") > block).select("src", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = pairs.join(large, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    ahead = dealt.select("src", "part").distinct().join(texts.withColumnRenamed("node", "src"), "src").select("src", "part", F.lit(None).cast("long").alias("dst"), "text")
+    rest = dealt.join(texts.withColumnRenamed("node", "dst"), "dst").select("src", "part", "dst", "text")
+    rows = ahead.unionByName(rest).repartition("src", "part").sortWithinPartitions("src", "part", F.col("dst").asc_nulls_first())
+    return rows.mapInArrow(run, "src long, dst long")
 
 
 def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -207,35 +220,49 @@ def forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def likely_members(cells: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Of each cell, the members with a member of another component within ``limit`` XOR bits: (keys, mine, doc_id)."""
+def dealt_cells(members: DataFrame, size: int, shingles: int = SHINGLES) -> DataFrame:
+    """Deal the members (bucket, node, component, n_shingles, ...) of each bucket over cells (bucket, row, column).
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch, comp, block = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), pdf["component"].to_numpy(), pdf["mine"].to_numpy()
-        likely = np.zeros(len(pdf), dtype=bool)
-        mixed = key[-2] != key[-1]
-        for i in range(len(pdf)):
-            rest = slice(i + 1, None)
-            near = comp[rest] != comp[i]
-            if mixed:
-                near &= block[rest] != block[i]
-            at = np.flatnonzero(near) + i + 1
-            if len(at):
-                hit = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
-                if len(hit):
-                    likely[i] = likely[hit] = True
-        return pdf.loc[likely, [*keys, "mine", "doc_id"]]
-
-    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in [*keys, "mine", "doc_id"])
-    return cells.groupBy(*keys).applyInPandas(run, kinds)
-
-
-def links_in_cells(cells: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    In a cell a block of all members (``other`` false) meets a block of those outside the bucket's largest component
+    (``other`` true), so that each of the latter meets every member in one cell. Blocks are bounded in members and
+    shingles. What a bucket costs is the product of the two numbers, not the square of its members.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("of"))
+    whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("of").alias("of"), F.max(F.struct("n", "component", "of")).alias("most")).filter("n > most.n")
+    blocks = lambda n, of: F.greatest(F.ceil(n / F.lit(size)), F.ceil(of / F.lit(shingles)), F.lit(1)).cast("int")
+    plan = whole.select("bucket", F.col("most.component").alias("largest"), blocks(F.col("n"), F.col("of")).alias("columns"), blocks(F.col("n") - F.col("most.n"), F.col("of") - F.col("most.of")).alias("rows"))
+    placed = members.join(plan, "bucket")
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(11), "node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = [c for c in members.columns]
+    all_of = placed.select(*base, F.lit(False).alias("other"), mine("columns").alias("column"), every("rows").alias("row"))
+    others = placed.filter("component <> largest").select(*base, F.lit(True).alias("other"), mine("rows").alias("row"), every("columns").alias("column"))
+    # Without this the cells of a bucket would stay in the one task that the join above brought them to.
+    return all_of.unionByName(others).repartition("bucket", "row", "column")
+
+
+def likely_members(cells: DataFrame, limit: int) -> DataFrame:
+    """Of each cell, the members that have one of another component within ``limit`` XOR bits: (bucket, node)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch, comp, other = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), pdf["component"].to_numpy(), pdf["other"].to_numpy()
+        likely, every = np.zeros(len(pdf), dtype=bool), np.flatnonzero(~other)
+        for i in np.flatnonzero(other):
+            at = every[comp[every] != comp[i]]
+            hit = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
+            if len(hit):
+                likely[i] = likely[hit] = True
+        return pdf.loc[likely, ["bucket", "node"]].drop_duplicates()
+
+    return cells.groupBy("bucket", "row", "column").applyInPandas(run, "bucket long, node long").distinct()
+
+
+def links_in_cells(cells: DataFrame, words: int, percent: int) -> DataFrame:
     """A spanning forest (src, dst) of the links between components in each cell, decided on full shingle sets."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shingles = shingler(words)
-        pdf = pdf.drop_duplicates("doc_id")
+        other = pdf["other"].to_numpy()
         sets = [shingles(t or "") for t in pdf["text"]]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -246,22 +273,78 @@ def links_in_cells(cells: DataFrame, keys: list[str], words: int, percent: int)
         rank = np.cumsum(shared) - 1
         column, row = rank[inverse[order]], owner[order]
         width = max(1, min(int(shared.sum()), (1 << 22) // len(sets)))
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        both = np.zeros((int(other.sum()), int((~other).sum())), dtype=np.float32)
         part = np.zeros((len(sets), width), dtype=np.float32)
         for low in range(0, int(shared.sum()), width):
             a, b = np.searchsorted(column, [low, low + width])
             at = row[a:b], column[a:b] - low
             part[at] = 1
-            both += part @ part.T
+            both += part[other] @ part[~other].T
             part[at] = 0
         both = np.rint(both).astype(np.int64)
-        comp = pdf["component"].to_numpy()
-        good = linked(both, sizes[:, None], sizes[None, :], percent) & (comp[:, None] != comp[None, :])
-        ids = pdf["doc_id"].to_numpy()
-        out = forest(len(sets), np.argwhere(np.triu(good, 1)))
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in out], columns=["src", "dst"], dtype="int64")
+        comp, nodes = pdf["component"].to_numpy(), pdf["node"].to_numpy()
+        good = linked(both, sizes[other][:, None], sizes[~other][None, :], percent) & (comp[other][:, None] != comp[~other][None, :])
+        found = np.argwhere(good)
+        names, ends = np.unique(np.concatenate([nodes[other][found[:, 0]], nodes[~other][found[:, 1]]]), return_inverse=True)
+        out = forest(len(names), ends.reshape(2, -1).T)
+        return pd.DataFrame([(names[a], names[b]) for a, b in out], columns=["src", "dst"], dtype="int64")
 
-    return cells.groupBy(*keys).applyInPandas(run, "src long, dst long")
+    return cells.groupBy("bucket", "row", "column").applyInPandas(run, "src long, dst long")
+
+
+def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, chosen) of each row; see ``near_duplicates``.
+
+    ``chosen`` marks one text of each component, the first by id, nulls last, then by hash, and every row without
+    words; rows equal in id and text are chosen alike.
+    """
+    same_row = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    row_order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    with Scratch(docs.sparkSession, "near") as own:
+        texts = identified(docs, id_col, text_col)
+        signed = own.keep(signatures(texts, words), "signatures")
+        full = signed.filter("n_shingles > 0")
+        firsts = full.groupBy("fingerprint").agg(F.min(row_order).alias("first")).select("fingerprint", "first.doc_id", "first.text_hash")
+        classes = own.keep(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
+        first_rows = full.alias("f").join(classes.alias("c"), (F.col("f.fingerprint") == F.col("c.fingerprint")) & same_row("f", "c"))
+        heads = own.keep(first_rows.select("c.node", "f.n_shingles", "f.bands", "f.sketch").dropDuplicates(["node"]), "heads")
+        facts = heads.select("node", "n_shingles", "sketch")
+        banded = heads.select("node", F.explode("bands").alias("bucket"))
+        hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+        shared = own.keep(banded.join(hubs, "bucket"), "buckets")
+        limit = most_differing(percent / 100)
+        pairs = shared.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+        pairs = pairs.join(facts.toDF("dst", "n_dst", "sketch_dst"), "dst").join(facts.toDF("src", "n_src", "sketch_src"), "src")
+        sizes_fit = F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent
+        pairs = own.keep(pairs.filter(sizes_fit & (differing_bits(F.col("sketch_src"), F.col("sketch_dst")) <= limit)).select("src", "dst"), "pairs")
+        wanted = shared.select("node").distinct()
+        rows_of = classes.join(wanted, "node", "left_semi")
+        candidates = texts.alias("t").join(rows_of.alias("c"), same_row("t", "c")).select("c.node", "t.text").dropDuplicates(["node"])
+        candidates = own.keep(candidates, "candidates")
+        links = own.keep(confirmed(pairs, candidates, words, percent, cell), "links")
+        loops = wanted.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+        components = connected_components(links.union(loops), "near-components")
+
+        placed = shared.filter("members > 2").join(components, "node")
+        open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+        open_buckets = open_buckets.filter("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+        members = placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "component").join(facts, "node")
+        likely = own.keep(likely_members(dealt_cells(members, cell), limit), "likely")
+        again = likely.join(components, "node").join(facts.select("node", "n_shingles"), "node")
+        cells = dealt_cells(again, cell).join(candidates, "node").repartition("bucket", "row", "column")
+        more = own.keep(links_in_cells(cells, words, percent), "more")
+        if more.limit(1).count():
+            discard(components)
+            components = connected_components(links.union(loops).union(more), "near-components")
+
+        named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lowest = named.groupBy("component").agg(F.min(row_order).alias("first"))
+        of_class = named.select("fingerprint", "component").join(lowest, "component").select("fingerprint", "first")
+        out = signed.select("doc_id", "text_hash", "n_shingles", "fingerprint").join(of_class, "fingerprint", "left")
+        chosen = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+        done = materialize(out.select("doc_id", "text_hash", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), chosen.alias("chosen")), "near-classes")
+        discard(components)
+        return done
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,43 +353,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, cell: in
     A document's set holds its distinct shingles of ``words`` words, or its whole word sequence if that is shorter.
     Documents are linked where 100 * intersection >= percent * union, with a default of five words and 0.8; a
     component's id is its smallest document id. Null, empty and blank texts have no shingles and are linked with
-    nothing. Rows repeated with the same id are in one component, of course, and come back as often as they were
-    there; one without an id is kept unless it is a copy of one with an id. An empty table gives an empty one; other columns are ignored. Very long texts cost memory in proportion.
+    nothing. Repeated rows come back as often as they were there; rows with one id and different texts are compared
+    like any others, and those without an id are kept unless they are copies of one with an id. An empty table gives
+    an empty one; other columns are ignored. Very long texts cost memory in proportion.
+    """
+    found = near_classes(docs, words, percent, cell, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are left when one row of each group of near duplicates stays.
+
+    The one that stays has the first id, nulls last; of rows equal in id and text any. Rows without words all stay,
+    but of those equal in id and text one. Different texts that share an id are no duplicates.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(texts, words, "doc_id", "text"), "near-signatures")
-    full = signed.filter("n_shingles > 0")
-    classes = materialize(full.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "near-classes")
-    heads = materialize(
-        full.select("doc_id", "fingerprint", "n_shingles", "bands", "sketch").join(classes, "fingerprint").filter("doc_id = first").dropDuplicates(["doc_id"]).drop("first", "fingerprint"), "near-heads"
-    )
-    banded = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(banded.join(hubs, "bucket"), "near-buckets")
-    limit = most_differing(percent / 100)
-    pairs = shared.filter("doc_id <> hub").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst")).distinct()
-    facts = heads.select("doc_id", "n_shingles", "sketch")
-    pairs = pairs.join(facts.toDF("dst", "n_dst", "sketch_dst"), "dst").join(facts.toDF("src", "n_src", "sketch_src"), "src")
-    sizes_fit = F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent
-    pairs = materialize(pairs.filter(sizes_fit & (differing_bits(F.col("sketch_src"), F.col("sketch_dst")) <= limit)).select("src", "dst"), "near-pairs")
-    wanted = shared.select("doc_id").distinct()
-    candidates = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-candidates")
-    links = materialize(confirmed(pairs, candidates, words, percent), "near-links")
-    loops = wanted.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
-    components = connected_components(links.union(loops), "near-components")
-
-    placed = shared.filter("members > 2").join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id")
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
-    open_buckets = open_buckets.filter("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = placed.join(open_buckets, "bucket", "left_semi").select("bucket", "doc_id", "component").join(facts.select("doc_id", "sketch"), "doc_id")
-    keys = ["bucket", "lo", "hi"]
-    cells = block_pairs(members, ["bucket"], "doc_id", cell)
-    likely = materialize(likely_members(cells, keys, limit), "near-likely")
-    again = likely.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id").join(candidates, "doc_id")
-    more = materialize(links_in_cells(again, keys, words, percent), "near-more")
-    if more.limit(1).count():
-        components = connected_components(links.union(loops).union(more), "near-components")
-
-    of_class = classes.join(components.select(F.col("node").alias("first"), "component"), "first", "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "fingerprint").join(of_class, "fingerprint", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = near_classes(docs, words, percent, cell, id_col, text_col).filter("chosen").select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash")).distinct()
+    rows = docs.withColumn("__row_id", F.col(id_col).cast("long")).withColumn("__row_hash", F.xxhash64(F.col(text_col)))
+    kept = rows.join(chosen, F.col("__row_id").eqNullSafe(F.col("__near_id")) & (F.col("__row_hash") == F.col("__near_hash")), "left_semi")
+    return kept.dropDuplicates(["__row_id", "__row_hash"]).select(*docs.columns)

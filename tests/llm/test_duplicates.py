@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -30,6 +31,73 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def chain(n, seed=None):
+    """A path that ends in 0, its other nodes numbered upwards or, with a seed, at random."""
+    names = [*range(1, n), 0]
+    if seed is not None:
+        random.Random(seed).shuffle(names)
+    return list(zip(names, names[1:]))
+
+
+@pytest.mark.parametrize("links", [chain(62), chain(280, 1), chain(5_000, 2), [(0, i) for i in range(1, 3_000)] + chain(40, 4)])
+def test_rounds_are_logarithmic(spark, links):
+    nodes = {x for e in links for x in e}
+    table = spark.createDataFrame(links, "src long, dst long")
+    for finish in (0, 100):
+        rounds = []
+        got = common.connected_components(table, finish=finish, rounds=rounds)
+        assert {r.node: r.component for r in got.collect()} == components(nodes, links)
+        assert len(rounds) <= 4 * math.log2(len(nodes)) and rounds == sorted(rounds, reverse=True)
+
+
+def test_scratch_tables_go(spark):
+    def folders():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {str(f.getPath()) for f in fs.listStatus(path)}
+
+    before = folders()
+    common.connected_components(spark.createDataFrame(chain(50), "src long, dst long"), finish=0)
+    assert len(folders() - before) == 1
+    near_dup.near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert len(folders() - before) == 2
+
+
+def drifting(n, seed):
+    """Documents that each differ by five words from the next, in random order but for the smallest id, which ends them."""
+    rnd = random.Random(seed)
+    words = ["d%d" % rnd.randrange(1 << 30) for _ in range(5 * n + 200)]
+    ids = list(range(1, n))
+    rnd.shuffle(ids)
+    return [(i, " ".join(words[5 * k : 5 * k + 200])) for k, i in enumerate([*ids, 0])]
+
+
+def test_drifting_documents_are_one_group(spark):
+    rows = drifting(280, 3)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+    assert {tuple(r) for r in got.collect()} == brute_near(rows, 3, 85) and {r.component_id for r in got.collect()} == {0}
+
+
+def test_drifting_vectors_are_one_group(spark):
+    """Neighbours on an arc are 0.2 apart, over many cells."""
+    names = [*range(1, 5_000), 0]
+    random.Random(2).shuffle(names)
+    rows = [(i, [float(np.cos(k * 0.2)), float(np.sin(k * 0.2)), 0.01 * k], 1) for k, i in enumerate(names[:31])]
+    rows += [(10_000 + i, [float(np.cos(k)), float(np.sin(k))], 2) for k, i in zip(np.linspace(0, 3, 1_000), range(1_000))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in vector_dup.near_vectors(table, per_cell=8).collect()} == brute_vectors(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "other words"), (None, "other words"), (1, None), (1, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __id int")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near_dup.near_duplicates(docs).collect()))
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 1, 3, True), (-1, 1, 3, False), (1, 0, 1, True), (1, 0, 1, True)])
+    left = near_dup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r["__id"]) for r in left.collect()) == sorted([(1, rows[0][1], 0), (1, rows[1][1], 1), (3, "other words", 4), (1, "", 6), (1, "", 7)])
+
+
 def test_block_pairs_meet_once(spark):
     members = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3)) for i in range(n)], "k int, item long")
     cells = {}
