@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.llm.common import materialize, table
 from chronoplane.llm.language_id import REJECT_RATE, UNKNOWN, held_out, identify_languages, training_sample
-from chronoplane.llm.near_dup import near_duplicates
+from chronoplane.llm.near_dup import without_near_duplicates
 from chronoplane.llm.packing import pack_documents
 from chronoplane.llm.pii import find_pii, masked_text
 
@@ -43,11 +43,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five words, 0.8): the one with the smallest id, once.
 
-    Documents without an id stay.
+    Rows are told apart by id and text, so different texts under one id both stay. Documents without an id stay.
     """
-    named = docs.filter("doc_id is not null")
-    kept = near_duplicates(named).filter("kept").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return without_near_duplicates(docs.filter("doc_id is not null")).unionByName(docs.filter("doc_id is null"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
