@@ -328,10 +328,10 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, cell: int =
         placed = shared.filter("members > 2").join(components, "node")
         open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
         open_buckets = open_buckets.filter("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-        members = placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "component").join(facts, "node")
-        likely = own.keep(likely_members(dealt_cells(members, cell), limit), "likely")
-        again = likely.join(components, "node").join(facts.select("node", "n_shingles"), "node")
-        cells = dealt_cells(again, cell).join(candidates, "node").repartition("bucket", "row", "column")
+        members = own.keep(placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "component").join(facts, "node"), "members")
+        likely = likely_members(dealt_cells(members, cell), limit)
+        likely = own.keep(members.drop("sketch").join(likely, ["bucket", "node"], "left_semi"), "likely")
+        cells = dealt_cells(likely, cell).join(candidates, "node").repartition("bucket", "row", "column")
         more = own.keep(links_in_cells(cells, words, percent), "more")
         if more.limit(1).count():
             discard(components)
