@@ -117,13 +117,35 @@ def test_pii_base_spans_equal_plain_patterns(spark, sf):
 
 
 def test_pii_added_kinds_scores_and_masking(spark):
-    text = "konto DE89 3704 0044 0532 0130 00 ok, DE88370400440532013000 no. token = \"f33e61083db5dbdf4bd2\" mail a@b.org"
+    text = "konto DE89 3704 0044 0532 0130 00 ok, DE88370400440532013000 no, and here is something else to read on. token = \"f33e61083db5dbdf4bd2\" mail a@b.org"
     docs = spark.createDataFrame([(1, text, 3), (2, None, 4)], "doc_id long, text string, kind int")
     found = pii.find_pii(docs)
-    spans = {(s.kind, text[s.start : s.end], round(s.score, 2)) for s in found.filter("doc_id = 1").first().pii_spans}
-    assert spans == {("iban", "DE89 3704 0044 0532 0130 00", 0.9), ("secret", 'token = "f33e61083db5dbdf4bd2"', 0.7), ("email", "a@b.org", 1.0)}
+    spans = {(s.kind, text[s.start : s.end], s.score) for s in found.filter("doc_id = 1").first().pii_spans}
+    assert spans == {("iban", "DE89 3704 0044 0532 0130 00", 0.7), ("secret", "f33e61083db5dbdf4bd2", 0.6), ("email", "a@b.org", 1.0)}
     masked = {r.doc_id: r.text for r in pii.masked_text(found).collect()}
-    assert masked == {1: "konto [IBAN] ok, DE88370400440532013000 no. [SECRET] mail [EMAIL]", 2: None}
+    assert masked == {1: 'konto [IBAN] ok, DE88370400440532013000 no, and here is something else to read on. token = "[SECRET]" mail [EMAIL]', 2: None}
+    digest = pii.pii_digests(docs).filter("doc_id = 1").first()
+    assert (digest.n_iban, digest.n_secret, digest.scores) == (1, 1, "1.0,0.7,0.6")
+
+
+def test_context_words_decide_added_kinds(spark):
+    iban, secret = "DE89370400440532013000", "f33e61083db5dbdf4bd2"
+    far = "x" * pii.NEAR
+    rows = [
+        (f"account {iban}", "iban"), (f"{iban} (bank)", "iban"), (f"number {iban} of it", ""), (f"bank {far} {iban} {far} bank", ""), (f"riverbank {iban}", ""),
+        (f"password: {secret}", "secret"), (f"{secret} is the API key", "secret"), (f"commit {secret} of it", ""), (f"token {far} {secret}", ""), (f"monkey {secret}", ""), (f"keyboard {secret}", ""), (f"api_key={secret}", "secret"), ("token abcdefghijklmnopqrst", ""),
+        (f"a konto {iban} and {iban}", "iban,iban"), (f"token {secret}{secret} x", "secret"), (f"key {secret[:15]}", ""), ("key " + "-" * 30 + "a1", "secret"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(s.kind for s in r.pii_spans) for r in pii.find_pii(docs).collect()}
+    assert got == {i: kinds for i, (_, kinds) in enumerate(rows)}
+
+
+def test_many_spans_in_one_text(spark):
+    parts = [f"é{'x' * (i % 7)} user{i}@example.org 10.0.{i % 256}.{i // 256} " for i in range(3_000)]
+    text = "".join(parts)
+    got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().pii_spans
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in got] == brute_spans(text) and len(got) == 6_000
 
 
 def test_account_numbers_before_short_words(spark):
