@@ -21,11 +21,16 @@ def brute_phrases(text, sample):
 def test_cross_parse_equals_substring_search():
     rnd = np.random.default_rng(1)
     for letters in ("ab", "abc", "abcdefg"):
-        sample = "".join(rnd.choice(list(letters), 300))
-        root = language_id.automaton(sample)
-        for _ in range(80):
-            text = "".join(rnd.choice(list(letters + "z"), rnd.integers(0, 60)))
-            assert language_id.phrases(text, root) == brute_phrases(text, sample)
+        sample = tuple((lang, "".join(rnd.choice(list(letters), 300))) for lang in "xy")
+        parser = language_id.CrossParser(sample)
+        texts = ["".join(rnd.choice(list(letters + "z\U0001f642"), rnd.integers(0, 60))) for _ in range(80)]
+        assert parser.counts(texts).tolist() == [[brute_phrases(t, s) for _, s in sample] for t in texts]
+        parts = [sum((np.array([brute_phrases(t[i : i + 7], s) for _, s in sample]) for i in range(0, len(t), 7)), np.zeros(2, dtype=int)).tolist() for t in texts]
+        assert parser.counts(texts, stretch=7).tolist() == parts
+
+
+def test_only_letters_make_words():
+    assert language_id.normalized("½ ² Ⅷ ① 12 _ ") == "" and language_id.normalized("a½b Über_x9 一二") == " a b über x 一二"
 
 
 def test_held_out_accuracy(spark):
@@ -40,12 +45,12 @@ def test_held_out_accuracy(spark):
 
 
 def test_language_edge_cases(spark):
-    rows = [(1, "the cat and the dog", "en", 0.5), (2, "der hund und die katze", "de", 0.5), (3, None, None, None), (4, "", "en", 0.1), (5, "12 + 34 = 46!", "de", 0.1), (6, "und der hund " * 20_000, None, 0.2), (7, "the dog", None, 0.2), (7, "the dog", None, 0.2)]
+    rows = [(1, "the cat and the dog", "en", 0.5), (2, "der hund und die katze", "de", 0.5), (3, None, None, None), (4, "", "en", 0.1), (5, "12 + 34 = 46!", "de", 0.1), (6, "und der hund " * 20_000, None, 0.2), (7, "the dog", None, 0.2), (7, "the dog", None, 0.2), (8, "½ ² Ⅷ ①", "de", 0.3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     sample = language_id.training_sample(docs)
     assert [x[0] for x in sample] == ["de", "en"]
     out = language_id.identify_languages(docs, sample).collect()
-    assert sorted((r.doc_id, r.lang_pred) for r in out) == [(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (6, "de"), (7, "en"), (7, "en")]
+    assert sorted((r.doc_id, r.lang_pred) for r in out) == [(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (6, "de"), (7, "en"), (7, "en"), (8, "und")]
     assert {r.lang_pred for r in language_id.identify_languages(docs, ()).collect()} == {"und"}
     assert language_id.language_predictions(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id.language_predictions(docs.filter("lang is null")).collect()} == {"und"}

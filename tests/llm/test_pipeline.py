@@ -42,10 +42,9 @@ def test_pipeline_runs_whole(spark, sf):
     packed = pipeline.run(spark, sf).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     sample = language_id.training_sample(docs.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
-    languages = language_id.automata(sample)
     stay = []
     for doc_id, text in texts.items():
-        lang, _, rate = language_id.judge(text, languages)
+        lang, _, rate = language_id.judge([text], sample)[0]
         if lang != "und" and rate < language_id.REJECT_RATE:
             stay.append((doc_id, text))
     assert {r.doc_id for r in packed} == {r[0] for r in brute_near(stay, 5, 80) if r[3]}
