@@ -1,26 +1,29 @@
 """Attribution of measured usage to phases: rules, demand, upsampling, attribution.
 
 All tables are long: a metric is its measurement periods, a demand its steps, an attribution its steps. Times are
-nanoseconds. Periods and phases meet by equi-joins on the metric and on change points (operators.intervals); only the
-fit and the capped allocation inside a period are sequential per metric and run as grouped pandas functions.
+nanoseconds. Periods and phases meet by equi-joins on the metric and time buckets (operators.intervals). Only the fit
+of a metric's coefficients, from sums over its periods, runs in Python.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_div
-from ..operators.intervals import coalesce_intervals, sliced
+from ..operators.intervals import coalesce_intervals, merged_steps, step_sums, temporal_join
+from ..schema import DURATION, END, START
 from ..storage import written
-from .nnls import nnls
+from .nnls import nnls_of_sums
 
 NONE, EXACT, VARIABLE = "none", "exact", "variable"
 #: Rules given by the user: for (metric_path, phase_path) a kind and a demand; they override the fitted ones.
 OVERRIDES = "metric_path string, phase_path string, kind string, demand double"
 RULES = OVERRIDES
+PARTS = 64
+ALL_EXACT, ALL_VARIABLE = "\x01exact", "\x01variable"  # stand for the phases with rules of these kinds given
 
 
 def canonical_machine(name: Column, aliases: dict[str, str]) -> Column:
@@ -33,18 +36,28 @@ def canonical_machine(name: Column, aliases: dict[str, str]) -> Column:
 def candidate_pairs(metrics: DataFrame, phases: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """(metric_path, phase_path, phase_type, start_ns, end_ns) of leaf phases and metrics that are not on different machines.
 
-    Phases and metrics of the same machine meet in an equi-join; those without a machine have a join key of their own.
+    Phases and metrics of the same machine meet in an equi-join. Those without a machine belong to all of the other
+    side, a product by definition, which is dealt over PARTS by the phases.
     """
     m = metrics.select("metric_path", canonical_machine(F.col("machine"), aliases).alias("mm")).distinct()
     p = phases.filter("is_leaf").select(F.col("path").alias("phase_path"), F.col("type").alias("phase_type"), "start_ns", "end_ns", canonical_machine(F.col("machine"), aliases).alias("pm"))
     columns = ["metric_path", "phase_path", "phase_type", "start_ns", "end_ns"]
     same = m.join(p, F.col("mm") == F.col("pm")).select(*columns)
-    key = F.lit(1).alias("any")
-    free_metrics = m.filter("mm is null").select("*", key).join(p.select("*", key), "any").select(*columns)
-    free_phases = m.filter("mm is not null").select("*", key).join(p.filter("pm is null").select("*", key), "any").select(*columns)
+    dealt = p.withColumn("part", F.pmod(F.xxhash64("phase_path"), F.lit(PARTS)))
+    spread = m.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    free_metrics = spread.filter("mm is null").join(dealt, "part").select(*columns)
+    free_phases = spread.filter("mm is not null").join(dealt.filter("pm is null"), "part").select(*columns)
     return same.unionByName(free_metrics).unionByName(free_phases)
 
 
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows of equal keys that overlap, with the stretch they share as start_ns and end_ns."""
+    a = left.withColumnsRenamed({"start_ns": START, "end_ns": END})
+    b = right.withColumnsRenamed({"start_ns": START, "end_ns": END} | {k: f"__{k}" for k in keys})
+    met = temporal_join(a, b, [(F.col(k), F.col(f"__{k}")) for k in keys], eager=True)
+    return met.drop(DURATION, *(f"__{k}" for k in keys)).withColumnsRenamed({START: "start_ns", END: "end_ns"})
+
+
 def activity(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
     """(metric_path, start_ns, end_ns, phase_type, active): the sum of the phases' shares of each period.
 
@@ -52,48 +65,55 @@ def activity(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     if "factor" not in pairs.columns:
         pairs = pairs.withColumn("factor", F.lit(1.0))
-    periods = metrics.select("metric_path", F.col("start_ns").alias("p_start"), F.col("end_ns").alias("p_end"))
-    marks = periods.select("metric_path", F.col("p_start").alias("start_ns"), F.col("p_end").alias("end_ns"), F.lit(None).cast("string").alias("phase_type"), F.lit(None).cast("double").alias("factor"), F.struct("p_start", "p_end").alias("period"))
-    spans = pairs.filter("start_ns < end_ns").select("metric_path", "start_ns", "end_ns", "phase_type", "factor", F.lit(None).cast("struct<p_start:bigint,p_end:bigint>").alias("period"))
-    parts = sliced(marks.unionByName(spans), ["metric_path"], "start_ns", "end_ns")
-    # Within a slice there is at most one period; every phase active there gets it.
-    of_slice = parts.filter("period is not null").select("metric_path", "__s", "__e", "period.*")
-    phases = parts.filter("period is null").groupBy("metric_path", "__s", "__e", "phase_type").agg(F.sum("factor").alias("n"))
-    met = phases.join(of_slice, ["metric_path", "__s", "__e"])
-    share = F.col("n") * (F.col("__e") - F.col("__s")) / (F.col("p_end") - F.col("p_start"))
+    periods = metrics.select("metric_path", "start_ns", "end_ns", F.col("start_ns").alias("p_start"), F.col("end_ns").alias("p_end"))
+    met = overlaps(pairs.select("metric_path", "start_ns", "end_ns", "phase_type", "factor").filter("start_ns < end_ns"), periods, ["metric_path"])
+    share = F.col("factor") * (F.col("end_ns") - F.col("start_ns")) / (F.col("p_end") - F.col("p_start"))
     return met.groupBy("metric_path", F.col("p_start").alias("start_ns"), F.col("p_end").alias("end_ns"), "phase_type").agg(F.sum(share).alias("active"))
 
 
 def fitted_rules(metrics: DataFrame, pairs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """A rule for every pair: the override if there is one, else a variable demand fitted per metric and phase type."""
+    """A rule for every pair: the override if there is one, else a variable demand fitted per metric and phase type.
+
+    What is fitted needs of a metric's periods only the products of its activities with each other and with its values,
+    summed over the periods: as many numbers as phase types, squared.
+    """
     plain, exact, given = pairs, None, None
     if overrides is not None:
         given = pairs.join(overrides, ["metric_path", "phase_path"])
         plain = pairs.join(overrides.select("metric_path", "phase_path"), ["metric_path", "phase_path"], "left_anti")
-        exact = activity(metrics, given.filter(F.col("kind") == EXACT).withColumns({"factor": F.col("demand"), "phase_type": F.lit("\x01exact")}))
+        exact = activity(metrics, given.filter(F.col("kind") == EXACT).withColumns({"factor": F.col("demand"), "phase_type": F.lit(ALL_EXACT)}))
     acts = activity(metrics, plain)
     if given is not None:
-        acts = acts.unionByName(exact).unionByName(activity(metrics, given.filter(F.col("kind") == VARIABLE).withColumns({"factor": F.col("demand"), "phase_type": F.lit("\x01variable")})))
-
-    def fit(key: tuple, periods: pd.DataFrame, acts: pd.DataFrame) -> pd.DataFrame:
-        periods = periods.sort_values("start_ns").reset_index(drop=True)
-        row = pd.Series(periods.index, index=periods["start_ns"])
-        types = sorted(t for t in acts["phase_type"].unique() if not t.startswith("\x01"))
-        columns = {t: i for i, t in enumerate([*types, "\x01variable"])}
-        y, a = periods["value"].to_numpy(dtype=np.float64).copy(), np.zeros((len(periods), len(columns)))
-        known = acts["phase_type"] == "\x01exact"
-        np.subtract.at(y, row[acts.loc[known, "start_ns"]].to_numpy(), acts.loc[known, "active"].to_numpy())
-        acts = acts[~known]
-        a[row[acts["start_ns"]].to_numpy(), acts["phase_type"].map(columns).to_numpy(dtype=np.int64)] = acts["active"].to_numpy()
-        x = nnls(a, np.maximum(y, 0))
-        return pd.DataFrame({"metric_path": key[0], "phase_type": list(columns), "coefficient": x})
-
-    acts = acts.select(F.col("metric_path").alias("of_metric"), F.col("start_ns").alias("start_ns"), F.col("phase_type").alias("phase_type"), F.col("active").alias("active"))
-    fits = metrics.select("metric_path", "start_ns", "value").groupBy("metric_path").cogroup(acts.groupBy("of_metric")).applyInPandas(fit, "metric_path string, phase_type string, coefficient double")
+        acts = acts.unionByName(activity(metrics, given.filter(F.col("kind") == VARIABLE).withColumns({"factor": F.col("demand"), "phase_type": F.lit(ALL_VARIABLE)})))
+    period, number = ["metric_path", "start_ns"], lambda c: F.when(F.isnan(c), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    acts = acts.select(*period, "phase_type", number(F.col("active")).alias("active"))
+    values = metrics.select(*period, number(F.col("value")).alias("y"))
+    if exact is not None:
+        known = exact.select(*period, F.col("active").alias("known"))
+        values = values.join(known, period, "left").select(*period, F.greatest(F.col("y") - F.coalesce("known", F.lit(0.0)), F.lit(0.0)).alias("y"))
+    else:
+        values = values.select(*period, F.greatest("y", F.lit(0.0)).alias("y"))
+    acts = written(acts.join(values, period), "activities")
+    others = acts.select(*period, F.col("phase_type").alias("other"), F.col("active").alias("other_active"))
+    products = acts.join(others, period).groupBy("metric_path", "phase_type", "other").agg(F.sum(F.col("active") * F.col("other_active")).alias("product"))
+    right = acts.groupBy("metric_path", "phase_type").agg(F.sum(F.col("active") * F.col("y")).alias("product"))
+    sums = products.unionByName(right.withColumn("other", F.lit(None).cast("string")))
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        types = sorted(pdf["phase_type"].unique())
+        at = {t: i for i, t in enumerate(types)}
+        of_types = pdf[pdf["other"].notna()]
+        gram, by_value = np.zeros((len(types), len(types))), np.zeros(len(types))
+        gram[of_types["phase_type"].map(at), of_types["other"].map(at)] = of_types["product"]
+        of_values = pdf[pdf["other"].isna()]
+        by_value[of_values["phase_type"].map(at)] = of_values["product"]
+        return pd.DataFrame({"metric_path": key[0], "phase_type": types, "coefficient": nnls_of_sums(gram, by_value)})
+
+    fits = sums.groupBy("metric_path").applyInPandas(fit, "metric_path string, phase_type string, coefficient double")
     # A type without activity in any period still has a rule, with demand 0.
     rules = plain.join(fits, ["metric_path", "phase_type"], "left").select("metric_path", "phase_path", F.lit(VARIABLE).alias("kind"), F.coalesce("coefficient", F.lit(0.0)).alias("demand"))
     if given is not None:
-        scale = fits.filter(F.col("phase_type") == "\x01variable").select("metric_path", F.col("coefficient").alias("scale"))
+        scale = fits.filter(F.col("phase_type") == ALL_VARIABLE).select("metric_path", F.col("coefficient").alias("scale"))
         scaled = given.join(scale, "metric_path", "left").select("metric_path", "phase_path", "kind", F.when(F.col("kind") == VARIABLE, F.col("demand") * F.coalesce("scale", F.lit(0.0))).otherwise(F.col("demand")).alias("demand"))
         rules = rules.unionByName(scaled)
     return rules
@@ -102,86 +122,57 @@ def fitted_rules(metrics: DataFrame, pairs: DataFrame, overrides: DataFrame | No
 def demand(metrics: DataFrame, rules: DataFrame, phases: DataFrame, kind: str) -> DataFrame:
     """(metric_path, start_ns, end_ns, demand): the sum of the demands of the leaf phases active, over each metric's span.
 
-    Sums are taken afresh over the phases active in a slice, not carried along.
+    Sums are exact (see ``step_sums``), not floating-point numbers carried along.
     """
     span = metrics.groupBy("metric_path").agg(F.min("start_ns").alias("low"), F.max("end_ns").alias("high"))
     own = rules.filter(F.col("kind") == kind).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").select("metric_path", "start_ns", "end_ns", "demand")
     own = own.join(span, "metric_path").select("metric_path", F.greatest("start_ns", "low").alias("start_ns"), F.least("end_ns", "high").alias("end_ns"), "demand").filter("start_ns < end_ns")
     base = span.filter("low < high").select("metric_path", F.col("low").alias("start_ns"), F.col("high").alias("end_ns"), F.lit(0.0).alias("demand"))
-    parts = sliced(base.unionByName(own), ["metric_path"], "start_ns", "end_ns")
-    steps = parts.groupBy("metric_path", F.col("__s").alias("start_ns"), F.col("__e").alias("end_ns")).agg(F.sum("demand").alias("demand"))
+    steps = step_sums(written(base.unionByName(own), "demands"), ["demand"], ["metric_path"], "start_ns", "end_ns", eager=True)
     return coalesce_intervals(steps, ["metric_path"], ["demand"], "start_ns", "end_ns")
 
 
-def allocate(value: float, most: float, share: np.ndarray, exact: np.ndarray, variable: np.ndarray) -> np.ndarray:
-    """Spread a period's mean value over its parts: by exact demand, then variable demand, then evenly, capped each time.
+def fill(parts: DataFrame, period: list[str], amount: str, weight: Column, room: Column, name: str) -> DataFrame:
+    """parts with a column ``name``: how much of a period's mean ``amount`` each gets, in proportion to its weight, but
+    no more than its room; and with the ``amount`` less what was given out.
 
-    share: each part's fraction of the period. Parts are served in descending order of what they ask for relative to
-    their room; ties keep their order in time.
+    Parts have a ``share`` of their period. A part gets min(level * weight, room), for the level at which all of the
+    amount is given out. With the parts in the order of the level that fills them, room / weight, the straight line that
+    counts those before a part as full and the others as not full is never below what is given out, and touches it at
+    some part; so the level is the largest of those at which these lines reach the amount. If there is less room than
+    that, the last line fills all parts.
     """
-    out, left = np.zeros(len(share)), value
-
-    def rounds(weight: np.ndarray, order_by: np.ndarray, cap: np.ndarray) -> None:
-        nonlocal left
-        remaining = float(weight @ share)
-        for i in np.argsort(-order_by, kind="stable"):
-            if remaining <= 0:
-                return
-            given = min(left / remaining * weight[i], cap[i])
-            out[i] += given
-            left = max(left - given * share[i], 0.0)
-            remaining -= weight[i] * share[i]
-
-    rounds(exact, exact, np.minimum(exact, most))
-    if left > 0:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rounds(variable, np.nan_to_num(variable / (most - out), nan=0.0, posinf=np.inf), most - out)
-    if left > 0:
-        time, cap = 1.0, most - out
-        for i in np.argsort(-out, kind="stable"):
-            given = min(left / time if time > 0 else np.inf, cap[i])
-            out[i] += given
-            left = max(left - given * share[i], 0.0)
-            time -= share[i]
-    return out
+    room = F.when(weight > 0, room).otherwise(0.0)
+    whole = Window.partitionBy(*period)
+    by_level = whole.orderBy(F.when(weight > 0, room / weight).asc_nulls_last(), "start_ns")
+    full_before = F.coalesce(F.sum(F.col("share") * room).over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    slope = F.sum(F.col("share") * weight).over(by_level.rowsBetween(0, Window.unboundedFollowing))
+    lined = parts.withColumn("__line", F.try_divide(F.col(amount) - full_before, F.nullif(slope, F.lit(0.0))))
+    level = F.greatest(F.coalesce(F.max("__line").over(whole), F.lit(0.0)), F.lit(0.0))
+    given = lined.withColumn(name, F.least(level * weight, room)).drop("__line")
+    return given.withColumn(amount, F.greatest(F.col(amount) - F.sum(F.col(name) * F.col("share")).over(whole), F.lit(0.0)))
 
 
 def upsample(metrics: DataFrame, exact: DataFrame, variable: DataFrame, merge: bool = True) -> DataFrame:
-    """(metric_path, start_ns, end_ns, value, max_value): periods in which demand changes are split at the changes."""
-    none = F.lit(None).cast("double")
-    rows = (
-        metrics.select("metric_path", "start_ns", "end_ns", "value", "max_value", none.alias("exact"), none.alias("variable"), F.col("start_ns").alias("period"))
-        .unionByName(exact.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("exact")), allowMissingColumns=True)
-        .unionByName(variable.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("variable")), allowMissingColumns=True)
-    )
-    parts = sliced(rows, ["metric_path"], "start_ns", "end_ns").groupBy("metric_path", F.col("__s").alias("start_ns"), F.col("__e").alias("end_ns")).agg(*(F.max(c).alias(c) for c in ("value", "max_value", "exact", "variable", "period")))
-    parts = parts.filter("period is not null")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_ns")
-        length = (pdf["end_ns"] - pdf["start_ns"]).to_numpy(dtype=np.float64)
-        values = allocate(float(pdf["value"].iloc[0]), float(pdf["max_value"].iloc[0]), length / length.sum(), pdf["exact"].to_numpy(), pdf["variable"].to_numpy())
-        return pdf.assign(value=values)[["metric_path", "start_ns", "end_ns", "value", "max_value"]]
-
-    def by_metric(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.fillna({"exact": 0.0, "variable": 0.0})
-        return pd.concat([split(part) for _, part in pdf.groupby("period", sort=True)])
-
-    # Periods are allocated independently, so a long metric is dealt over tasks by stretches of its periods.
-    stretch = F.pmod(F.xxhash64("period"), F.lit(64)).alias("stretch")
-    single = F.count("*").over(_per("metric_path", "period")) == 1
-    parts = parts.withColumn("single", single)
-    columns = ["metric_path", "start_ns", "end_ns", "value", "max_value"]
-    done = parts.filter("single").select(*columns)
-    dealt = parts.filter("not single").groupBy("metric_path", stretch).applyInPandas(by_metric, "metric_path string, start_ns long, end_ns long, value double, max_value double")
-    out = done.unionByName(dealt.select(*columns))
-    return coalesce_intervals(out, ["metric_path", "max_value"], ["value"], "start_ns", "end_ns") if merge else out
-
+    """(metric_path, start_ns, end_ns, value, max_value): periods in which demand changes are split at the changes.
 
-def _per(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+    A period's mean value is given out to its parts in proportion to their exact demand, at most that demand; what is
+    left in proportion to their variable demand, and what is left then evenly, always at most the metric's limit.
+    """
+    periods = metrics.select("metric_path", "start_ns", "end_ns", "value", "max_value", F.col("start_ns").alias("period"))
+    demands = [d.select("metric_path", "start_ns", "end_ns", F.col("demand").alias(n)) for d, n in ((exact, "exact"), (variable, "variable"))]
+    parts = merged_steps([(periods, ["value", "max_value", "period"]), *((d, [n]) for d, n in zip(demands, ("exact", "variable")))], ["metric_path"], "start_ns", "end_ns", eager=True)
+    parts = parts.filter("period is not null").fillna(0.0, ["exact", "variable"])
+    period = ["metric_path", "period"]
+    of_period, length = Window.partitionBy(*period), F.col("end_ns") - F.col("start_ns")
+    even = (F.min("exact").over(of_period) == F.max("exact").over(of_period)) & (F.min("variable").over(of_period) == F.max("variable").over(of_period))
+    parts = parts.withColumns({"share": length / F.sum(length).over(of_period), "left": F.col("value"), "even": even})
+    most = F.col("max_value")
+    parts = fill(parts, period, "left", F.col("exact"), F.least("exact", most), "x")
+    parts = fill(parts, period, "left", F.col("variable"), most - F.col("x"), "y")
+    parts = fill(parts, period, "left", F.lit(1.0), most - F.col("x") - F.col("y"), "z")
+    out = parts.select("metric_path", "start_ns", "end_ns", F.when(F.col("even"), F.col("value")).otherwise(F.col("x") + F.col("y") + F.col("z")).alias("value"), "max_value")
+    return coalesce_intervals(out, ["metric_path", "max_value"], ["value"], "start_ns", "end_ns") if merge else out
 
 
 def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact: DataFrame, variable: DataFrame) -> DataFrame:
@@ -190,25 +181,22 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
     An exact demand d of a total D takes min(usage * d / D, d); a variable one takes (usage - D exact) * d / D
     variable; a demand of 0 takes nothing and could have everything.
     """
-    none = F.lit(None).cast("double")
-    level = (
-        upsampled.select("metric_path", "start_ns", "end_ns", F.col("value").alias("u"), F.col("max_value").alias("cap"), none.alias("x"), none.alias("v"))
-        .unionByName(exact.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("x")), allowMissingColumns=True)
-        .unionByName(variable.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("v")), allowMissingColumns=True)
-    )
+    series = [
+        (upsampled.select("metric_path", "start_ns", "end_ns", F.col("value").alias("u"), F.col("max_value").alias("cap")), ["u", "cap"]),
+        (exact.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("x")), ["x"]),
+        (variable.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("v")), ["v"]),
+    ]
+    level = written(merged_steps(series, ["metric_path"], "start_ns", "end_ns", eager=True).filter("u is not null"), "levels")
     spans = rules.filter(F.col("kind") != NONE).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").filter("start_ns < end_ns")
-    rows = level.unionByName(spans.select("metric_path", "start_ns", "end_ns", "phase_path", "kind", "demand"), allowMissingColumns=True)
-    parts = sliced(rows, ["metric_path"], "start_ns", "end_ns")
-    at = parts.filter("phase_path is null").groupBy("metric_path", "__s", "__e").agg(*(F.max(c).alias(c) for c in ("u", "cap", "x", "v"))).filter("u is not null")
-    own = parts.filter("phase_path is not null").select("metric_path", "phase_path", "kind", F.col("demand").alias("d"), "__s", "__e")
-    met = own.join(at, ["metric_path", "__s", "__e"])
+    spans = written(spans.select("metric_path", "phase_path", "kind", F.col("demand").alias("d"), "start_ns", "end_ns"), "spans")
+    met = overlaps(spans, level, ["metric_path"])
 
     def part_of(total: Column, when_zero: Column) -> Column:
         as_exact = F.least(ieee_div(total * F.col("d"), F.col("x")), F.col("d"))
         as_variable = ieee_div(F.greatest(total - F.col("x"), F.lit(0.0)) * F.col("d"), F.col("v"))
         return F.when(F.col("d") == 0, when_zero).when(F.col("kind") == EXACT, as_exact).otherwise(as_variable)
 
-    steps = met.select("metric_path", "phase_path", F.col("__s").alias("start_ns"), F.col("__e").alias("end_ns"), part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
+    steps = met.select("metric_path", "phase_path", "start_ns", "end_ns", part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
     return coalesce_intervals(steps, ["metric_path", "phase_path"], ["usage", "capacity"], "start_ns", "end_ns")
 
 
@@ -220,25 +208,30 @@ def ancestors_of(phases: DataFrame) -> DataFrame:
     return phases.filter("path <> '/'").select(F.col("path").alias("phase_path"), F.explode(above).alias("above"))
 
 
-def attribute_composites(leaves: DataFrame, phases: DataFrame) -> DataFrame:
-    """Sums over the leaves below each composite phase; 0 where none is active, over the phase's whole span."""
+def attribute_composites(leaves: DataFrame, phases: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Sums over the leaves below each composite phase; 0 where none is active, over the phase's whole span.
+
+    ``chosen`` (path) restricts the composite phases.
+    """
     span = phases.filter("not is_leaf").select(F.col("path").alias("above"), F.col("start_ns").alias("low"), F.col("end_ns").alias("high"))
+    if chosen is not None:
+        span = span.join(chosen.withColumnRenamed("path", "above"), "above", "left_semi")
     raised = leaves.join(ancestors_of(phases), "phase_path").join(span, "above").filter((F.col("start_ns") < F.col("high")) & (F.col("end_ns") > F.col("low")))
     used = raised.select("metric_path", F.col("above").alias("phase_path"), "start_ns", "end_ns", "usage", "capacity")
     base = raised.select("metric_path", F.col("above").alias("phase_path"), F.col("low").alias("start_ns"), F.col("high").alias("end_ns")).distinct().filter("start_ns < end_ns")
-    rows = used.unionByName(base.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)}))
+    rows = written(used.unionByName(base.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)})), "raised")
     keys = ["metric_path", "phase_path"]
-    parts = sliced(rows, keys, "start_ns", "end_ns").groupBy(*keys, F.col("__s").alias("start_ns"), F.col("__e").alias("end_ns")).agg(F.sum("usage").alias("usage"), F.sum("capacity").alias("capacity"))
-    return coalesce_intervals(parts, keys, ["usage", "capacity"], "start_ns", "end_ns")
+    return coalesce_intervals(step_sums(rows, ["usage", "capacity"], keys, "start_ns", "end_ns", eager=True), keys, ["usage", "capacity"], "start_ns", "end_ns")
 
 
 class Attribution:
     """The steps over one job. Each step's result is written once: later steps use it several times."""
 
-    def __init__(self, metrics: DataFrame, phases: DataFrame, aliases: dict[str, str] | None = None, overrides: DataFrame | None = None, rules: DataFrame | None = None):
+    def __init__(self, metrics: DataFrame, phases: DataFrame, aliases: dict[str, str] | None = None, overrides: DataFrame | None = None, rules: DataFrame | None = None, chosen: Column | None = None):
         self.metrics, self.phases = metrics, phases
         self._aliases, self._overrides = aliases or {}, overrides
         self._rules, self._demands = rules, {}
+        self._chosen = chosen
         self._stored = False
 
     def _inputs(self) -> None:
@@ -253,7 +246,7 @@ class Attribution:
         return self._rules
 
     def save_rules(self, path: str) -> None:
-        """Rules as a Parquet table, to be given to a later Attribution."""
+        """Rules as a Parquet table, to be given to a later Attribution or session."""
         self.rules().write.mode("overwrite").parquet(path)
 
     def demand(self, kind: str) -> DataFrame:
@@ -268,13 +261,31 @@ class Attribution:
         return upsample(self.metrics, exact, variable)
 
     def attributed(self) -> DataFrame:
-        """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of all phases."""
-        exact, variable = self.demand(EXACT), self.demand(VARIABLE)
-        leaves = written(attribute_leaves(self.rules(), self.phases, written(self.upsampled(), "upsampled"), exact, variable), "leaves")
-        return leaves.unionByName(attribute_composites(leaves, self.phases))
-
-    def only(self, metrics: Column | None = None) -> Attribution:
-        """Restricted to some metrics before anything is computed; rules are fitted per metric, so they stay the same."""
-        if metrics is None:
+        """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of all phases, or of the chosen ones.
+
+        Rules are fitted and demands added up over all phases in either case; only the chosen phases and the leaves
+        below them are attributed.
+        """
+        exact, variable, rules = self.demand(EXACT), self.demand(VARIABLE), self.rules()
+        chosen = None
+        if self._chosen is not None:
+            named = self.phases.withColumns({"phase_path": F.col("path"), "phase_type": F.col("type")})
+            chosen = written(named.filter(self._chosen).select("path").distinct(), "chosen")
+            below = ancestors_of(self.phases).join(chosen.withColumnRenamed("path", "above"), "above", "left_semi").select("phase_path")
+            needed = chosen.select(F.col("path").alias("phase_path")).unionByName(below).distinct()
+            rules = rules.join(needed, "phase_path", "left_semi")
+        leaves = written(attribute_leaves(rules, self.phases, written(self.upsampled(), "upsampled"), exact, variable), "leaves")
+        composites = attribute_composites(leaves, self.phases, chosen)
+        own = leaves if chosen is None else leaves.join(chosen.withColumnRenamed("path", "phase_path"), "phase_path", "left_semi").select(leaves.columns)
+        return own.unionByName(composites)
+
+    def only(self, metrics: Column | None = None, phases: Column | None = None) -> Attribution:
+        """Restricted to some metrics before anything is computed (rules are fitted per metric, so they stay the same),
+        and to some phases, by columns phase_path and phase_type, before anything is attributed."""
+        if metrics is None and phases is None:
             return self
-        return Attribution(self.metrics.filter(metrics), self.phases, self._aliases, self._overrides, self._rules)
+        kept = self.metrics if metrics is None else self.metrics.filter(metrics)
+        out = Attribution(kept, self.phases, self._aliases, self._overrides, self._rules, phases)
+        if metrics is None:
+            out._demands, out._stored = self._demands, self._stored
+        return out

@@ -7,6 +7,7 @@ paths: ``**`` any text, ``*`` any text without ``/``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,14 +86,46 @@ def _suffix(path: Column, n: int) -> Column:
     return F.regexp_extract(path, rf"(?s)\A.(?:[^/:]*[/:]){{{-n}}}(.*)\z", 1)
 
 
-def _varying(path: Column, n: Column, of) -> Column:
-    """A count that varies by row: one branch for each value within the depths a path can have here."""
-    deepest = 32
-    n = F.greatest(F.least(n, F.lit(deepest)), F.lit(-deepest))
-    out = F.lit(None).cast("string")
-    for k in range(-deepest, deepest + 1):
-        out = F.when(n == k, of(path, k)).otherwise(out)
-    return out
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_parts(path: Column) -> Column:
+    """The first character with what follows it up to a separator, then each separator with what follows it."""
+    return F.regexp_extract_all(path, F.lit(r"(?s)\A.[^/:]*|[/:][^/:]*"), F.lit(0))
+
+
+def _closed(parts: Column) -> Column:
+    """Parts of which a last one that is a bare separator belongs to the one before."""
+    n = F.size(parts)
+    joined = F.concat(F.slice(parts, 1, F.greatest(n - 2, F.lit(0))), F.array(F.concat(F.get(parts, n - 2), F.get(parts, n - 1))))
+    return F.when((n > 1) & F.get(parts, n - 1).isin("/", ":"), joined).otherwise(parts)
+
+
+def _joined(parts: Column, first: Column, count: Column) -> Column:
+    return F.array_join(F.slice(parts, F.greatest(first, F.lit(1)), F.greatest(count, F.lit(0))), "")
+
+
+def _prefix_varying(path: Column, n: Column) -> Column:
+    leading = F.regexp_extract(path, r"\A([/:]?)", 1)
+    front = _bound(_first_parts(path), lambda p: _joined(p, F.lit(1), n))
+    back = _bound(_closed(_first_parts(path)), lambda p: F.when(F.size(p) + n >= 1, _joined(p, F.lit(1), F.size(p) + n)).otherwise(leading))
+    return F.when(n > 0, front).when(n == 0, leading).when(n < 0, back)
+
+
+def _suffix_varying(path: Column, n: Column) -> Column:
+    parts = _closed(F.regexp_extract_all(path, F.lit(r"(?s)\A[^/:]+|[/:][^/:]*"), F.lit(0)))
+    after = lambda text: F.substring(text, 2, 1 << 30)
+    starts = lambda p: F.size(p) - F.when(path.rlike(r"\A[/:].|\A\z"), F.lit(0)).otherwise(F.lit(1))
+    back = _bound(parts, lambda p: F.when(starts(p) >= n, after(_joined(p, F.size(p) - n + 1, n))).otherwise(path))
+    front = _bound(_first_parts(path), lambda p: F.when(F.size(p) - 1 + n >= 0, after(_joined(p, 1 - n, F.size(p)))).otherwise(""))
+    return F.when(n > 0, back).when(n == 0, "").when(n < 0, front)
+
+
+def _whole(n: Column) -> Column:
+    """n rounded half up, held within what any text's length allows."""
+    return F.when(n.isNotNull(), F.greatest(F.least(F.floor(n + 0.5), F.lit(1 << 30)), F.lit(-(1 << 30)))).cast("int")
 
 
 def rounded(n: float) -> int:
@@ -104,12 +137,12 @@ def rounded(n: float) -> int:
 
 def path_prefix(path: Column, n: float | Column) -> Column:
     """n > 0: the first n components; 0: the leading separator; n < 0: all but the last -n."""
-    return _prefix(path, rounded(n)) if isinstance(n, (int, float)) else _varying(path, F.floor(n + 0.5), _prefix)
+    return _prefix(path, rounded(n)) if isinstance(n, (int, float)) else _prefix_varying(path, _whole(n))
 
 
 def path_suffix(path: Column, n: float | Column) -> Column:
     """n > 0: the last n components; 0: empty; n < 0: all but the first -n."""
-    return _suffix(path, rounded(n)) if isinstance(n, (int, float)) else _varying(path, F.floor(n + 0.5), _suffix)
+    return _suffix(path, rounded(n)) if isinstance(n, (int, float)) else _suffix_varying(path, _whole(n))
 
 
 def path_depth(path: Column) -> Column:

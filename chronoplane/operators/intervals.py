@@ -40,40 +40,41 @@ def coalesce_intervals(df: DataFrame, series: Sequence[str], values: Sequence[st
     return merged.select(*(shape.get(c, F.col(q(c))).alias(c) for c in df.columns))
 
 
-def mean_duration(df: DataFrame, start: str = START, end: str = END) -> tuple[float, float]:
-    """Mean and longest duration; (0, 0) for an empty table. One aggregate over two columns."""
-    d = F.col(q(end)) - F.col(q(start))
-    row = df.agg(F.avg(d).alias("mean"), F.max(d).alias("most")).first()
-    return float(row["mean"] or 0.0), float(row["most"] or 0.0)
+def _only_value(df: DataFrame, eager: bool) -> Column:
+    """The one value of a table: a scalar subquery, or a literal from a job that runs now."""
+    return F.lit(df.first()[0]) if eager else df.scalar()
 
 
-def bucket_width(left: DataFrame, right: DataFrame) -> float:
-    """Twice the larger mean duration, but so wide that the longest interval covers at most 512 buckets."""
-    (a, most_a), (b, most_b) = mean_duration(left), mean_duration(right)
-    return max(2 * a, 2 * b, max(most_a, most_b) / 512) or 1.0
+def bucket_width(left: DataFrame, right: DataFrame, eager: bool = False) -> Column:
+    """Twice the larger mean duration, but so wide that the longest interval covers at most 512 buckets.
+
+    By default a scalar subquery, which runs with the query that uses it and not while that is planned. ``eager`` suits
+    written tables: reading them once more is cheap, and plans without subqueries are analysed faster.
+    """
+    d = (F.col(END) - F.col(START)).cast("double").alias("d")
+    both = left.select(F.lit(0).alias("side"), d).unionAll(right.select(F.lit(1).alias("side"), d))
+    mean = lambda side: 2 * F.avg(F.when(F.col("side") == side, F.col("d")))
+    return _only_value(both.agg(F.coalesce(F.nullif(F.greatest(mean(0), mean(1), F.max("d") / F.lit(512.0)), F.lit(0.0)), F.lit(1.0)).alias("width")), eager)
 
 
-def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]] = (), width: float | None = None) -> DataFrame:
+def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]] = (), width: float | Column | None = None, eager: bool = False) -> DataFrame:
     """Pairs of rows that overlap and agree ``on`` pairs of expressions; valid over the intersection.
 
     Output: the reserved columns, then the other columns of left and right, whose names must not clash. Intervals
-    that only touch do not join. Both sides are dealt into time buckets of ``width`` seconds (chosen from their
-    durations when there is no key to join on), a pair counts in the bucket where the later of the two starts.
-    With keys and no width, the keys alone are the join key.
+    that only touch do not join. Both sides are dealt into time buckets of ``width`` seconds (by default chosen from
+    their durations), which are part of the join key, so rows that share a key, or all rows where there is none, are
+    not all paired; a pair counts in the bucket where the later of the two starts.
     """
     require_columns(left, (START, END))
     require_columns(right, (START, END))
     names = [[c for c in side.columns if c not in (START, END, DURATION)] for side in (left, right)]
     if set(names[0]) & set(names[1]):
         raise PlanError(f"columns on both sides of a temporal join: {', '.join(sorted(set(names[0]) & set(names[1])))}")
-    if width is None and not on:
-        width = bucket_width(left, right)
+    width = bucket_width(left, right, eager) if width is None else F.lit(width) if isinstance(width, (int, float)) else width
 
     def side(df: DataFrame, tag: str, own: list[str], keys: list[Column]) -> DataFrame:
         out = df.select(F.col(START).alias(f"__{tag}s"), F.col(END).alias(f"__{tag}e"), *(k.alias(f"__{tag}{i}") for i, k in enumerate(keys)), *_cols(own))
-        if width is None:
-            return out
-        bucket = lambda t: F.floor(F.col(f"__{tag}{t}") / F.lit(width))
+        bucket = lambda t: F.floor(F.col(f"__{tag}{t}") / width)
         return out.withColumn(f"__{tag}b", F.explode(F.sequence(bucket("s"), F.greatest(bucket("s"), bucket("e")))))
 
     a = side(left, "l", names[0], [k for k, _ in on])
@@ -81,24 +82,21 @@ def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
     same = (F.col("__ls") < F.col("__re")) & (F.col("__rs") < F.col("__le"))
     for i in range(len(on)):
         same &= F.col(f"__l{i}") == F.col(f"__r{i}")
-    if width is not None:
-        same &= (F.col("__lb") == F.col("__rb")) & (F.col("__lb") == F.floor(F.greatest("__ls", "__rs") / F.lit(width)))
+    same &= (F.col("__lb") == F.col("__rb")) & (F.col("__lb") == F.floor(F.greatest("__ls", "__rs") / width))
     s, e = F.greatest("__ls", "__rs"), F.least("__le", "__re")
     return a.join(b, same).select(s.alias(START), e.alias(END), (e - s).alias(DURATION), *_cols(names[0] + names[1]))
 
 
-def change_points(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END, width: float | None = None) -> DataFrame:
+def change_points(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END, width: Column | None = None) -> DataFrame:
     """(keys, __t, __i, __next): the distinct change points of each key, numbered in order, and the one that follows.
 
-    With ``width`` numbering is done per time bucket and the buckets' counts are added up, so that one key with very
-    many change points, or no key at all, is not one task.
+    Numbering is done per key and time bucket and the buckets' counts are added up, so that neither one key with very
+    many change points nor no key at all makes one task; the windows over buckets see at most BUCKETS + 1 rows a key.
     """
+    width = point_width(df, start, end) if width is None else width
     times = df.select(*_cols(keys), F.explode(F.array(F.col(q(start)), F.col(q(end)))).alias("__t")).distinct()
-    if width is None:
-        order = Window.partitionBy(*_cols(keys)).orderBy("__t")
-        return times.withColumns({"__i": F.row_number().over(order).cast("long"), "__next": F.lead("__t").over(order)})
     inside = Window.partitionBy(*_cols(keys), F.col("__b")).orderBy("__t")
-    times = times.withColumn("__b", F.floor(F.col("__t") / F.lit(width)))
+    times = times.withColumn("__b", F.floor(F.col("__t") / width))
     numbered = times.withColumns({"__in": F.row_number().over(inside), "__next": F.lead("__t").over(inside)})
     buckets = times.groupBy(*_cols(keys), "__b").agg(F.count("*").alias("__n"), F.min("__t").alias("__low"))
     order = Window.partitionBy(*_cols(keys)).orderBy("__b")
@@ -115,14 +113,18 @@ def _same(a: str, b: str, names: Sequence[str]) -> Column:
     return out
 
 
-def point_width(df: DataFrame, start: str = START, end: str = END, buckets: int = 1_024) -> float:
-    row = df.agg(F.min(q(start)).alias("a"), F.max(q(end)).alias("b")).first()
-    return ((row["b"] or 0) - (row["a"] or 0)) / buckets or 1.0
+BUCKETS = 1_024
+
+
+def point_width(df: DataFrame, start: str = START, end: str = END, eager: bool = False) -> Column:
+    """A BUCKETS-th of the time the rows span."""
+    span = F.max(F.col(q(end)).cast("double")) - F.min(F.col(q(start)).cast("double"))
+    return _only_value(df.agg(F.coalesce(F.nullif(span / F.lit(float(BUCKETS)), F.lit(0.0)), F.lit(1.0)).alias("width")), eager)
 
 
 def time_slices(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:
     """(keys, _start_time, _end_time): the stretches between neighbouring change points of each key."""
-    points = change_points(df, keys, start, end, None if keys else point_width(df, start, end))
+    points = change_points(df, keys, start, end)
     return _slices(points, keys).select(*_cols(keys), F.col("__s").alias(START), F.col("__e").alias(END))
 
 
@@ -136,7 +138,7 @@ def sliced(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str
     Rows find the numbers of their start and end by equi-joins, and list the numbers between; no range condition is
     ever joined on. A row without length starts and ends at the same point and is in no slice.
     """
-    points = change_points(df, keys, start, end, None if keys else point_width(df, start, end))
+    points = change_points(df, keys, start, end)
     rows = df.alias("r")
     for t, i in ((start, "__first"), (end, "__last")):
         at = points.select(*_cols(keys), F.col("__t").alias(t), F.col("__i").alias(i)).alias("p")
@@ -166,59 +168,107 @@ def temporal_aggregate(
     return coalesce_intervals(out, list(keys), list(made), start, end) if merge else out
 
 
+def _swept(df: DataFrame, keys: Sequence[str], steps: dict[str, Column], start: str, end: str, eager: bool = False) -> DataFrame:
+    """(keys, __t, __e, names): running sums of what rows add at their start and take away at their end.
+
+    The columns of ``steps`` must be of exact types, so that what was added is gone once it is taken away. Sums run per
+    key and time bucket, from the sums of the buckets before. The last point of each key has no ``__e``.
+    """
+    names = [f"__{i}" for i in range(len(steps))]
+    rows = df.filter(F.col(q(start)) < F.col(q(end))).select(*_cols(keys), F.col(q(start)).alias("__a"), F.col(q(end)).alias("__z"), *(c.alias(n) for n, c in zip(names, steps.values())))
+    side = lambda t, sign: F.struct(F.col(t).alias("__t"), *((F.col(n) if sign > 0 else -F.col(n)).alias(n) for n in names))
+    changes = rows.select(*_cols(keys), F.explode(F.array(side("__a", 1), side("__z", -1))).alias("x")).select(*_cols(keys), "x.*")
+    points = changes.groupBy(*_cols(keys), "__t").agg(*(F.sum(n).alias(n) for n in names))
+    points = points.withColumn("__b", F.floor(F.col("__t") / point_width(df, start, end, eager)))
+    inside, across = Window.partitionBy(*_cols(keys), "__b").orderBy("__t"), Window.partitionBy(*_cols(keys)).orderBy("__b")
+    so_far = across.rowsBetween(Window.unboundedPreceding, -1)
+    totals = points.groupBy(*_cols(keys), "__b").agg(F.min("__t").alias("__low"), *(F.sum(n).alias(n) for n in names))
+    totals = totals.select(*_cols(keys), "__b", F.lead("__low").over(across).alias("__after"), *(F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(f"{n}_before") for n in names))
+    running = points.select(*_cols(keys), "__b", "__t", F.lead("__t").over(inside).alias("__e"), *(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names))
+    joined = running.alias("r").join(totals.alias("s"), _same("r", "s", [*keys, "__b"]))
+    return joined.select(*(F.col(f"r.{q(k)}") for k in keys), "__t", F.coalesce("__e", "__after").alias("__e"), *((F.col(n) + F.col(f"{n}_before")).alias(m) for n, m in zip(names, steps)))
+
+
 def temporal_counts(df: DataFrame, keys: Sequence[str], counts: dict[str, Column | None], start: str = START, end: str = END) -> DataFrame:
     """What ``temporal_aggregate`` gives for counts of rows (None) and of rows that satisfy a condition, by a sweep.
 
-    Whole numbers can be added and taken away again without error, so no row is repeated for the slices it spans. The
-    conditions must not use the bounds. Without keys the sweep runs per time bucket from the sums of those before.
+    No row is repeated for the slices it spans. The conditions must not use the bounds.
     """
     names = list(counts)
-    steps = {f"__c{i}": F.lit(1) if c is None else c.cast("int") for i, c in enumerate(counts.values())} | {"__all": F.lit(1)}
-    rows = df.filter(F.col(q(start)) < F.col(q(end))).select(*_cols(keys), F.col(q(start)).alias("__a"), F.col(q(end)).alias("__z"), *(c.cast("long").alias(n) for n, c in steps.items()))
-    side = lambda t, sign: F.struct(F.col(t).alias("__t"), *((F.col(n) * sign).alias(n) for n in steps))
-    changes = rows.select(*_cols(keys), F.explode(F.array(side("__a", 1), side("__z", -1))).alias("x")).select(*_cols(keys), "x.*")
-    points = changes.groupBy(*_cols(keys), "__t").agg(*(F.sum(n).alias(n) for n in steps))
-    if keys:
-        order = Window.partitionBy(*_cols(keys)).orderBy("__t")
-        swept = points.select(*_cols(keys), "__t", F.lead("__t").over(order).alias("__e"), *(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in steps))
-    else:
-        points = points.withColumn("__b", F.floor(F.col("__t") / F.lit(point_width(df, start, end))))
-        inside, across = Window.partitionBy("__b").orderBy("__t"), Window.orderBy("__b")
-        so_far = across.rowsBetween(Window.unboundedPreceding, -1)
-        totals = points.groupBy("__b").agg(F.min("__t").alias("__low"), *(F.sum(n).alias(n) for n in steps))
-        totals = totals.select("__b", F.lead("__low").over(across).alias("__after"), *(F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(f"{n}_before") for n in steps))
-        running = points.select("__b", "__t", F.lead("__t").over(inside).alias("__e"), *(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in steps))
-        swept = running.join(totals, "__b").select("__t", F.coalesce("__e", "__after").alias("__e"), *((F.col(n) + F.col(f"{n}_before")).alias(n) for n in steps))
-    out = swept.filter((F.col("__all") > 0) & F.col("__e").isNotNull())
+    steps = {f"__c{i}": (F.lit(1) if c is None else F.coalesce(c.cast("int"), F.lit(0))).cast("long") for i, c in enumerate(counts.values())} | {"__all": F.lit(1).cast("long")}
+    out = _swept(df, keys, steps, start, end).filter((F.col("__all") > 0) & F.col("__e").isNotNull())
     out = out.select(F.col("__t").alias(start), F.col("__e").alias(end), *_cols(keys), *(F.col(f"__c{i}").cast("double").alias(n) for i, n in enumerate(names)))
     return coalesce_intervals(out, list(keys), names, start, end)
 
 
 def active_count(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:
-    """(keys, _start_time, _end_time, active): how many rows are active between changes, by a sweep of +1 and -1."""
-    ends = df.select(*_cols(keys), F.explode(F.array(F.struct(F.col(q(start)).alias("t"), F.lit(1).alias("d")), F.struct(F.col(q(end)).alias("t"), F.lit(-1).alias("d")))).alias("x"))
-    return _sweep(ends.select(*_cols(keys), F.col("x.t").alias("t"), F.col("x.d").cast("long").alias("d")), keys, "active")
+    """(keys, _start_time, _end_time, active): how many rows are active between changes; rows without length change nothing."""
+    swept = _swept(df, keys, {"active": F.lit(1).cast("long")}, start, end).filter("__e is not null")
+    return swept.select(*_cols(keys), F.col("__t").alias(START), F.col("__e").alias(END), F.col("active").cast("double").alias("active"))
 
 
-def step_sum(df: DataFrame, value: str, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:
-    """(keys, _start_time, _end_time, <value>): the sum of step functions over the union of their change points.
+def step_sums(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), start: str = START, end: str = END, eager: bool = False) -> DataFrame:
+    """(keys, start, end, values): the sums of step functions over the union of their change points.
 
-    Stretches inside the span in which no function is defined count as 0. Sums are taken over the rows active in a
-    slice, not by adding and removing, so no rounding error is carried along.
+    Stretches inside the span in which no function is defined count as 0. The sums are a sweep over decimals with 26
+    digits below the largest value, so no rounding error is carried along; infinite values and those that are not
+    numbers are counted on their own. Nulls count as 0.
     """
-    sums = temporal_aggregate(df, keys, {value: F.sum(F.col(q(value)))}, start, end, merge=False)
-    slices = time_slices(df, keys, start, end)
-    joined = slices.alias("a").join(sums.alias("b"), _same("a", "b", [*keys, start, end]), "left")
-    return joined.select(*(F.col(f"a.{q(c)}") for c in [*keys, start, end]), F.coalesce(F.col(f"b.{q(value)}"), F.lit(0.0)).alias(value))
+    huge = F.lit(float("inf"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    steps: dict[str, Column] = {}
+    totals: dict[str, Column] = {}
+    for i, value in enumerate(values):
+        v = F.col(q(value)).cast("double")
+        plain = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < huge)
+        # The power of two above the largest value; dividing by it is exact.
+        top = df.agg(F.coalesce(F.nullif(F.max(F.when(plain, F.abs(v))), F.lit(0.0)), F.lit(1.0)).alias("top"))
+        unit = _only_value(top.select(F.pow(F.lit(2.0), F.floor(F.log2("top")) + 1).alias("unit")), eager)
+        steps |= {f"__sum{i}": F.when(plain, v / unit).otherwise(F.lit(0.0)).cast("decimal(38,26)"), f"__nan{i}": flag(F.isnan(v)), f"__up{i}": flag(v == huge), f"__down{i}": flag(v == -huge)}
+        up, down = F.col(f"__up{i}") > 0, F.col(f"__down{i}") > 0
+        undefined = (F.col(f"__nan{i}") > 0) | (up & down)
+        totals[value] = F.when(undefined, F.lit(float("nan"))).when(up, huge).when(down, -huge).otherwise(F.col(f"__sum{i}").cast("double") * unit)
+    swept = _swept(df, keys, steps, start, end, eager).filter("__e is not null")
+    return swept.select(*_cols(keys), F.col("__t").alias(start), F.col("__e").alias(end), *(t.alias(v) for v, t in totals.items()))
 
 
-def _sweep(changes: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    points = changes.groupBy(*_cols(keys), "t").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*_cols(keys)).orderBy("t")
-    out = points.select(
-        *_cols(keys), F.col("t").alias(START), F.lead("t").over(order).alias(END), F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias(name)
-    )
-    return out.filter(F.col(END).isNotNull())
+def step_sum(df: DataFrame, value: str, keys: Sequence[str] = (), start: str = START, end: str = END) -> DataFrame:
+    """``step_sums`` of one column."""
+    return step_sums(df, [value], keys, start, end)
+
+
+def merged_steps(series: Sequence[tuple[DataFrame, Sequence[str]]], keys: Sequence[str], start: str = START, end: str = END, eager: bool = False) -> DataFrame:
+    """(keys, start, end, the values of all series): step functions laid over each other; null where one is not defined.
+
+    Each series is a table of intervals that do not overlap within a key, and the columns that hold its values. All are
+    cut at the borders of time buckets, so the values at a bucket's start need no look further back; neighbours with
+    equal values are merged in the end.
+    """
+    bounds = [df.select(F.col(q(start)).alias(start), F.col(q(end)).alias(end)) for df, _ in series]
+    whole = bounds[0]
+    for more in bounds[1:]:
+        whole = whole.unionAll(more)
+    width = point_width(whole, start, end, eager)
+    rows = None
+    for i, (df, values) in enumerate(series):
+        kind = df.schema[start].dataType
+        first, last = F.floor(F.col("__a") / width), F.floor(F.col("__z") / width)
+        cut = df.filter(F.col(q(start)) < F.col(q(end))).select(*_cols(keys), F.col(q(start)).alias("__a"), F.col(q(end)).alias("__z"), F.struct(*_cols(values)).alias("__v"))
+        # One bucket more on both sides, as borders are rounded; what is empty there goes.
+        cut = cut.withColumn("__b", F.explode(F.sequence(first - 1, F.greatest(first, last) + 1)))
+        low, high = (F.col("__b") * width).cast(kind), ((F.col("__b") + 1) * width).cast(kind)
+        cut = cut.withColumns({"__a": F.greatest("__a", low), "__z": F.least("__z", high)}).filter("__a < __z")
+        at = F.explode(F.array(F.struct(F.col("__a").alias("t"), F.lit(True).alias("on")), F.struct(F.col("__z").alias("t"), F.lit(False).alias("on"))))
+        marks = cut.withColumn("__m", at).select(*_cols(keys), "__b", F.col("__m.t").alias("__t"), F.struct(F.col("__m.on").alias("on"), F.col("__v").alias("v")).alias(f"__{i}"))
+        rows = marks if rows is None else rows.unionByName(marks, allowMissingColumns=True)
+    names = [f"__{i}" for i in range(len(series))]
+    # Where one interval ends and the next begins, the beginning counts: true is greater.
+    points = rows.groupBy(*_cols(keys), "__b", "__t").agg(*(F.max(n).alias(n) for n in names))
+    order = Window.partitionBy(*_cols(keys), "__b").orderBy("__t")
+    held = points.select(*_cols(keys), F.col("__t").alias(start), F.lead("__t").over(order).alias(end), *(F.last(n, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names))
+    out = [F.when(F.col(f"__{i}.on"), F.col(f"__{i}.v.{q(c)}")).alias(c) for i, (_, values) in enumerate(series) for c in values]
+    laid = held.filter(F.col(q(end)).isNotNull()).filter(" or ".join(f"{n}.on" for n in names)).select(*_cols([*keys, start, end]), *out)
+    return coalesce_intervals(laid, keys, [c for _, values in series for c in values], start, end)
 
 
 def zoom(df: DataFrame, low: float, high: float) -> DataFrame:

@@ -98,11 +98,11 @@ class Session:
         rel = relation(df, set(keys), name)
         self.tables[name] = lambda _, rel=rel: rel
 
-    def register_job(self, job: Job, overrides: DataFrame | None = None) -> None:
-        """The tables phases, metrics and attributed_metrics of a job."""
+    def register_job(self, job: Job, overrides: DataFrame | None = None, rules: DataFrame | None = None) -> None:
+        """The tables phases, metrics and attributed_metrics of a job; ``rules`` saved earlier are not fitted again."""
         self.register("phases", job.phase_table(), ("path", "type"))
         self.register("metrics", job.metric_table(), ("capacity", "path", "type"))
-        attribution = Attribution(job.metrics, job.phases, job.aliases, overrides)
+        attribution = Attribution(job.metrics, job.phases, job.aliases, overrides, rules)
         self.tables["attributed_metrics"] = lambda parts: attributed_relation(job, attribution, parts)
 
     def lookup(self, name: str, parts: list) -> Relation:
@@ -193,15 +193,17 @@ class Session:
 
 
 def attributed_relation(job: Job, attribution: Attribution, parts: list) -> Relation:
-    """The table attributed_metrics. Conditions on metrics alone are applied before anything is attributed."""
-    kinds = {"metric_path": "STRING", "metric_type": "STRING"}
-    chosen: Column | None = None
+    """The table attributed_metrics. Conditions on metrics alone are applied before anything is computed, those on
+    phases alone before anything is attributed; the others, by the filter above the table."""
+    names = ("metric_path", "metric_type"), ("phase_path", "phase_type")
+    chosen: list[Column | None] = [None, None]
     for e in parts:
-        if names_in(e) and names_in(e) <= set(kinds):
-            c, kind = Compiler(kinds)(e)
-            if kind == BOOLEAN:
-                chosen = c if chosen is None else chosen & c
-    used = attribution.only(metrics=chosen).attributed()
+        for i, own in enumerate(names):
+            if names_in(e) and names_in(e) <= set(own):
+                c, kind = Compiler(dict.fromkeys(own, "STRING"))(e)
+                if kind == BOOLEAN:
+                    chosen[i] = c if chosen[i] is None else chosen[i] & c
+    used = attribution.only(*chosen).attributed()
     types = job.metrics.select("metric_path", "metric_type").distinct()
     phases = job.phases.select(F.col("path").alias("phase_path"), F.col("type").alias("phase_type"))
     rows = used.join(types, "metric_path").join(phases, "phase_path")

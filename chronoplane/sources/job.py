@@ -68,9 +68,9 @@ def read_job(spark: SparkSession, folders: list[str] | str, zone: str = "UTC") -
     aliases = read_hosts(spark, folders)
     metrics = read_monitor(spark, folders)
     logs: SparkLogs | None = read_spark_logs(spark, folders, model)
-    task_logs = read_task_logs(spark, folders, zone)
-    add_training_jobs(model, task_logs, zone)
-    read_workflow(spark, folders, model, task_logs)
+    task_logs, lines = read_task_logs(spark, folders, zone)
+    add_training_jobs(model, task_logs)
+    read_workflow(spark, folders, model, task_logs, lines)
     for reader in EXTRA_SOURCES:
         more = reader(spark, folders, model)
         if more is not None:

@@ -83,7 +83,7 @@ def decode_cpu(data: bytes) -> Iterator[tuple[str, str, int, int, float, float]]
 
     last = None
     for time, counters in messages(r, one):
-        if last is not None:
+        if last is not None and time > last:
             c = np.array(counters, dtype=np.float64).reshape(cores, COUNTERS_PER_CORE)
             total = c.sum(axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -113,7 +113,8 @@ def _listed(data: bytes, counters: int) -> Iterator[tuple[int, int, list[str], l
         return [r.varint() for _ in range(counters * len(names))]
 
     for time, flat in messages(r, one):
-        yield last, time, names, [flat[i * counters : (i + 1) * counters] for i in range(len(names))]
+        if time > last:  # a period without length has no rates
+            yield last, time, names, [flat[i * counters : (i + 1) * counters] for i in range(len(names))]
         last = time
 
 

@@ -79,7 +79,7 @@ VIEWS = {"metrics": (metrics, ("capacity", "path", "type")), "states": (states,
 
 
 def session(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(VIEWS)) -> Session:
-    out = Session(spark, output="/tmp")
+    out = Session(spark)
     for name in names:
         build, keys = VIEWS[name]
         out.register(name, build(spark, sf_dir), keys)
@@ -285,7 +285,7 @@ def _tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .model.paths import matches_tree
 
     path = F.col("path")
-    return places(spark, sf_dir).filter(matches_tree(path, "/A*/*/*1") | matches_tree(path, "/A*/*/*2") | matches_tree(path, "/x/../A*/*/*3")).select("path")
+    return places(spark, sf_dir).filter(matches_tree(path, "/A*/*/*1") | matches_tree(path, "/A*/*/*2") | matches_tree(path, "/./A*/*/*3")).select("path")
 
 
 @built("path_prefix_varying", "SELECT path, CASE c_nationkey % 4 WHEN 0 THEN '/' WHEN 1 THEN region WHEN 2 THEN nation ELSE path END AS part FROM (SELECT path, region, nation, c_nationkey FROM places JOIN customer ON path LIKE '%/' || replace(c_name, ' ', '_'))")

@@ -129,6 +129,49 @@ def test_decoders_stop_at_broken_messages():
         list(decode_network(struct.pack("<q", 1) + b"\1"))
 
 
+def test_dependencies_against_their_rule():
+    """A job needs those that ended by its start, unless one of these needs them."""
+    rnd = np.random.default_rng(7)
+    for _ in range(200):
+        jobs = {i: (int(s), int(s + d)) for i, (s, d) in enumerate(zip(rnd.integers(0, 30, 12), rnd.integers(1, 12, 12)))}
+        needs = infer_dependencies(jobs)
+        for j, (start, _) in jobs.items():
+            ended = {i for i, (_, end) in jobs.items() if end <= start}
+            assert needs.get(j, set()) == ended - {i for k in ended for i in needs.get(k, ())}
+
+
+def test_samples_at_one_time_have_no_rates():
+    rows = list(decode_network(listed_file([0, 1000, 1000, 3000], ["eth0"], [1000, 1, 4000, 2])))
+    assert [r[2:4] for r in rows] == [(0, 1000), (0, 1000), (1000, 3000), (1000, 3000)]
+    assert [r[2:4] for r in decode_cpu(cpu_file([5, 5, 9], [0.5] * 3))] == [(5, 9)] * 4
+    assert len(list(decode_disk(listed_file([0, 0], ["sda"], [1] * 7)))) == 0
+
+
+def test_phase_conditions_reach_attribution(spark, job):
+    s = Session(spark)
+    s.register_job(job)
+    from_all = 'FROM attributed_metrics WHERE metric_path ~= "/cluster/machine[hostname=node2]/cpu:utilization"'
+    plain = {tuple(r) for r in s.sql(f"{from_all} SELECT *;").collect()}
+    for condition in ('phase_path ~= "**Task*"', 'phase_type = "/etl" OR phase_path = "/"', 'phase_path ~= "/etl*/extract/*"', 'phase_path = "/none"'):
+        one = {tuple(r) for r in s.sql(f"{from_all} AND ({condition}) SELECT *;").collect()}
+        assert one == {tuple(r) for r in s.sql(f"FROM ({from_all} SELECT *) WHERE {condition} SELECT *;").collect()} and one <= plain
+    pairs = lambda only: att.Attribution(job.metrics, job.phases, job.aliases).only(phases=only).attributed().select("phase_path").distinct().count()
+    from pyspark.sql import functions as F
+
+    assert pairs(F.col("phase_path") == "/") == 1
+
+
+def test_saved_rules_are_used(spark, job, tmp_path):
+    a = att.Attribution(job.metrics, job.phases, job.aliases)
+    a.save_rules(f"file://{tmp_path}/rules")
+    s = Session(spark)
+    s.register_job(job, rules=spark.read.parquet(f"file://{tmp_path}/rules"))
+    query = 'FROM attributed_metrics WHERE metric_path ~= "**node1]/cpu:utilization" SELECT *;'
+    t = Session(spark)
+    t.register_job(job)
+    assert sorted(map(str, s.sql(query).collect())) == sorted(map(str, t.sql(query).collect()))
+
+
 def test_session_over_job(spark, job):
     s = Session(spark)
     s.register_job(job)
@@ -175,40 +218,37 @@ def test_exact_overrides(spark):
     assert got[("/a", 0)] == 4.0 and got[("/b", 50)] == 2.0 and got[("/", 0)] == 4.0 and got[("/", 50)] == 6.0
 
 
-def brute_allocate(value, most, share, exact, variable):
-    out, left, need = [0.0] * len(share), value, sum(e * s for e, s in zip(exact, share))
-    for i in sorted(range(len(share)), key=lambda i: -exact[i]):
-        if need <= 0:
-            break
-        out[i] = min(left / need * exact[i], exact[i], most)
-        left, need = max(left - out[i] * share[i], 0.0), need - exact[i] * share[i]
-    need = sum(v * s for v, s in zip(variable, share))
-    if left > 0:
-        for i in sorted(range(len(share)), key=lambda i: -(variable[i] / (most - out[i]) if most > out[i] else (float("inf") if variable[i] else 0))):
-            if need <= 0:
-                break
-            x = min(left / need * variable[i], most - out[i])
-            out[i] += x
-            left, need = max(left - x * share[i], 0.0), need - variable[i] * share[i]
-    if left > 0:
-        time = 1.0
-        for i in sorted(range(len(share)), key=lambda i: -out[i]):
-            x = min(left / time, most - out[i])
-            out[i] += x
-            left, time = max(left - x * share[i], 0.0), time - share[i]
-    return out
-
-
-def test_allocation_against_model():
+def test_upsampling_gives_out_in_proportion(spark):
+    """Of every period: nothing lost, no part beyond the limit, and in each of the three rounds equal levels below the caps."""
     rnd = np.random.default_rng(5)
-    for _ in range(300):
-        n = rnd.integers(1, 7)
-        share = rnd.dirichlet(np.ones(n))
-        exact, variable = rnd.choice([0, 1, 2, 5.5], n), rnd.choice([0, 1, 3], n).astype(float)
-        value = rnd.uniform(0, 10)
-        got = att.allocate(value, 10.0, share, exact.astype(float), variable)
-        assert np.allclose(got, brute_allocate(value, 10.0, share, exact, variable), atol=1e-9)
-        assert got @ share == pytest.approx(value) and got.max() <= 10 + 1e-9
+    most, metrics, demands = 10.0, [], {"exact": [], "variable": []}
+    for p in range(300):
+        cuts = sorted({0, 100, *rnd.integers(1, 100, rnd.integers(0, 6)).tolist()})
+        metrics.append(("m", 100 * p, 100 * p + 100, rnd.uniform(0, 10) if p % 7 else float(p % 2) * 10, most))
+        for a, b in zip(cuts, cuts[1:]):
+            demands["exact"].append(("m", 100 * p + a, 100 * p + b, float(rnd.choice([0, 1, 2, 5.5, 12]))))
+            demands["variable"].append(("m", 100 * p + a, 100 * p + b, float(rnd.choice([0, 1, 3]))))
+    table = lambda rows, last: spark.createDataFrame(rows, f"metric_path string, start_ns long, end_ns long, {last}")
+    out = att.upsample(table(metrics, "value double, max_value double"), *(table(demands[k], "demand double") for k in ("exact", "variable")), merge=False).collect()
+    of = {(k, s): d for k, rows in demands.items() for _, s, e, d in rows for s in range(s, e)}
+    for _, start, end, value, _ in metrics:
+        parts = [(r.end_ns - r.start_ns, r.value, of["exact", r.start_ns], of["variable", r.start_ns]) for r in out if start <= r.start_ns < end]
+        assert sum(n for n, *_ in parts) == 100 and sum(n * x for n, x, *_ in parts) / 100 == pytest.approx(value)
+        assert all(-1e-9 <= x <= most + 1e-9 for _, x, *_ in parts)
+        if len({(x, v) for *_, x, v in parts}) == 1:
+            continue
+        first = [min(e, most) for *_, e, _ in parts]
+        wanted = sum(n * f for (n, *_), f in zip(parts, first)) / 100
+        close = lambda xs: max(xs) - min(xs) < 1e-6
+        if value <= wanted:  # exact demand takes all: equal shares of it below the limit
+            assert close([x / e for _, x, e, _ in parts if e and x < min(e, most) - 1e-9] or [0]) and all(x < 1e-9 for _, x, e, _ in parts if not e)
+            continue
+        over = [(x - f, v, x) for (_, x, _, v), f in zip(parts, first)]
+        assert all(o >= -1e-9 for o, *_ in over)
+        if any(o > 1e-9 and not v for o, v, _ in over):  # the variable demand is full, the rest is even
+            assert all(x >= most - 1e-9 for _, v, x in over if v) and close([o for o, v, x in over if not v and x < most - 1e-9] or [0])
+        else:
+            assert close([o / v for o, v, x in over if v and x < most - 1e-9] or [0])
 
 
 def test_nnls_is_optimal():
@@ -264,6 +304,7 @@ def test_small_parsers(spark, tmp_path):
     with pytest.raises(ValueError):
         parse_hosts(["a b\nc b\n"])
     assert infer_dependencies({0: (0, 5), 1: (0, 6), 2: (6, 9), 3: (10, 11)}) == {2: {0, 1}, 3: {2}}
-    assert parse_dag("<T(A): a>\n  <T(B): b>\n<T(C): c>\n")[1] == {"a": ["b"]}
+    assert infer_dependencies({0: (0, 5), 1: (5, 5), 2: (5, 9), 3: (9, 9)}) == {1: {0}, 2: {0}, 3: {1, 2}}
+    assert parse_dag("<T(A): a>\n  <T(B): b>\n    <T(C): c>\n\n   <T(D): d>\n  <T(D): d>\n<T(C): c>\n") == (["a", "b", "c", "d"], {("a", "b"), ("b", "c"), ("b", "d"), ("a", "d")})
     empty = read_job(spark, str(tmp_path))
     assert empty.phases.count() == 1 and empty.metrics.count() == 0 and empty.metric_table().count() == 0

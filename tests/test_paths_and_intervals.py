@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from chronoplane.functions import paths
-from chronoplane.model.paths import PathError, canonical, match_tree
+from chronoplane.model.paths import PathError, match_tree, matches_tree
 from chronoplane.operators import intervals as iv
 
 
@@ -36,6 +36,16 @@ def test_path_parts(spark):
         for r in df.select("p", paths.path_prefix(F.col("p"), n).alias("x"), paths.path_suffix(F.col("p"), n).alias("y")).collect():
             assert r.x == prefix(r.p, n), (r.p, n, r.x, prefix(r.p, n))
             assert r.y == suffix(r.p, n), (r.p, n, r.y, suffix(r.p, n))
+    varying = df.crossJoin(spark.createDataFrame([(float(n),) for n in range(-7, 8)] + [(None,)], "n double"))
+    for r in varying.select("p", "n", paths.path_prefix(F.col("p"), F.col("n")).alias("x"), paths.path_suffix(F.col("p"), F.col("n")).alias("y")).collect():
+        assert (r.x, r.y) == ((None, None) if r.n is None else (prefix(r.p, int(r.n)), suffix(r.p, int(r.n)))), r
+
+
+def test_deep_paths(spark):
+    deep = "/" + "/".join(f"c{i}" for i in range(60))
+    df = spark.createDataFrame([(deep, float(n)) for n in range(-70, 71)], "p string, n double")
+    for r in df.select("p", "n", paths.path_prefix(F.col("p"), F.col("n")).alias("x"), paths.path_suffix(F.col("p"), F.col("n")).alias("y")).collect():
+        assert (r.x, r.y) == (prefix(deep, int(r.n)), suffix(deep, int(r.n)))
 
 
 def test_match_either_side(spark):
@@ -47,8 +57,8 @@ def test_tree_paths():
     tree = ["/", "/j[id=1]", "/j[id=1]/s[id=2]", "/j[id=1]/s[id=2]/t", "/k"]
     assert match_tree(tree, "/j/s") == ["/j[id=1]/s[id=2]"] and match_tree(tree, "/j[id=1]/*") == ["/j[id=1]/s[id=2]"]
     assert match_tree(tree, "/j/**") == tree[2:4] and match_tree(tree, "../k", "/j[id=1]") == ["/k"] and match_tree(tree, "/") == ["/"]
-    assert canonical("../../x", "/a/b[p=/q]") == "/x"
-    for bad in ("/nope", "/j[id", "/***"):
+    assert match_tree(tree, "/j/*/..") == ["/j[id=1]"] and match_tree(tree, "/j/./s/../..") == ["/"] and match_tree(tree, "/*/..") == ["/"]
+    for bad in ("/nope", "/j[id", "/***", "/j**s", "/k/*/..", "/nope/..", "/.."):
         try:
             match_tree(tree, bad)
         except PathError:
@@ -56,6 +66,18 @@ def test_tree_paths():
         raise AssertionError(bad)
 
 
+def test_tree_patterns_without_a_tree(spark):
+    df = spark.createDataFrame([("/",), ("/j[id=1]",), ("/j[id=1]/s",), ("/k",)], "p string")
+    for expression, wanted in (("/", ["/"]), ("/j", ["/j[id=1]"]), ("/**", ["/j[id=1]", "/j[id=1]/s", "/k"]), ("/./j/*", ["/j[id=1]/s"])):
+        assert [r.p for r in df.filter(matches_tree(F.col("p"), expression)).collect()] == wanted
+    for bad in ("/j/..", "j", "/a**b"):
+        try:
+            matches_tree(F.col("p"), bad)
+        except PathError:
+            continue
+        raise AssertionError(bad)
+
+
 def random_series(rnd, n, keys):
     rows = []
     for k in range(keys):
@@ -109,6 +131,42 @@ def test_temporal_aggregate_and_joins_against_models(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_sums_are_exact(spark):
+    rows = [(0.0, 10.0, "a", 0.1), (1.0, 9.0, "a", 1e15), (2.0, 3.0, "a", 1e-9), (4.0, 5.0, "a", None), (20.0, 30.0, "a", -0.1), (0.0, 4.0, "b", float("inf")), (1.0, 2.0, "b", float("-inf")), (2.0, 3.0, "b", float("nan")), (3.0, 6.0, "b", 2.0), (7.0, 7.0, "b", 5.0)]
+    got = {}
+    for r in iv.step_sum(spark.createDataFrame(rows, "_start_time double, _end_time double, k string, v double"), "v", ["k"]).collect():
+        got[r.k, r._start_time, r._end_time] = r.v
+    def total(k, s, e):
+        return sum(x for a, z, key, x in rows if key == k and a <= s and z >= e and x is not None)
+    assert len(got) == 9 + 5
+    for (k, s, e), v in got.items():
+        want = total(k, s, e)
+        assert v == want or abs(v - want) <= 1e-9 * abs(want) or (v != v and want != want), (k, s, e, v, want)
+    assert abs(got["a", 9.0, 10.0] - 0.1) < 1e-9 and got["a", 10.0, 20.0] == 0.0
+
+
+def test_merged_steps(spark):
+    rnd = random.Random(9)
+    series = []
+    for _ in range(3):
+        at, rows = rnd.randrange(5), []
+        for _ in range(40):
+            end = at + rnd.randrange(1, 60)
+            rows.append((rnd.choice("k"), at, end, rnd.randrange(5)))
+            at = end + rnd.choice([0, 0, 7])
+        series.append(rows)
+    tables = [(spark.createDataFrame(rows, f"k string, s long, e long, v{i} int"), [f"v{i}"]) for i, rows in enumerate(series)]
+    got = iv.merged_steps(tables, ["k"], "s", "e").collect()
+    value = lambda rows, t: next((v for _, s, e, v in rows if s <= t < e), None)
+    covered = set()
+    for r in got:
+        assert r.s < r.e
+        for t in range(r.s, r.e):
+            assert (r.v0, r.v1, r.v2) == tuple(value(rows, t) for rows in series) and t not in covered
+            covered.add(t)
+    assert covered == {t for rows in series for _, s, e, _ in rows for t in range(s, e)}
+
+
 def test_coalesce_and_steps(spark):
     rnd = random.Random(4)
     rows = random_series(rnd, 30, 4)
