@@ -199,7 +199,7 @@ dialect("path_notmatch", 'FROM places WHERE path !~ "/A*/**" SELECT path;', "SEL
 dialect("path_match_column", 'FROM places WHERE nation ~= path OR region ~= "/E*" SELECT path;', "SELECT path FROM places WHERE nation = path OR regexp_full_match(region, '/E[^/]*')")
 dialect("path_prefix", "FROM places SELECT path, PATH_PREFIX(path, 2) AS two, PATH_PREFIX(path, 0) AS none, PATH_PREFIX(path, -1) AS up;", "SELECT path, nation AS two, '/' AS none, nation AS up FROM places")
 dialect("path_suffix", "FROM places SELECT path, PATH_SUFFIX(path, 1) AS one, PATH_SUFFIX(path, -1) AS rest, PATH_SUFFIX(path, 0) AS none;", "SELECT path, split_part(path, '/', 4) AS one, split_part(path, '/', 3) || '/' || split_part(path, '/', 4) AS rest, '' AS none FROM places")
-dialect("path_depth", "FROM places SELECT path, PATH_DEPTH(path) AS deep, PATH_DEPTH(region) AS shallow;", "SELECT path, 2.0::DOUBLE AS deep, 0.0::DOUBLE AS shallow FROM places")
+dialect("path_depth", "FROM places SELECT path, PATH_DEPTH(path) AS deep, PATH_DEPTH(nation) AS middle, PATH_DEPTH(region) AS shallow;", "SELECT path, 2.0::DOUBLE AS deep, 1.0::DOUBLE AS middle, 0.0::DOUBLE AS shallow FROM places")
 dialect("parent_of", "FROM places SELECT path, PARENT_OF(path) AS up, PARENT_OF(region) AS top;", "SELECT path, nation AS up, '' AS top FROM places")
 for _f, _p, _c in (("is_child_of", "path", "nation"), ("is_parent_of", "nation", "path"), ("is_descendant_of", "path", "region"), ("is_ancestor_of", "region", "path")):
     _low, _high = (_p, _c) if _f in ("is_child_of", "is_descendant_of") else (_c, _p)
@@ -295,6 +295,28 @@ def _prefix_varying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("path", paths.path_prefix(F.col("path"), F.col("n")).alias("part"))
 
 
+DEEP = 60
+
+
+@built("path_parts_deep", f"""WITH d AS (SELECT c_custkey AS k, c_custkey % {DEEP + 1} AS n, 2 + c_custkey % {DEEP - 1} AS size FROM customer), l AS (SELECT *, list_transform(range(0, size), lambda i: 'c' || i) AS parts FROM d)
+    SELECT k, (size - 1)::DOUBLE AS depth, CASE WHEN n = 0 THEN '/' ELSE '/' || array_to_string(parts[1:n], '/') END AS front, CASE WHEN n = 0 THEN '' WHEN n > size THEN '/' || array_to_string(parts, '/') ELSE array_to_string(parts[greatest(size - n + 1, 1):], '/') END AS back,
+    CASE WHEN n = 0 THEN '/' WHEN n >= size THEN '/' ELSE '/' || array_to_string(parts[1:size - n], '/') END AS without_back, CASE WHEN n = 0 OR n >= size THEN '' ELSE array_to_string(parts[n + 1:], '/') END AS without_front FROM l""")
+def _deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of up to 60 components, cut by counts that differ from row to row."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % (DEEP + 1)).cast("double").alias("n"), (2 + F.col("c_custkey") % (DEEP - 1)).cast("int").alias("size"))
+    path = F.concat(F.lit("/"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.concat(F.lit("c"), i)), "/"))
+    rows = rows.withColumn("path", path)
+    p, n = F.col("path"), F.col("n")
+    return rows.select("k", paths.path_depth(p).alias("depth"), paths.path_prefix(p, n).alias("front"), paths.path_suffix(p, n).alias("back"), paths.path_prefix(p, -n).alias("without_back"), paths.path_suffix(p, -n).alias("without_front"))
+
+
+@built("order_by_rank", "SELECT path, state, amount, _start_time, (row_number() OVER (ORDER BY state DESC, amount, path, _start_time))::INTEGER AS rank FROM states")
+def _order_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row in what ORDER BY returns."""
+    rows = session(spark, sf_dir, ("states",)).sql("FROM states SELECT path, state, amount, _start_time ORDER BY state DESCENDING, amount;")
+    return rows.withColumn("place", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("place"))).drop("place")
+
+
 # Attribution: a metric per event type (its periods are an hour, its value the number of events), phases are a user's gaps of that type,
 # by definition at most two hours of them; those of attribution_leaf_whole_gaps last until the user's next event.
 ATT_SQL = """hours AS (SELECT event_type AS metric_path, epoch_us(ts) // 3600000000 AS h, count(*)::DOUBLE AS value FROM events GROUP BY ALL),
@@ -352,7 +374,34 @@ for _kind in (att.EXACT, att.VARIABLE):
         return att.demand(periods, rules, leaves, kind)
 
 
-@built("nnls_rules", None)
+def _solutions() -> str:
+    """The least squares solution of each set of three coefficients that may be free, by Cramer's rule; the others are 0."""
+    det3 = "(g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02))"
+    triple = [
+        f"(b0 * (g11 * g22 - g12 * g12) - g01 * (b1 * g22 - g12 * b2) + g02 * (b1 * g12 - g11 * b2)) / {det3}",
+        f"(g00 * (b1 * g22 - g12 * b2) - b0 * (g01 * g22 - g12 * g02) + g02 * (g01 * b2 - b1 * g02)) / {det3}",
+        f"(g00 * (g11 * b2 - b1 * g12) - g01 * (g01 * b2 - b1 * g02) + b0 * (g01 * g12 - g11 * g02)) / {det3}",
+    ]
+    sets = [["0", "0", "0"], triple]
+    for i in range(3):
+        sets.append([f"b{i} / g{i}{i}" if k == i else "0" for k in range(3)])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        det = f"(g{i}{i} * g{j}{j} - g{i}{j} * g{i}{j})"
+        x = {i: f"(b{i} * g{j}{j} - b{j} * g{i}{j}) / {det}", j: f"(b{j} * g{i}{i} - b{i} * g{i}{j}) / {det}"}
+        sets.append([x.get(k, "0") for k in range(3)])
+    return " UNION ALL ".join(f"SELECT metric_path, b0, b1, b2, {', '.join(f'({x})::DOUBLE AS x{k}' for k, x in enumerate(one))} FROM sums" for one in sets)
+
+
+# Of the solutions with free sets of coefficients those without a negative one are feasible; the best of these is the answer.
+NNLS_SQL = f"""WITH {ATT_SQL}, acts AS (SELECT p.metric_path, p.start_ns, phase_type, sum((least(p.end_ns, q.end_ns) - greatest(p.start_ns, q.start_ns)) / (p.end_ns - p.start_ns)) AS a FROM periods p JOIN pairs q ON p.metric_path = q.metric_path AND p.start_ns < q.end_ns AND q.start_ns < p.end_ns GROUP BY ALL),
+    wide AS (SELECT metric_path, start_ns, value, {', '.join(f"coalesce(sum(a) FILTER (WHERE phase_type = '/gap/{k}'), 0) AS a{k}" for k in range(3))} FROM periods LEFT JOIN acts USING (metric_path, start_ns) GROUP BY ALL),
+    sums AS (SELECT metric_path, {', '.join(f'sum(a{i} * a{j}) AS g{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'sum(a{i} * value) AS b{i}' for i in range(3))} FROM wide GROUP BY ALL),
+    tried AS ({_solutions()}),
+    best AS (SELECT metric_path, max_by([x0, x1, x2], b0 * x0 + b1 * x1 + b2 * x2) AS x FROM tried WHERE x0 >= 0 AND x1 >= 0 AND x2 >= 0 GROUP BY ALL)
+    SELECT metric_path, phase_path, 'variable' AS kind, x[1 + right(phase_type, 1)::INT] AS demand FROM pairs JOIN best USING (metric_path)"""
+
+
+@built("nnls_rules", NNLS_SQL)
 def _nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods, pairs = attribution_inputs(spark, sf_dir)
     return att.fitted_rules(periods, pairs)
@@ -366,6 +415,22 @@ def _upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.upsample(periods, exact, variable)
 
 
+@built("upsample_totals", "SELECT metric_path, start_ns AS period, sum(value) * 3600 AS area, true AS within FROM (" + f"WITH {ATT_SQL} SELECT * FROM periods) GROUP BY ALL")
+def _upsample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsampling keeps every period's total, and no part is beyond the limit."""
+    hour = 3_600_000_000
+    parts = _upsample_unmerged(spark, sf_dir).withColumn("period", (F.floor(F.col("start_ns") / F.lit(hour)) * hour).cast("long"))
+    within = F.max(F.col("value") - F.col("max_value")) <= 1e-9
+    return parts.groupBy("metric_path", "period").agg((F.sum(F.col("value") * (F.col("end_ns") - F.col("start_ns"))) / F.lit(1e6)).alias("area"), within.alias("within"))
+
+
+def _upsample_unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods, pairs = attribution_inputs(spark, sf_dir)
+    rules, leaves = _rules(pairs)
+    exact, variable = (written(att.demand(periods, rules, leaves, k), "demand") for k in (att.EXACT, att.VARIABLE))
+    return att.upsample(periods, exact, variable, merge=False)
+
+
 def leaf_attribution(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Attribution of the metric as measured, without upsampling, so that SQL can follow it."""
     periods, pairs = attribution_inputs(spark, sf_dir, whole)
@@ -407,6 +472,38 @@ def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("metric_path").agg((F.sum(F.col("usage") * (F.col("end_ns") - F.col("start_ns"))) / F.lit(1e6)).alias("area"))
 
 
+@built("attribution_composite_at_hours", f"""WITH {LEAF_SQL}, grid AS (SELECT DISTINCT metric_path, start_ns AS hour FROM periods)
+    SELECT metric_path, hour, sum("usage") AS "usage", sum(capacity) AS capacity FROM att JOIN grid USING (metric_path) WHERE start_ns <= hour AND hour < end_ns GROUP BY ALL""")
+def _composite_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite's series at the start of every hour in which a leaf is active."""
+    leaves, pairs = leaf_attribution(spark, sf_dir)
+    below = lambda c: F.concat(F.lit("/gap"), F.replace(c, F.lit("/gap"), F.lit("/leaf")))
+    span = pairs.agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).select(F.lit("/gap").alias("path"), "start_ns", "end_ns", F.lit(False).alias("is_leaf"))
+    tree = pairs.select(below("phase_path").alias("path"), "start_ns", "end_ns", F.lit(True).alias("is_leaf")).unionByName(span)
+    sums = att.attribute_composites(leaves.withColumn("phase_path", below("phase_path")), tree)
+    periods, _ = attribution_inputs(spark, sf_dir)
+    moments = periods.select("metric_path", "start_ns", (F.col("start_ns") + 1).alias("end_ns"), F.col("start_ns").alias("hour"))
+    met = att.overlaps(sums.drop("phase_path"), moments, ["metric_path"])
+    return met.filter("capacity > 0 or usage > 0").select("metric_path", "hour", "usage", "capacity")
+
+
+@built("bottleneck_overlapping", """WITH src AS (SELECT '/u' || (user_id % 10) AS p, event_type AS g, epoch_us(ts) AS s, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e, least(ceil(value / 100) / 5, 1.0) AS f FROM events),
+    rows_ AS (SELECT * FROM src WHERE e > s), pts AS (SELECT DISTINCT p, unnest([s, e]) AS t FROM rows_), sl AS (SELECT * FROM (SELECT p, t AS a, lead(t) OVER (PARTITION BY p ORDER BY t) AS z FROM pts) WHERE z IS NOT NULL),
+    m AS (SELECT r.p, a, z, g, max(f) AS f FROM rows_ r JOIN sl ON r.p = sl.p AND s <= a AND e >= z GROUP BY ALL),
+    o AS (SELECT x.p, x.a, x.z, x.g, x.f, coalesce(max(y.f), 0) AS other FROM m x LEFT JOIN m y ON x.p = y.p AND x.a = y.a AND x.g <> y.g GROUP BY ALL),
+    w AS (SELECT p, sum((z - a)::DOUBLE) AS span, sum((z - a) * total) AS busy FROM (SELECT p, a, z, least(sum(f), 1.0) AS total FROM m GROUP BY ALL) GROUP BY ALL)
+    SELECT p AS phase_path, g AS "group", busy / 1e6 AS duration_without_overhead, (span - gain) / 1e6 AS duration_without_group, (busy - gain) / 1e6 AS duration_without_group_and_overhead FROM
+    (SELECT p, g, sum((z - a) * least(f, 1 - other)) AS gain FROM o GROUP BY ALL) JOIN w USING (p)""")
+def _bottleneck_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that overlap, with equal shares among them: the phases are tens of users with gaps at the same time."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", _micros("ts").alias("us"))
+    rows = events.withColumn("next", F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))).filter("next > us")
+    usage, path = F.ceil(F.col("value") / 100).cast("double"), F.concat(F.lit("/u"), F.col("user_id") % 10)
+    used = rows.select(F.col("event_type").alias("metric_path"), path.alias("phase_path"), F.col("us").alias("start_ns"), F.col("next").alias("end_ns"), usage.alias("usage"), F.lit(5.0).alias("capacity"))
+    found = bottlenecks(used, "metric")
+    return found.select("phase_path", "group", *((F.col(c) / F.lit(1e6)).alias(c) for c in found.columns[2:]))
+
+
 @built("bottleneck", """WITH u AS (SELECT '/u' || (user_id % 10) AS phase_path, event_type AS g, epoch_us(ts) AS s, lead(epoch_us(ts)) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS e, least(value / 400, 1.0) AS f FROM events),
     k AS (SELECT phase_path, s, e, g, max(f) AS f FROM u WHERE e > s GROUP BY ALL)
     SELECT a.phase_path, a.g AS "group", b.busy / 1e6 AS duration_without_overhead, (b.span - a.gain) / 1e6 AS duration_without_group, (b.busy - a.gain) / 1e6 AS duration_without_group_and_overhead FROM
@@ -428,7 +525,8 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "temporal_agg_max": (START, END), "temporal_agg_weighted": (START, END, "x"), "temporal_agg_by_state": (START, END), "temporal_agg_global": (START, END), "temporal_join_keyed": (START, END, "used"),
     "temporal_join_keyless": ("total", DURATION), "temporal_join_keyless_whole": ("n", "total", "shared"), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
     "active_phase_count": (START, END), "step_sum": (START, END, "amount"), "zoom": (START, END, DURATION, "amount"), "step_series": ("time",), "activity_matrix": ("active",), "demand_exact": ("demand",), "demand_variable": ("demand",),
-    "attribution_leaf": ("usage", "capacity"), "attribution_leaf_whole_gaps": ("usage", "capacity"), "attribution_composite": ("area",), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
+    "attribution_leaf": ("usage", "capacity"), "attribution_leaf_whole_gaps": ("usage", "capacity"), "attribution_composite": ("area",), "attribution_composite_at_hours": ("usage", "capacity"), "nnls_rules": ("demand",), "upsample_totals": ("area",), "order_by_rank": ("amount", START), "path_parts_deep": ("depth",),
+    "bottleneck_overlapping": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
 }
 
 
