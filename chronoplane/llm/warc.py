@@ -16,17 +16,21 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, modest_batches
 
 RUN = 200_000  # index entries sorted together by a writing task
+RANGE = 500_000  # index entries merged by a task
+DECODED = 512  # entries of a run decoded together
 READ_BATCH = 256  # records read together, in the order of their places
 ENTRY = "url_key string, timestamp string, page_id long, run long, position long, archive string, offset long, length long"
 
@@ -86,13 +90,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body.partition(b"\r\n\r\n")[2] if headers["warc-type"] == "response" else b""
 
 
-def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
+def loser_tree_merge(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """Merge sorted runs; equal entries keep the order of their runs. Each step replays one path of the tree."""
     k = len(runs)
     if not k:
         return
-    at = [0] * k
-    heads: list[tuple | None] = [r[0] if r else None for r in runs]
+    following = [iter(r).__next__ for r in runs]
+
+    def next_of(i: int) -> tuple | None:
+        try:
+            return following[i]()
+        except StopIteration:
+            return None
+
+    heads: list[tuple | None] = [next_of(i) for i in range(k)]
 
     def beats(a: int, b: int) -> bool:
         """Run a's head goes before run b's; exhausted runs (None) and the empty seat (-1) lose."""
@@ -112,8 +123,7 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
     champion = winners[1] if k > 1 else 0
     while heads[champion] is not None:
         yield heads[champion]
-        at[champion] += 1
-        heads[champion] = runs[champion][at[champion]] if at[champion] < len(runs[champion]) else None
+        heads[champion] = next_of(champion)
         node = (k + champion) // 2
         while node:
             if beats(losers[node], champion):
@@ -121,8 +131,20 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+# Names that Spark's file systems have for stores which Arrow knows by another one.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
+
+
+def store_of(path: str) -> str:
+    """A folder's address as Arrow wants it."""
+    for theirs, ours in SCHEMES.items():
+        if path.startswith(theirs):
+            return ours + path.removeprefix(theirs).lstrip("/")
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 def _system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return pyarrow.fs.FileSystem.from_uri(store_of(path))
 
 
 def with_owners(pages: DataFrame) -> DataFrame:
@@ -177,37 +199,38 @@ def write_archives(pages: DataFrame, folder: str, run_rows: int = RUN) -> DataFr
         if entries:
             yield sorted_run()
 
-    return materialize(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, ENTRY), "warc-runs")
+    return materialize(modest_batches(pages).select("page_id", "url", "payload", "refers_to").mapInArrow(run, ENTRY), "warc-runs")
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
-    """The index in global order: key ranges, each merged from the parts of the runs that fall into it."""
+def merged_index(runs: DataFrame, rows: int = RANGE) -> DataFrame:
+    """The index in global order: key ranges of about ``rows`` entries, each merged from the parts of the runs in it.
+
+    A task holds its range as Arrow columns, run by run, and decodes only a few entries of each run at a time: the tree
+    sees streams, and what it emits are places, by which the columns are taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for url, time, page_id, number, position, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(number, []).append((url, time, page_id is not None, page_id or 0, number, position, archive, offset, length))
-        for entries in parts.values():
-            entries.sort(key=lambda e: e[5])  # Spark's fetches may arrive in any order; a run's own order is its position
-        merged = loser_tree_merge([parts[r] for r in sorted(parts)])
-        held: list[tuple] = []
-        for entry in merged:
-            held.append(entry)
-            if len(held) == 8192:
-                yield _entries(held)
-                held = []
-        if held:
-            yield _entries(held)
-
-    return runs.repartitionByRange("url_key", "timestamp", "page_id").mapInArrow(run, ENTRY)
-
-
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    url, time, there, page_id, number, position, archive, offset, length = zip(*rows, strict=True)
-    ids = pa.array([p if t else None for p, t in zip(page_id, there, strict=True)], pa.int64())
-    longs = [pa.array(x, pa.int64()) for x in (number, position)]
-    return pa.RecordBatch.from_arrays([pa.array(url), pa.array(time), ids, *longs, pa.array(archive), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["url_key", "timestamp", "page_id", "run", "position", "archive", "offset", "length"])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        number = whole.column("run").to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+
+        def entries(first: int, end: int) -> Iterator[tuple]:
+            for low in range(first, end, DECODED):
+                part = whole.slice(low, min(DECODED, end - low))
+                ids = part.column("page_id").to_pylist()
+                for i, (url, time, page_id) in enumerate(zip(part.column("url_key").to_pylist(), part.column("timestamp").to_pylist(), ids, strict=True)):
+                    yield url, time, page_id is not None, page_id or 0, low + i
+
+        merged = loser_tree_merge([entries(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])
+        while places := [entry[-1] for entry in islice(merged, 8192)]:
+            yield from whole.take(pa.array(places, pa.int64())).combine_chunks().to_batches()
+
+    entries_in_all = runs.count()  # of a written table
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries_in_all // rows))
+    return runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id").sortWithinPartitions("run", "position").mapInArrow(run, ENTRY)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
