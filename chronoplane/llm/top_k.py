@@ -1,6 +1,7 @@
 """Exact top-k search by inner product with one KD-tree per shard.
 
-Candidates are dealt over shards of a bounded size. Each shard's tree splits at medians of the widest dimension and
+Candidates are dealt over shards of a bounded size, a task for each; queries stream past the shard's tree in batches, so
+it is built once in a step. Each shard's tree splits at medians of the widest dimension and
 keeps the tight bounding box of every node. A query visits nodes best-first: the largest inner product any point of a
 box can have with the query bounds the node's scores, and the search of a shard ends when that bound falls below the
 kth score. That kth score is carried over: a first step searches each query's home shard alone, and the other shards
@@ -10,10 +11,9 @@ start with its kth score as their bound.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD = 20_000
-BLOCK = 4_096
 LEAF = 64
 
 
@@ -83,6 +82,39 @@ class KDTree:
                 yield i, -minus_id, score
 
 
+LEAST = -(1 << 63)
+
+
+def answers(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (shard, dim, asks, id, v, bound), in which the queries of a shard come after its candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (ids, vectors) of the shard's candidates
+        now, trees = None, {}
+        for batch in batches:
+            shard, dim, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (dim[1:] != dim[:-1]) | (asks[1:] != asks[:-1]), True])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if now != (shard[a], dim[a]):
+                    now, held, trees = (shard[a], dim[a]), [], {}
+                vectors = batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(dim[a]))
+                if not asks[a]:
+                    held.append((ids[a:b], vectors))
+                    continue
+                if not held:
+                    continue
+                most = max(int(np.abs(x).max(initial=0)) for _, x in held) * int(np.abs(vectors).max(initial=0)) * max(1, int(dim[a]))
+                kind = np.float64 if most < 1 << 53 else object  # exact either way
+                if kind not in trees:
+                    trees[kind] = KDTree(np.concatenate([x for _, x in held]).astype(kind), np.concatenate([i for i, _ in held]))
+                bounds = np.array([LEAST if x is None else x for x in batch.column(5).slice(a, b - a).to_pylist()], dtype=kind)
+                found = [(int(ids[a + i]), other, max(LEAST, min(-LEAST - 1, score))) for i, other, score in trees[kind].search(vectors.astype(kind), ids[a:b], bounds, k)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """(id, v array<long>): floor(scale * x) of vectors whose components are all there and finite."""
     x = F.col(vector_col)
@@ -93,7 +125,7 @@ def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
 
 
 def exact_top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = SHARD, block_rows: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard_rows: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, ties to the smaller id.
 
@@ -104,36 +136,20 @@ def exact_top_k(
     data = materialize(quantized(vectors, scale, id_col, vector_col).withColumn("dim", F.size("v")), "topk-vectors")
     n = data.count()
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // every // block_rows))
-    home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks)).cast("int")
-    rows = data.withColumns({"shard": home, "block": block})
+    rows = data.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "bound": F.lit(None).cast("long")})
     queries = rows.filter(F.col("id") % every == 0)
-    candidates = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"kind": F.lit(0), "bound": F.lit(None).cast("long")})
-
-    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held, asked = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        out: list[tuple[int, int, int]] = []
-        if len(held) and len(asked):
-            points, q = np.stack(held["v"].to_numpy()), np.stack(asked["v"].to_numpy())
-            most = int(np.abs(points).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, points.shape[1])
-            points, q = (points.astype(np.float64), q.astype(np.float64)) if most < 1 << 53 else (points.astype(object), q.astype(object))
-            ids = asked["id"].to_numpy()
-            bounds = np.array([-(1 << 63) if pd.isna(b) else int(b) for b in asked["bound"]], dtype=object if most >= 1 << 53 else np.float64)
-            tree = KDTree(points, held["id"].to_numpy())
-            out = [(int(ids[i]), other, max(-(1 << 63), min((1 << 63) - 1, score))) for i, other, score in tree.search(q, ids, bounds, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     def searched(asked: DataFrame) -> DataFrame:
-        both = candidates.unionByName(asked)
-        return both.groupBy("shard", "block", "dim").applyInPandas(cell, "query_id long, vec_id long, score long")
+        """The answers to (id, v, dim, shard, bound) from the candidates of the same shard and length of vectors."""
+        both = rows.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+        return both.repartition("shard", "dim").sortWithinPartitions("shard", "dim", "asks").select("shard", "dim", "asks", "id", "v", "bound").mapInArrow(answers(k), "query_id long, vec_id long, score long")
 
-    first = materialize(searched(queries.withColumns({"kind": F.lit(1), "bound": F.lit(None).cast("long")})), "topk-home")
+    first = materialize(searched(queries), "topk-home")
     kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("found")).select(F.col("query_id").alias("id"), F.when(F.col("found") >= k, F.col("low")).alias("bound"))
     found = first
     if shards > 1:
-        asked = queries.join(kth, "id", "left").withColumn("kind", F.lit(1))
-        asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("other <> shard").withColumn("shard", F.col("other")).drop("other")
-        found = first.unionByName(searched(asked.select(*candidates.columns)))
+        asked = queries.drop("bound").join(kth, "id", "left")
+        asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("other <> shard").withColumn("shard", F.col("other"))
+        found = first.unionByName(searched(asked.select(*rows.columns)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pytest
 
-from chronoplane.llm import pii, top_k, warc
+from pyspark.sql import functions as F
+
+from chronoplane.llm import common, pii, top_k, warc
 
 
 def test_loser_tree_equals_heap_merge():
@@ -17,6 +19,21 @@ def test_loser_tree_equals_heap_merge():
         assert list(warc.loser_tree_merge(runs)) == list(heapq.merge(*runs))
 
 
+def test_addresses_of_stores():
+    assert warc.store_of("s3a://bucket/x") == "s3://bucket/x" and warc.store_of("dbfs:/a/b") == "file:///dbfs/a/b" and warc.store_of("/a") == "file:///a"
+    assert warc.store_of("file:///a") == "file:///a" and warc.store_of("hdfs://h:1/a") == "hdfs://h:1/a"
+
+
+def test_index_ranges_are_merged_from_runs(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i % 50}", f"t{i}") for i in range(3_000)], "page_id long, url string, html string").repartition(5)
+    folder = common.fresh_path(spark, "runs")
+    runs = warc.write_archives(warc.with_owners(pages.select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))), folder, run_rows=90)
+    assert runs.select("run").distinct().count() > 30
+    for rows in (100, 500_000):
+        index = [(r.url_key, r.timestamp, r.page_id, r.offset) for r in warc.merged_index(runs, rows).collect()]
+        assert index == sorted(index) and len(index) == 3_000
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Example.org/A?b=1") == "org,example)/a?b=1"
     assert warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
@@ -62,12 +79,12 @@ def brute_top(rows, k=5, every=50):
     return out
 
 
-@pytest.mark.parametrize("shard,block", [(20_000, 4_096), (60, 3)])
-def test_top_k(spark, sf, shard, block):
+@pytest.mark.parametrize("shard", [20_000, 60])
+def test_top_k(spark, sf, shard):
     table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
     rows += [(1000, None), (1001, [None] * 64), (1050, [float("nan")] * 64), (1002, rows[0][1]), (1003, rows[0][1])]
-    got = top_k.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=shard, block_rows=block).collect()
+    got = top_k.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=shard).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top(rows)
 
 
