@@ -289,6 +289,26 @@ def test_reports(job):
     assert reports.active_phases(job.phases, "/etl/train/TensorFlowJob/Epoch").count() == 3
 
 
+def test_report_files(job, tmp_path):
+    metrics = job.metrics.filter("metric_path like '%node1]/cpu:utilization'")
+    a = att.Attribution(metrics, job.phases, job.aliases)
+    attributed = a.attributed()
+    assert len(reports.write_tables(tmp_path / "out", metrics, job.phases, a.upsampled(), attributed)) == 7
+    read = lambda name: [line.split("\t") for line in (tmp_path / "out" / name).read_text().splitlines()]
+    header, *rows = read("aggregate-resource-attribution-data.tsv")
+    assert header == ["metric.id", "phase.type.id", "timestamp", "value", "count"] and {r[0] for r in rows} == {"m0"}
+    types = {r[1]: r[0] for r in read("phase-type-list.tsv")[1:]}
+    of_tasks = sorted((int(r[2]), float(r[3]), int(r[4])) for r in rows if r[1] == types["/etl/extract/SparkApplication[id=1]/Stage[id=1]/Task"])
+    own = sorted((r.start_ns, r.end_ns, r.usage) for r in attributed.filter("phase_path like '%Stage[attempt=0, id=1]/Task[attempt=0, id=10]'").collect())
+    assert own and of_tasks[0] == (own[0][0], pytest.approx(own[0][2]), 1) and of_tasks[-1][0] == own[-1][1]
+    assert [r[0] for r in read("phase-list.tsv")[1:]] == [f"p{i:02d}" for i in range(15)]
+    names = [r[0] for r in job.metrics.select("metric_path").distinct().collect()]
+    resources = reports.resources_of(job.metrics)
+    kept = reports.filtered_resources(resources, include=["/cluster/machine[hostname=node1]/cpu"], exclude=["/**/core"])
+    assert kept == ["/", "/cluster", "/cluster/machine[hostname=node1]", "/cluster/machine[hostname=node1]/cpu"]
+    assert reports.resource_tree_text(names, kept).splitlines() == ["/", "  cluster", "    machine[hostname=node1]", "      cpu", "        :cores-fully-utilized", "        :utilization"]
+
+
 def test_models_refuse_bad_changes():
     m = ExecutionModel()
     a = m.add_phase("a", 0, 1)
