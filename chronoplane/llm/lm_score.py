@@ -4,9 +4,11 @@ Every word is predicted from the WINDOW words on either side, itself masked. Wor
 words of the whole corpus have one each, the others share buckets by hash. The network embeds the 2 * WINDOW symbols,
 has one tanh layer, and predicts the symbol's class, then the symbol within its class (a two-level softmax). Below a
 shared symbol stand all words of the corpus that share it, each with its part of the symbol's exact count, so that
-every distinct word has a probability of its own: P(word | context) = P(symbol | context) * P(word | symbol). Those
-counts stay a sharded table, as large as the corpus has distinct words. A document's score is the sum of the
-conditional log-probabilities of its words.
+every distinct word has a probability of its own: P(word | context) = P(symbol | context) * P(word | symbol). What is
+masked stays masked there, too: the document's own occurrences are taken out of the counts of its words and symbols, and
+each word gets UNSEEN occurrences instead, so a word that no other document has is rare and not certain. Those counts
+stay a sharded table, as large as the corpus has distinct words. A document's score is the sum of the conditional
+log-probabilities of its words.
 
 Training sees every word of every document once. In each of ROUNDS rounds a hash of the ids picks that round's
 documents; all tasks start from the round's model, run Adagrad over their documents, and return their parameters
@@ -16,7 +18,6 @@ on the corpus.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ PER_CLASS = 36
 KNOWN = 1_024  # words with a symbol of their own; symbol 0 pads, the rest are hash buckets
 FREQUENT = 65_536  # words whose counts every task holds; only the rarer ones are looked up by a shuffle
 WIDTH, HIDDEN = 16, 32
+UNSEEN = 0.1  # added to the count of every word below a shared symbol
 ROUNDS = 2
 BATCH, RATE = 8_192, 0.1
 BLOCK = 4_096  # parameters averaged together
@@ -253,14 +255,14 @@ def as_symbols(docs: DataFrame, words: list[str], frequent: list[tuple[str, int]
     """Every text's words as 16-bit symbols, written once and read by all later passes.
 
     (doc_id, row, symbols binary, logs, shared array<struct<word, n>>): ``row`` is the row's own number. Of its words
-    without a symbol of their own, ``logs`` adds up the logs of the counts of those in ``frequent``, and ``shared``
-    lists the others, and how often each occurs in the row.
+    without a symbol of their own, ``logs`` adds up the logs of the counts in other rows of those in ``frequent``, and
+    ``shared`` lists the others, and how often each occurs in the row.
     """
-    given = docs.sparkSession.sparkContext.broadcast((words, {w.encode(): math.log(n) for w, n in frequent}))
+    given = docs.sparkSession.sparkContext.broadcast((words, {w.encode(): n for w, n in frequent}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, row = Symbols(given.value[0]), TaskContext.get().partitionId() << 40
-        log_count = (given.value[1] | dict.fromkeys(symbols.own, 0.0)).get
+        count_of = (given.value[1] | dict.fromkeys(symbols.own, 0)).get
         for batch in batches:
             for start, texts in by_size(batch.column(1)):
                 ids, logs, ends, rare, times = [], [], [0], [], []
@@ -268,14 +270,16 @@ def as_symbols(docs: DataFrame, words: list[str], frequent: list[tuple[str, int]
                     parts = words_of(text)
                     ids.append(symbols.of(parts).tobytes())
                     counts = Counter(parts)
-                    found = list(map(log_count, counts))
+                    found = list(map(count_of, counts))
                     if None in found:
                         for i, (w, n) in enumerate(counts.items()):
                             if found[i] is None:
-                                found[i] = 0.0
+                                found[i] = 0
                                 rare.append(w)
                                 times.append(n)
-                    logs.append(math.sumprod(found, counts.values()))
+                    in_all, here = np.array(found, dtype=np.float64), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+                    held = in_all > 0
+                    logs.append(float(here[held] @ np.log(in_all[held] - here[held] + UNSEEN)))
                     ends.append(len(rare))
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
                 columns = [
@@ -310,11 +314,31 @@ def symbol_counts(symbols: DataFrame) -> np.ndarray:
     return out
 
 
+def distinct_words(counted: DataFrame, words: list[str]) -> np.ndarray:
+    """How many distinct words stand below each symbol."""
+    given = counted.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, counts = Symbols(given.value), np.zeros(SYMBOLS, dtype=np.int64)
+        for batch in batches:
+            counts += np.bincount(symbols.of([w.encode() for w in batch.column(0).to_pylist()]), minlength=SYMBOLS)
+            symbols.memo = dict(symbols.own)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["symbol", "n"])
+
+    out = np.zeros(SYMBOLS, dtype=np.int64)
+    for r in counted.select("word").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        out[r["symbol"]] = r["n"]
+    return out
+
+
 def log_word_counts(symbols: DataFrame) -> DataFrame:
-    """(row, rare_logs): over the words in ``shared`` of each row, the sum of the logs of their counts in all rows."""
+    """(row, rare_logs, n_only_here): over the words in ``shared`` of each row, the sum of the logs of their counts in the
+    other rows, and how many of them no other row has."""
     each = symbols.select("row", F.inline("shared"))
-    total = F.sum("n").over(Window.partitionBy("word"))
-    return each.select("row", (F.col("n") * F.log(total)).alias("part")).groupBy("row").agg(F.sum("part").alias("rare_logs"))
+    others = F.sum("n").over(Window.partitionBy("word")) - F.col("n")
+    counted = each.select("row", "n", others.alias("others"))
+    return counted.groupBy("row").agg(F.sum(F.col("n") * F.log(F.col("others") + F.lit(UNSEEN))).alias("rare_logs"), F.sum(F.when(F.col("others") == 0, F.col("n")).otherwise(0)).alias("n_only_here"))
 
 
 def parts_of(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -371,8 +395,11 @@ def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, words: list[str] | None = None, model: Model | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of each document, under a model trained on all of them by default.
+    """(doc_id, n_words, log_prob, mean_log_prob, mean_log_word, n_only_here) of each document, under a model trained on
+    all of them by default.
 
+    ``mean_log_word`` is the part of the score below shared symbols, per word there: how well the other documents tell
+    which word it is; null without such a word. ``n_only_here`` counts the words that no other document has.
     The trained model knows every word of ``docs``. A ``model`` that is given comes without counts of words and scores
     symbols alone. Null, empty and blank texts have no words, log_prob 0 and a null mean. Repeated rows are trained on
     and scored each; an empty table gives an empty one, other columns are ignored. Very long texts take memory in
@@ -383,23 +410,28 @@ def score_documents(docs: DataFrame, words: list[str] | None = None, model: Mode
     words = most_frequent(counted) if words is None else words
     symbols = as_symbols(docs, words, frequent_words(counted, frequent) if by_word else [])
     model = train(symbols) if model is None else model
-    log_symbols = np.zeros(SYMBOLS)
+    below = np.zeros((2, SYMBOLS - KNOWN - 1))  # occurrences of each shared symbol, and what all words below it have added
     if by_word:
-        log_symbols[KNOWN + 1 :] = np.log(np.maximum(symbol_counts(symbols)[KNOWN + 1 :], 1))
-    shared = docs.sparkSession.sparkContext.broadcast((model, log_symbols))
+        below[0] = symbol_counts(symbols)[KNOWN + 1 :]
+        below[1] = UNSEEN * distinct_words(counted, words)[KNOWN + 1 :]
+    shared = docs.sparkSession.sparkContext.broadcast((model, below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, logs = shared.value
+        network, (of_symbol, added) = shared.value
         for batch in batches:
             for start, texts in parts_of(batch.column(2)):
                 part = batch.slice(start, len(texts))
-                scores = score_texts(network, texts)
+                scores, words_here, n_shared = score_texts(network, texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
                 if by_word:
-                    scores += part.column(3).to_numpy() - np.array([logs[x].sum() for x in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array(scores)], names=["doc_id", "row", "n_words", "log_prob"])
+                    here = np.stack([np.bincount(x, minlength=SYMBOLS)[KNOWN + 1 :] for x in texts])
+                    n_shared = here.sum(axis=1)
+                    words_here = part.column(3).to_numpy() - (here * np.log(np.maximum(of_symbol - here + added, UNSEEN))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array(scores.astype(np.float64)), pa.array(words_here), pa.array(n_shared)], names=["doc_id", "row", "n_words", "log_prob", "below", "n_shared"])
 
-    scored = symbols.select("doc_id", "row", "symbols", "logs").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_words long, log_prob double")
+    scored = symbols.select("doc_id", "row", "symbols", "logs").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_words long, log_prob double, below double, n_shared long")
     if by_word:
-        scored = scored.join(log_word_counts(symbols), "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rare_logs", F.lit(0.0)))
-    scored = scored.select("doc_id", "n_words", "log_prob")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+        scored = scored.join(log_word_counts(symbols), "row", "left").withColumn("below", F.col("below") + F.coalesce("rare_logs", F.lit(0.0)))
+        scored = scored.withColumn("log_prob", F.col("log_prob") + F.col("below"))
+    only_here = F.coalesce("n_only_here", F.lit(0)).cast("long") if by_word else F.lit(None).cast("long")
+    per = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n))
+    return scored.select("doc_id", "n_words", "log_prob", per("log_prob", "n_words").alias("mean_log_prob"), per("below", "n_shared").alias("mean_log_word"), only_here.alias("n_only_here"))

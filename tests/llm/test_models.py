@@ -96,7 +96,7 @@ def test_gradients_equal_differences():
             assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(grads[k][place], rel=0.05, abs=1e-4)
 
 
-def test_training_lowers_loss_and_prefers_real_order(spark, sf):
+def test_training_raises_the_mean_log_probability(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     words = lm_score.vocabulary(docs)
     counted = {}
@@ -116,6 +116,27 @@ def test_training_lowers_loss_and_prefers_real_order(spark, sf):
         assert scored[doc_id].log_prob == pytest.approx(brute_log_prob(model, symbols(text)), rel=1e-3)
 
 
+def test_real_order_and_second_occurrences_score_higher(spark):
+    """Of most documents the words as they stand, and of documents that occur twice the words of either."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = lm_score.vocabulary(docs)
+    model = lm_score.train(lm_score.as_symbols(docs, words))
+    rnd, real = np.random.default_rng(5), [(r.doc_id, r.text) for r in docs.collect() if len(r.text.split()) >= 100]
+    mixed = [(i, " ".join(rnd.permutation(t.split()))) for i, t in real]
+    a, b = ({r.doc_id: r.log_prob for r in lm_score.score_documents(spark.createDataFrame(x, "doc_id long, text string"), words, model).collect()} for x in (real, mixed))
+    assert sum(a[i] > b[i] for i in a) >= 0.8 * len(a)
+    once = {r.doc_id: r for r in lm_score.score_documents(docs).collect()}
+    chosen = [i for i, _ in real[::10]]
+    again = docs.union(docs.filter(docs.doc_id.isin(chosen)).selectExpr("doc_id + 1000000", "text"))
+    twice = {r.doc_id: r for r in lm_score.score_documents(again).collect()}
+    of = lambda r: -99.0 if r.mean_log_word is None else r.mean_log_word
+    limit = sorted(of(once[i]) for i, _ in real)[int(0.9 * len(real))]
+    caught = sum(of(twice[i]) > limit for i in chosen)
+    assert caught >= 0.6 * len(chosen), (caught, len(chosen))
+    assert all(twice[i].mean_log_prob > once[i].mean_log_prob and twice[i].n_only_here == 0 for i in chosen)
+    assert sum(once[i].n_only_here > 0 for i, _ in real) > 0.5 * len(real)
+
+
 def test_scoring_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "one two", "c"), (3, "one two", "c"), (4, "long words here " * 20_000, "d")], "doc_id long, text string, words string")
     out = sorted((r.doc_id, r.n_words, r.mean_log_prob is None) for r in lm_score.score_documents(docs).collect())
@@ -136,11 +157,23 @@ def test_words_that_share_a_symbol_have_their_own_probability(spark):
         of_symbol[symbols(w.decode())[0]] = of_symbol.get(symbols(w.decode())[0], 0) + 1
     assert max(of_symbol.values()) > 20
     model = lm_score.train(lm_score.as_symbols(docs, words))
-    part = lambda w: math.log(counts[w] / of_symbol[symbols(w.decode())[0]]) if w != b"the" else 0.0
-    wanted = sorted((brute_log_prob(model, symbols(t)) + sum(part(w) for w in t.encode().lower().split()), len(t.split())) for _, t in rows)
+    below = {}
+    for w in counts:
+        below[symbols(w.decode())[0]] = below.get(symbols(w.decode())[0], 0) + 1
+
+    def parts(text):
+        own = [w for w in text.encode().lower().split() if w != b"the"]
+        total = 0.0
+        for w in own:
+            s = symbols(w.decode())[0]
+            others = of_symbol[s] - sum(symbols(x.decode())[0] == s for x in own)
+            total += math.log((counts[w] - own.count(w) + lm_score.UNSEEN) / (others + lm_score.UNSEEN * below[s]))
+        return total
+
+    wanted = sorted((brute_log_prob(model, symbols(t)) + parts(t), len(t.split())) for _, t in rows)
     for frequent in (0, 40, lm_score.FREQUENT):
         out = lm_score.score_documents(docs, words, frequent=frequent)
-        assert out.columns == ["doc_id", "n_words", "log_prob", "mean_log_prob"]
+        assert out.columns == ["doc_id", "n_words", "log_prob", "mean_log_prob", "mean_log_word", "n_only_here"]
         got = sorted((r.log_prob, r.n_words) for r in out.collect())
         assert np.allclose([x for x, _ in got], [x for x, _ in wanted], rtol=1e-3, atol=1e-2) and [n for _, n in got] == [n for _, n in wanted]
 
