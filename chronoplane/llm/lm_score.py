@@ -265,7 +265,7 @@ def as_symbols(docs: DataFrame, words: list[str], frequent: list[tuple[str, int]
         count_of = (given.value[1] | dict.fromkeys(symbols.own, 0)).get
         for batch in batches:
             for start, texts in by_size(batch.column(1)):
-                ids, logs, ends, rare, times = [], [], [0], [], []
+                ids, ends, rare, times, in_all, here, distinct = [], [0], [], [], [], [], []
                 for text in texts:
                     parts = words_of(text)
                     ids.append(symbols.of(parts).tobytes())
@@ -277,10 +277,13 @@ def as_symbols(docs: DataFrame, words: list[str], frequent: list[tuple[str, int]
                                 found[i] = 0
                                 rare.append(w)
                                 times.append(n)
-                    in_all, here = np.array(found, dtype=np.float64), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                    held = in_all > 0
-                    logs.append(float(here[held] @ np.log(in_all[held] - here[held] + UNSEEN)))
+                    in_all += found
+                    here += counts.values()
+                    distinct.append(len(counts))
                     ends.append(len(rare))
+                n, m = np.array(in_all, dtype=np.float64), np.array(here, dtype=np.float64)
+                parts = np.where(n > 0, m * np.log(np.where(n > 0, n - m + UNSEEN, 1.0)), 0.0)
+                logs = np.bincount(np.repeat(np.arange(len(texts)), distinct), weights=parts, minlength=len(texts))
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
                 columns = [
                     batch.column(0).slice(start, len(texts)),
