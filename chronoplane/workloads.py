@@ -170,8 +170,7 @@ def _temporal(source: str, aggregates: str, values: list[str], key: str | None)
         WINDOW w AS ({p} ORDER BY s))) GROUP BY {k} run"""
 
 
-# Queries with very many rows per moment are keyed. temporal_join_keyless alone is narrowed, to two id prefixes, to show
-# filters on both sides and the pairs themselves; temporal_join_keyless_whole joins all users and reduces the pairs.
+# temporal_join_keyless pairs every user with every other and reduces the pairs; the other joins are keyed.
 Q: dict[str, Query] = {}
 
 
@@ -236,9 +235,7 @@ dialect("temporal_agg_global", "FROM metrics GROUP BY _start_time, _end_time SEL
 dialect("temporal_join_keyed", "FROM metrics AS m TEMPORAL JOIN states AS s WHERE PARENT_OF(m.path) = s.path AND m.usage > 100 SELECT _start_time, _end_time, m.usage AS used, s.state AS state, s.path AS path;",
         """SELECT greatest(m._start_time, s._start_time) AS _start_time, least(m._end_time, s._end_time) AS _end_time, m."usage" AS used, s.state, s.path FROM metrics m JOIN states s
            ON left(m.path, length(m.path) - length('/value') - 1 + 1) = s.path AND m._start_time < s._end_time AND s._start_time < m._end_time WHERE m."usage" > 100""")
-dialect("temporal_join_keyless", 'FROM states AS a TEMPORAL JOIN states AS b WHERE a.path ~= "/users/user[id=1*" AND b.path ~= "/users/user[id=2*" SELECT a.path AS p, b.path AS q, a.amount + b.amount AS total, _duration;',
-        "SELECT a.path AS p, b.path AS q, a.amount + b.amount AS total, least(a._end_time, b._end_time) - greatest(a._start_time, b._start_time) AS _duration FROM states a JOIN states b ON a._start_time < b._end_time AND b._start_time < a._end_time WHERE a.path LIKE '/users/user[id=1%' AND b.path LIKE '/users/user[id=2%'")
-dialect("temporal_join_keyless_whole", "FROM states AS a TEMPORAL JOIN states AS b GROUP BY a.state, b.state SELECT a.state AS p, b.state AS q, COUNT(a.path) AS n, SUM((a.amount + b.amount) / 1000) AS total, SUM((_end_time - _start_time) / 1000000) AS shared;",
+dialect("temporal_join_keyless", "FROM states AS a TEMPORAL JOIN states AS b GROUP BY a.state, b.state SELECT a.state AS p, b.state AS q, COUNT(a.path) AS n, SUM((a.amount + b.amount) / 1000) AS total, SUM((_end_time - _start_time) / 1000000) AS shared;",
         """SELECT a.state AS p, b.state AS q, count(*)::DOUBLE AS n, sum((a.amount + b.amount) / 1000) AS total, sum((least(a._end_time, b._end_time) - greatest(a._start_time, b._start_time)) / 1e6) AS shared
            FROM states a JOIN states b ON a._start_time < b._end_time AND b._start_time < a._end_time GROUP BY a.state, b.state""")
 dialect("temporal_join_chain", "FROM metrics AS m TEMPORAL JOIN states AS s TEMPORAL JOIN metrics AS n WHERE m.path = n.path AND PATH_PREFIX(m.path, 2) = s.path SELECT m.path AS path, s.state AS state, n.usage AS used, _duration;",
@@ -318,24 +315,22 @@ def _order_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Attribution: a metric per event type (its periods are an hour, its value the number of events), phases are a user's gaps of that type,
-# by definition at most two hours of them; those of attribution_leaf_whole_gaps last until the user's next event.
+# which last until the user's next event.
 ATT_SQL = """hours AS (SELECT event_type AS metric_path, epoch_us(ts) // 3600000000 AS h, count(*)::DOUBLE AS value FROM events GROUP BY ALL),
     periods AS (SELECT metric_path, h * 3600000000 AS start_ns, (h + 1) * 3600000000 AS end_ns, value, 1000.0::DOUBLE AS max_value FROM hours),
     pairs AS (SELECT event_type AS metric_path, '/gap[id=' || event_id || ']' AS phase_path, '/gap/' || (user_id % 3) AS phase_type, epoch_us(ts) AS start_ns, n AS end_ns FROM
-        (SELECT *, least(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch_us(ts) + 7200000000) AS n FROM events))"""
+        (SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)"""
 
-WHOLE_GAPS = ATT_SQL[: ATT_SQL.index("(SELECT *, least(")] + "(SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)"
 
-
-def attribution_inputs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Periods and phases; ``whole`` gaps end with the user's next event, so that the last event has none."""
+def attribution_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Periods and phases; a gap ends with the user's next event, so that the last event has none."""
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _micros("ts").alias("us"))
     hour = 3_600_000_000
     h = F.floor(F.col("us") / F.lit(hour))
     hours = events.groupBy(F.col("event_type").alias("metric_path"), h.alias("h")).agg(F.count("*").cast("double").alias("value"))
     periods = hours.select("metric_path", (F.col("h") * hour).alias("start_ns"), ((F.col("h") + 1) * hour).alias("end_ns"), "value", F.lit(1000.0).alias("max_value"))
     following = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
-    pairs = events.withColumn("n", following).filter("n is not null") if whole else events.withColumn("n", F.least(following, F.col("us") + 2 * hour))
+    pairs = events.withColumn("n", following).filter("n is not null")
     pairs = pairs.select(F.col("event_type").alias("metric_path"), F.concat(F.lit("/gap[id="), F.col("event_id"), F.lit("]")).alias("phase_path"), F.concat(F.lit("/gap/"), F.col("user_id") % 3).alias("phase_type"), F.col("us").alias("start_ns"), F.col("n").alias("end_ns"))
     return periods, pairs
 
@@ -431,9 +426,9 @@ def _upsample_unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return att.upsample(periods, exact, variable, merge=False)
 
 
-def leaf_attribution(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def leaf_attribution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Attribution of the metric as measured, without upsampling, so that SQL can follow it."""
-    periods, pairs = attribution_inputs(spark, sf_dir, whole)
+    periods, pairs = attribution_inputs(spark, sf_dir)
     rules, leaves = _rules(pairs)
     exact, variable = (written(att.demand(periods, rules, leaves, k), "demand") for k in (att.EXACT, att.VARIABLE))
     return written(att.attribute_leaves(rules, leaves, periods, exact, variable), "leaves"), pairs
@@ -454,11 +449,6 @@ def _leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf_attribution(spark, sf_dir)[0]
 
 
-@built("attribution_leaf_whole_gaps", f"WITH {LEAF_SQL.replace(ATT_SQL, WHOLE_GAPS)} SELECT * FROM att")
-def _leaf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaf_attribution(spark, sf_dir, whole=True)[0]
-
-
 @built("attribution_composite", f"""WITH {LEAF_SQL}, up AS (SELECT a.metric_path, '/gap' AS phase_path, start_ns, end_ns, "usage", capacity FROM att a),
     sl AS (SELECT * FROM (SELECT metric_path, t AS s, lead(t) OVER (PARTITION BY metric_path ORDER BY t) AS e FROM (SELECT DISTINCT metric_path, unnest([start_ns, end_ns]) AS t FROM up)) WHERE e IS NOT NULL),
     ch AS (SELECT metric_path, t, sum(u) AS u, sum(c) AS c, sum(n) AS n FROM (SELECT metric_path, start_ns AS t, "usage" AS u, capacity AS c, 1 AS n FROM up UNION ALL SELECT metric_path, end_ns, -"usage", -capacity, -1 FROM up) GROUP BY ALL)
@@ -523,9 +513,9 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "agg_avg_over_time": ("mean",), "agg_find_or_default": ("amount",), "agg_first_row_columns": ("amount", DURATION), "agg_time_bounds": (START, END, "span"), "agg_expression": ("x", "y"), "global_agg": ("total",),
     "order_by": ("amount", START), "top_k": ("amount", START), "sub_select": ("total",), "interval_merge": (START, END, DURATION), "interval_merge_hidden_series": (START, END), "temporal_agg_count": (START, END),
     "temporal_agg_max": (START, END), "temporal_agg_weighted": (START, END, "x"), "temporal_agg_by_state": (START, END), "temporal_agg_global": (START, END), "temporal_join_keyed": (START, END, "used"),
-    "temporal_join_keyless": ("total", DURATION), "temporal_join_keyless_whole": ("n", "total", "shared"), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
+    "temporal_join_keyless": ("n", "total", "shared"), "temporal_join_chain": ("used", DURATION), "temporal_join_then_agg": ("area",), "cached_view": ("high",), "time_slices": (START, END), "time_slices_global": (START, END),
     "active_phase_count": (START, END), "step_sum": (START, END, "amount"), "zoom": (START, END, DURATION, "amount"), "step_series": ("time",), "activity_matrix": ("active",), "demand_exact": ("demand",), "demand_variable": ("demand",),
-    "attribution_leaf": ("usage", "capacity"), "attribution_leaf_whole_gaps": ("usage", "capacity"), "attribution_composite": ("area",), "attribution_composite_at_hours": ("usage", "capacity"), "nnls_rules": ("demand",), "upsample_totals": ("area",), "order_by_rank": ("amount", START), "path_parts_deep": ("depth",),
+    "attribution_leaf": ("usage", "capacity"), "attribution_composite": ("area",), "attribution_composite_at_hours": ("usage", "capacity"), "nnls_rules": ("demand",), "upsample_totals": ("area",), "order_by_rank": ("amount", START), "path_parts_deep": ("depth",),
     "bottleneck_overlapping": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"), "bottleneck": ("duration_without_overhead", "duration_without_group", "duration_without_group_and_overhead"),
 }
 
