@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_div
-from ..operators.intervals import coalesce_intervals, merged_steps, step_sums, temporal_join
+from ..operators.intervals import active_count, coalesce_intervals, merged_steps, step_sums, temporal_join
 from ..schema import DURATION, END, START
 from ..storage import written
 from .nnls import nnls_of_sums
@@ -179,7 +179,9 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
     """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of leaf phases, within their metric's span.
 
     An exact demand d of a total D takes min(usage * d / D, d); a variable one takes (usage - D exact) * d / D
-    variable; a demand of 0 takes nothing and could have everything.
+    variable; a demand of 0 takes nothing and could have everything. What a phase takes follows from its rule alone, so
+    it is worked out and merged once for all phases with equal rules, over the times at which one of them is active.
+    The phases then meet these steps, and need no further merging: neighbouring steps differ.
     """
     series = [
         (upsampled.select("metric_path", "start_ns", "end_ns", F.col("value").alias("u"), F.col("max_value").alias("cap")), ["u", "cap"]),
@@ -188,16 +190,21 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
     ]
     level = written(merged_steps(series, ["metric_path"], "start_ns", "end_ns", eager=True).filter("u is not null"), "levels")
     spans = rules.filter(F.col("kind") != NONE).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").filter("start_ns < end_ns")
-    spans = written(spans.select("metric_path", "phase_path", "kind", F.col("demand").alias("d"), "start_ns", "end_ns"), "spans")
-    met = overlaps(spans, level, ["metric_path"])
+    rule = F.concat_ws(" ", "kind", F.col("d").cast("string"))
+    spans = written(spans.select("metric_path", "phase_path", "kind", F.col("demand").cast("double").alias("d"), "start_ns", "end_ns").withColumn("rule", rule), "spans")
+    alike = ["metric_path", "rule", "kind", "d"]
+    active = active_count(spans, alike, "start_ns", "end_ns").filter("active > 0").withColumnsRenamed({START: "start_ns", END: "end_ns"})
+    met = overlaps(written(active.drop("active"), "active"), level, ["metric_path"])
 
     def part_of(total: Column, when_zero: Column) -> Column:
         as_exact = F.least(ieee_div(total * F.col("d"), F.col("x")), F.col("d"))
         as_variable = ieee_div(F.greatest(total - F.col("x"), F.lit(0.0)) * F.col("d"), F.col("v"))
         return F.when(F.col("d") == 0, when_zero).when(F.col("kind") == EXACT, as_exact).otherwise(as_variable)
 
-    steps = met.select("metric_path", "phase_path", "start_ns", "end_ns", part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
-    return coalesce_intervals(steps, ["metric_path", "phase_path"], ["usage", "capacity"], "start_ns", "end_ns")
+    steps = met.select("metric_path", "rule", "start_ns", "end_ns", part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
+    steps = written(coalesce_intervals(steps, ["metric_path", "rule"], ["usage", "capacity"], "start_ns", "end_ns"), "steps")
+    taken = overlaps(spans.drop("kind", "d"), steps, ["metric_path", "rule"])
+    return taken.select("metric_path", "phase_path", "start_ns", "end_ns", "usage", "capacity")
 
 
 def ancestors_of(phases: DataFrame) -> DataFrame:

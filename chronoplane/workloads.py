@@ -431,7 +431,7 @@ def leaf_attribution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     periods, pairs = attribution_inputs(spark, sf_dir)
     rules, leaves = _rules(pairs)
     exact, variable = (written(att.demand(periods, rules, leaves, k), "demand") for k in (att.EXACT, att.VARIABLE))
-    return written(att.attribute_leaves(rules, leaves, periods, exact, variable), "leaves"), pairs
+    return att.attribute_leaves(rules, leaves, periods, exact, variable), pairs
 
 
 LEAF_SQL = f"""{RULED}, {_demand_sql('exact', 'ex')}, {_demand_sql('variable', 'va')},
@@ -455,6 +455,7 @@ def _leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT metric_path, sum(CASE WHEN u IS NULL THEN 0 ELSE u * (e - s) END) / 1e6 AS area FROM (SELECT metric_path, s, e, sum(u) OVER (PARTITION BY metric_path ORDER BY s) AS u FROM sl JOIN ch USING (metric_path) WHERE t = s) GROUP BY metric_path""")
 def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves, pairs = leaf_attribution(spark, sf_dir)
+    leaves = written(leaves, "leaves")
     renamed = leaves.withColumn("phase_path", F.concat(F.lit("/gap"), F.replace("phase_path", F.lit("/gap"), F.lit("/leaf"))))
     span = pairs.agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).select(F.lit("/gap").alias("path"), "start_ns", "end_ns", F.lit(False).alias("is_leaf"))
     tree = pairs.select(F.concat(F.lit("/gap"), F.replace("phase_path", F.lit("/gap"), F.lit("/leaf"))).alias("path"), "start_ns", "end_ns", F.lit(True).alias("is_leaf")).unionByName(span)
@@ -467,6 +468,7 @@ def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _composite_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite's series at the start of every hour in which a leaf is active."""
     leaves, pairs = leaf_attribution(spark, sf_dir)
+    leaves = written(leaves, "leaves")
     below = lambda c: F.concat(F.lit("/gap"), F.replace(c, F.lit("/gap"), F.lit("/leaf")))
     span = pairs.agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).select(F.lit("/gap").alias("path"), "start_ns", "end_ns", F.lit(False).alias("is_leaf"))
     tree = pairs.select(below("phase_path").alias("path"), "start_ns", "end_ns", F.lit(True).alias("is_leaf")).unionByName(span)
