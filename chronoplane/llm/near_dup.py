@@ -38,6 +38,8 @@ SKETCH_BITS = 512
 DEVIATIONS = 6.0  # a pair is dropped on sketches only when its estimate is so many deviations below the threshold
 CELL = 1_024  # members in a block of a cell
 SHINGLES = 4_000_000  # shingles of the members in a block of a cell, but for a single longer text
+HOT = 4_096  # a bucket with more than a HOT-th of all rows is broadcast to them, not joined on
+SALTS = 16  # parts in which the rows of an open bucket meet what is known of it
 
 _random = np.random.Generator(np.random.PCG64(20_240_229))
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -220,6 +222,12 @@ def forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def salted_join(rows: DataFrame, of_buckets: DataFrame) -> DataFrame:
+    """The rows (bucket, node, ...) with what is known of their bucket, one row each; a bucket's rows meet in SALTS parts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "node"), F.lit(SALTS)).cast("int"))
+    return salted.join(of_buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bucket", "salt"]).drop("salt")
+
+
 def dealt_cells(members: DataFrame, size: int, shingles: int = SHINGLES) -> DataFrame:
     """Deal the members (bucket, node, component, n_shingles, ...) of each bucket over cells (bucket, row, column).
 
@@ -231,7 +239,7 @@ def dealt_cells(members: DataFrame, size: int, shingles: int = SHINGLES) -> Data
     whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("of").alias("of"), F.max(F.struct("n", "component", "of")).alias("most")).filter("n > most.n")
     blocks = lambda n, of: F.greatest(F.ceil(n / F.lit(size)), F.ceil(of / F.lit(shingles)), F.lit(1)).cast("int")
     plan = whole.select("bucket", F.col("most.component").alias("largest"), blocks(F.col("n"), F.col("of")).alias("columns"), blocks(F.col("n") - F.col("most.n"), F.col("of") - F.col("most.of")).alias("rows"))
-    placed = members.join(plan, "bucket")
+    placed = salted_join(members, plan)
     mine = lambda n: F.pmod(F.xxhash64(F.lit(11), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = [c for c in members.columns]
@@ -311,7 +319,11 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, cell: int =
         facts = heads.select("node", "n_shingles", "sketch")
         banded = heads.select("node", F.explode("bands").alias("bucket"))
         hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-        shared = own.keep(banded.join(hubs, "bucket"), "buckets")
+        hubs = own.keep(hubs, "hubs")
+        # Fewer than HOT buckets can hold more than a HOT-th of all rows each; only these may be broadcast.
+        hot = F.broadcast(hubs.filter(F.col("members") > heads.count() * BANDS / HOT))
+        rest = banded.join(hot.select("bucket"), "bucket", "left_anti").join(hubs, "bucket")
+        shared = own.keep(banded.join(hot, "bucket").unionByName(rest), "buckets")
         limit = most_differing(percent / 100)
         pairs = shared.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
         pairs = pairs.join(facts.toDF("dst", "n_dst", "sketch_dst"), "dst").join(facts.toDF("src", "n_src", "sketch_src"), "src")
@@ -328,7 +340,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, cell: int =
         placed = shared.filter("members > 2").join(components, "node")
         open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
         open_buckets = open_buckets.filter("low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-        members = own.keep(placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "component").join(facts, "node"), "members")
+        members = own.keep(salted_join(placed, open_buckets).select("bucket", "node", "component").join(facts, "node"), "members")
         likely = likely_members(dealt_cells(members, cell), limit)
         likely = own.keep(members.drop("sketch").join(likely, ["bucket", "node"], "left_semi"), "likely")
         cells = dealt_cells(likely, cell).join(candidates, "node").repartition("bucket", "row", "column")
