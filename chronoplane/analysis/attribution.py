@@ -157,7 +157,8 @@ def upsample(metrics: DataFrame, exact: DataFrame, variable: DataFrame, merge: b
     """(metric_path, start_ns, end_ns, value, max_value): periods in which demand changes are split at the changes.
 
     A period's mean value is given out to its parts in proportion to their exact demand, at most that demand; what is
-    left in proportion to their variable demand, and what is left then evenly, always at most the metric's limit.
+    left in proportion to their variable demand, and what is left then evenly, always at most the metric's limit. Where
+    the mean itself was measured above that limit, it is the limit, so that nothing is lost.
     """
     periods = metrics.select("metric_path", "start_ns", "end_ns", "value", "max_value", F.col("start_ns").alias("period"))
     demands = [d.select("metric_path", "start_ns", "end_ns", F.col("demand").alias(n)) for d, n in ((exact, "exact"), (variable, "variable"))]
@@ -167,7 +168,7 @@ def upsample(metrics: DataFrame, exact: DataFrame, variable: DataFrame, merge: b
     of_period, length = Window.partitionBy(*period), F.col("end_ns") - F.col("start_ns")
     even = (F.min("exact").over(of_period) == F.max("exact").over(of_period)) & (F.min("variable").over(of_period) == F.max("variable").over(of_period))
     parts = parts.withColumns({"share": length / F.sum(length).over(of_period), "left": F.col("value"), "even": even})
-    most = F.col("max_value")
+    most = F.greatest("max_value", "value")
     parts = fill(parts, period, "left", F.col("exact"), F.least("exact", most), "x")
     parts = fill(parts, period, "left", F.col("variable"), most - F.col("x"), "y")
     parts = fill(parts, period, "left", F.lit(1.0), most - F.col("x") - F.col("y"), "z")

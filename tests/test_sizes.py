@@ -1,11 +1,14 @@
 """Tables that the smallest ones do not stand for: many events at a time, values of zero, rows that span many others."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chronoplane import workloads
+from chronoplane.operators import intervals as iv
 from tests.oracle import TABLES, compare
 
 ORACLES = workloads.oracle_sql()
@@ -13,15 +16,21 @@ ORACLES = workloads.oracle_sql()
 
 @pytest.fixture
 def dense(sf, tmp_path):
-    """The tables with an event table of 2,400 clicks in two hours, every 50th with value 0, and some later events."""
+    """The tables with an event table of 2,400 events in 80 minutes, most of them clicks, every 50th with value 0, and some later ones."""
     for t in TABLES:
         if t != "events":
             os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
     kinds = "['click', 'view', 'error']"
-    duckdb.execute(f"""COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01 00:00:00.25' + INTERVAL (i * 3) SECOND + INTERVAL (CASE WHEN i >= 2400 THEN i * 60 ELSE 0 END) SECOND AS ts, (i * 7 % 41)::BIGINT AS user_id,
+    duckdb.execute(f"""COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01 00:00:00.25' + INTERVAL (i * 2) SECOND + INTERVAL (CASE WHEN i >= 2400 THEN i * 60 ELSE 0 END) SECOND AS ts, (i * 7 % 41)::BIGINT AS user_id,
         CASE WHEN i % 9 < 7 THEN 'click' ELSE {kinds}[1 + i % 3] END AS event_type, CASE WHEN i % 50 = 0 THEN 0.0 ELSE (i * 37 % 500)::DOUBLE END AS value, '{{}}' AS props FROM range(2700) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
     return str(tmp_path)
 
 
 def test_quotients_of_zero(spark, dense):
     assert compare(workloads.queries()["arithmetic"](spark, dense), dense, ORACLES["arithmetic"]) > 2_000
+
+
+def test_means_above_the_limit_are_kept(spark, dense):
+    compare(workloads.queries()["upsample_totals"](spark, dense), dense, ORACLES["upsample_totals"])
+    hours, _ = workloads.attribution_inputs(spark, dense)
+    assert hours.filter("value > max_value").count()
