@@ -148,6 +148,43 @@ def sliced(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str
     return rows.alias("r").join(bounds.alias("b"), _same("r", "b", [*keys, "__i"])).select("r.*", "b.__s", "b.__e").drop("__i")
 
 
+TIERS = (24, 12, 6, 0)
+
+
+def tiled(df: DataFrame, keys: Sequence[str], parts: dict[str, tuple[Column, Callable[[Column], Column]]], start: str = START, end: str = END, within: Sequence[str] = ()) -> DataFrame:
+    """(keys, within, __s, __e, parts): what the rows active in each slice of a key come to, per value of ``within``.
+
+    ``parts``: a row's contribution and the aggregate that combines contributions, such as a sum or a minimum. No row is
+    repeated for the slices it spans. Slices are the leaves of a binary tree; a row counts at the nodes that make up its
+    span, at most two of each size, and what the nodes come to is handed down to the slices, from tier to tier, so that
+    no more than a few rows for each slice are made.
+    """
+    points = change_points(df, keys, start, end)
+    group, names = [*keys, *within], list(parts)
+    combined = lambda: [parts[n][1](F.col(f"__p{i}")).alias(f"__p{i}") for i, n in enumerate(names)]
+    rows = df.filter(F.col(q(start)) < F.col(q(end))).select(*_cols([*group, start, end]), *(parts[n][0].alias(f"__p{i}") for i, n in enumerate(names)))
+    rows = rows.groupBy(*_cols([*group, start, end])).agg(*combined()).alias("r")
+    for t, i in ((start, "__first"), (end, "__last")):
+        at = points.select(*_cols(keys), F.col("__t").alias(t), F.col("__i").alias(i)).alias("p")
+        rows = rows.join(at, _same("r", "p", [*keys, t])).select("r.*", f"p.{i}").alias("r")
+    # The middle is the multiple of the largest power of two in (first, last]; the bits of the distances give the nodes.
+    rows = rows.withColumn("__h", F.expr("length(bin(__first ^ __last)) - 1"))
+    rows = rows.withColumn("__m", F.expr("shiftleft(shiftright(__last, __h), __h)"))
+    rows = rows.withColumns({"__y": F.expr("__m - __first"), "__z": F.expr("__last - __m")})
+    of = lambda c, i: f"transform(filter(sequence(0, __h), k -> (shiftright({c}, k) & 1) = 1), k -> struct(k AS k, {i} AS i))"
+    covered = F.expr(f"concat({of('__y', 'shiftright(__m, k) - shiftright(__y, k)')}, {of('__z', 'shiftright(__m, k) + 2 * shiftright(__z, k + 1)')})")
+    kept = [*_cols(group), *(F.col(f"__p{i}") for i in range(len(names)))]
+    nodes = rows.select(*kept, F.explode(covered).alias("__n")).select(*kept, F.col("__n.k").alias("__k"), F.col("__n.i").alias("__i"))
+    nodes = nodes.groupBy(*_cols(group), "__k", "__i").agg(*combined())
+    for tier in TIERS:
+        deep = F.expr(f"greatest(__k - {tier}, 0)")
+        below = nodes.withColumn("__d", deep).withColumn("__j", F.explode(F.expr("sequence(0L, shiftleft(1L, __d) - 1)")))
+        below = below.withColumns({"__i": F.expr("shiftleft(__i, __d) + __j"), "__k": F.col("__k") - F.col("__d")}).drop("__d", "__j")
+        nodes = below.groupBy(*_cols(group), "__k", "__i").agg(*combined())
+    found = nodes.alias("r").join(_slices(points, keys).alias("b"), _same("r", "b", [*keys, "__i"]))
+    return found.select(*(F.col(f"r.{q(c)}").alias(c) for c in group), "b.__s", "b.__e", *(F.col(f"r.__p{i}").alias(n) for i, n in enumerate(names)))
+
+
 def temporal_aggregate(
     df: DataFrame,
     keys: Sequence[str],

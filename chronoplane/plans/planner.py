@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import coalesce_intervals, sliced, temporal_counts, temporal_join
+from ..operators.intervals import coalesce_intervals, sliced, temporal_counts, temporal_join, tiled
 from ..schema import BOOLEAN, DURATION, END, NUMERIC, RESERVED, START, PlanError, kind_of, q, require_distinct
 from .expressions import Compiler, conjuncts, has_aggregate, names_in
 from .language import Binary, Call, Name, Select, Star, Unary, show
@@ -189,6 +189,8 @@ class Planner:
             bounds = [n for n, _ in terms[:2]] == [START, END] and [e for _, e in terms[:2]] == [Name(START), Name(END)]
             if bounds and terms[2:] and all(self.sweepable(e, groups) for _, e in terms[2:]):
                 return self.counted(rel, groups, terms)
+            if bounds and terms[2:] and all(self.sweepable(e, groups) or self.extreme(e) for _, e in terms[2:]):
+                return self.counted(rel, groups, terms, extremes=True)
             if [n for n, _ in terms[:2]] != [START, END] or [e for _, e in terms[:2]] != [Name(START), Name(END)]:
                 raise PlanError("a temporal aggregate selects _start_time, _end_time first")
             # The order of rows is that of the rows themselves, not of the slices they are cut into.
@@ -230,22 +232,43 @@ class Planner:
             return e.path in groups
         return isinstance(e, Call) and (e.function == "COUNT" or e.function == "COUNT_IF" and not names_in(e) & {START, END})
 
-    def counted(self, rel: Relation, groups: list[str], terms: list[tuple[str, object]]) -> Relation:
-        """A temporal aggregate of nothing but counts: a sweep over change points instead of a row for every slice."""
+    @staticmethod
+    def extreme(e: object) -> bool:
+        """Minima and maxima of what does not depend on the slice."""
+        return isinstance(e, Call) and e.function in ("MIN", "MAX") and not names_in(e) & {START, END}
+
+    def counted(self, rel: Relation, groups: list[str], terms: list[tuple[str, object]], extremes: bool = False) -> Relation:
+        """A temporal aggregate of nothing but counts: a sweep over change points instead of a row for every slice. With
+        minima and maxima: a tree over the slices."""
         typing, inner = Compiler(rel.kinds, F.lit(0), set(groups), F.col), Compiler(rel.kinds)
         for _, e in terms[2:]:
             typing(e)
         kept = {g: f"__g{i}" for i, g in enumerate(groups)}
         conditions = {n: inner(e.args[0])[0].alias(f"__if{i}") for i, (n, e) in enumerate(terms) if isinstance(e, Call) and e.function == "COUNT_IF"}
-        df = rel.df.select(START, END, *(F.col(q(g)).alias(n) for g, n in kept.items()), *conditions.values())
-        counts = {n: F.col(f"__if{i}") if n in conditions else None for i, (n, e) in enumerate(terms) if isinstance(e, Call)}
-        swept = temporal_counts(df, list(kept.values()), counts)
+        of = {n: (e.function, *inner(e.args[0])) for n, e in terms if isinstance(e, Call) and self.extreme(e)}
+        inputs = [c.alias(f"__of{i}") for i, (_, c, _) in enumerate(of.values())]
+        df = rel.df.select(START, END, *(F.col(q(g)).alias(n) for g, n in kept.items()), *conditions.values(), *inputs)
+        counts = {n: F.col(f"__if{i}") if n in conditions else None for i, (n, e) in enumerate(terms) if isinstance(e, Call) and n not in of}
+        swept = self.tree_of_slices(df, list(kept.values()), counts, of) if extremes else temporal_counts(df, list(kept.values()), counts)
         out = [F.col(START), F.col(END)] + [F.col(kept[e.path]).alias(n) if isinstance(e, Name) else F.col(q(n)) for n, e in terms[2:]]
         series = F.struct(*(F.col(n) for n in kept.values())) if kept else F.lit(0)
-        kinds = {n: NUMERIC if not isinstance(e, Name) else rel.kinds[e.path] for n, e in terms}
+        kinds = {n: of[n][2] if n in of else NUMERIC if not isinstance(e, Name) else rel.kinds[e.path] for n, e in terms}
         keys = {n for n, e in terms if isinstance(e, Name) and e.path in groups}
         return Relation(swept.select(*out, series.alias("__s0")), kinds, keys, ["__s0"], rel.step(f"TemporalCount by [{', '.join([START, END, *groups])}] " + ", ".join(f"{show(e)} AS {n}" for n, e in terms)))
 
+    @staticmethod
+    def tree_of_slices(df: DataFrame, keys: list[str], counts: dict[str, Column | None], of: dict[str, tuple[str, Column, str]]) -> DataFrame:
+        parts = {n: ((F.lit(1) if c is None else F.coalesce(c.cast("int"), F.lit(0))).cast("long"), F.sum) for n, c in counts.items()}
+        for i, (n, (function, _, kind)) in enumerate(of.items()):
+            parts[n] = (F.col(f"__of{i}"), F.min if function == "MIN" else F.max)
+            if function == "MIN" and kind == NUMERIC:  # not-a-number wins
+                parts[f"__nan{i}"] = (F.isnan(f"__of{i}"), F.max)
+        out = {n: F.col(q(n)).cast("double") for n in counts}
+        for i, n in enumerate(of):
+            out[n] = F.when(F.col(f"__nan{i}"), F.lit(float("nan"))).otherwise(F.col(q(n))) if f"__nan{i}" in parts else F.col(q(n))
+        found = tiled(df, keys, parts).select(F.col("__s").alias(START), F.col("__e").alias(END), *map(F.col, keys), *(c.alias(n) for n, c in out.items()))
+        return coalesce_intervals(found, keys, list(out))
+
     def sort(self, rel: Relation, by: tuple[tuple[str, bool], ...]) -> Relation:
         unknown = [c for c, _ in by if c not in rel.kinds]
         if unknown:

@@ -34,3 +34,27 @@ def test_means_above_the_limit_are_kept(spark, dense):
     compare(workloads.queries()["upsample_totals"](spark, dense), dense, ORACLES["upsample_totals"])
     hours, _ = workloads.attribution_inputs(spark, dense)
     assert hours.filter("value > max_value").count()
+
+
+def test_tiles_against_slices(spark):
+    """Sums, minima and maxima over active rows, with slices on both sides of powers of two, against a row for every slice."""
+    rnd = random.Random(7)
+    rows = []
+    for n, key in ((200, "a"), (3, "b"), (40, None)):
+        for _ in range(n):
+            s = rnd.randrange(300)
+            rows.append((key, rnd.choice("xy"), s, s + rnd.choice([0, 1, 5, 250]), rnd.randrange(1_000)))
+    df = spark.createDataFrame(rows, "k string, g string, s long, e long, v int")
+    parts = {"low": (F.col("v"), F.min), "high": (F.col("v"), F.max), "total": (F.col("v"), F.sum), "n": (F.lit(1), F.sum)}
+    got = iv.tiled(df, ["k"], parts, "s", "e", within=["g"])
+    want = iv.sliced(df, ["k"], "s", "e").groupBy("k", "g", "__s", "__e").agg(F.min("v"), F.max("v"), F.sum("v"), F.count("*"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert iv.tiled(df.limit(0), ["k"], parts, "s", "e").count() == 0
+
+
+def test_long_rows_are_not_repeated(spark, dense):
+    """Rows that span thousands of slices: extremes and shares are worked out without a row for each slice."""
+    for name in ("temporal_agg_by_state", "bottleneck_overlapping"):
+        out = workloads.queries()[name](spark, dense)
+        assert "__first, __last" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "sequence(__first" not in plan
+        compare(out, dense, ORACLES[name])
