@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import sliced
+from ..operators.intervals import tiled
 
 GROUPINGS: dict[str, Column | str] = {"metric": "metric_path", "resource": "metric_path", "metric_type": "metric_type", "resource_type": "metric_type"}
 
@@ -29,7 +29,7 @@ def bottlenecks(attributed: DataFrame, grouping: str = "metric") -> DataFrame:
     """
     used = F.when(F.col("capacity") > 0, F.least(F.col("usage") / F.col("capacity"), F.lit(1.0))).otherwise(1.0)
     rows = attributed.filter("start_ns < end_ns").select("phase_path", group_of(grouping).alias("group"), "start_ns", "end_ns", used.alias("f"))
-    parts = sliced(rows, ["phase_path"], "start_ns", "end_ns").groupBy("phase_path", "__s", "__e", "group").agg(F.max("f").alias("f"))
+    parts = tiled(rows, ["phase_path"], {"f": (F.col("f"), F.max)}, "start_ns", "end_ns", within=["group"])
     stretch = Window.partitionBy("phase_path", "__s", "__e")
     ranked = parts.withColumns(
         {
