@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ieee_div
-from ..operators.intervals import active_count, coalesce_intervals, merged_steps, step_sums, temporal_join
+from ..operators.intervals import active_count, coalesce_intervals, merged_steps, running_count, step_sums, temporal_join
 from ..schema import DURATION, END, START
 from ..storage import written
 from .nnls import nnls_of_sums
@@ -119,13 +119,21 @@ def fitted_rules(metrics: DataFrame, pairs: DataFrame, overrides: DataFrame | No
     return rules
 
 
+def bounded(rules: DataFrame, phases: DataFrame) -> DataFrame:
+    """Rules with the bounds of their phases."""
+    if {"start_ns", "end_ns"} <= set(rules.columns):
+        return rules
+    return rules.join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path")
+
+
 def demand(metrics: DataFrame, rules: DataFrame, phases: DataFrame, kind: str) -> DataFrame:
     """(metric_path, start_ns, end_ns, demand): the sum of the demands of the leaf phases active, over each metric's span.
 
-    Sums are exact (see ``step_sums``), not floating-point numbers carried along.
+    Sums are exact (see ``step_sums``), not floating-point numbers carried along. Rules that have their phases' bounds as
+    columns start_ns and end_ns are not joined with the phases.
     """
     span = metrics.groupBy("metric_path").agg(F.min("start_ns").alias("low"), F.max("end_ns").alias("high"))
-    own = rules.filter(F.col("kind") == kind).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").select("metric_path", "start_ns", "end_ns", "demand")
+    own = bounded(rules.filter(F.col("kind") == kind), phases).select("metric_path", "start_ns", "end_ns", "demand")
     own = own.join(span, "metric_path").select("metric_path", F.greatest("start_ns", "low").alias("start_ns"), F.least("end_ns", "high").alias("end_ns"), "demand").filter("start_ns < end_ns")
     base = span.filter("low < high").select("metric_path", F.col("low").alias("start_ns"), F.col("high").alias("end_ns"), F.lit(0.0).alias("demand"))
     steps = step_sums(written(base.unionByName(own), "demands"), ["demand"], ["metric_path"], "start_ns", "end_ns", eager=True)
@@ -176,13 +184,13 @@ def upsample(metrics: DataFrame, exact: DataFrame, variable: DataFrame, merge: b
     return coalesce_intervals(out, ["metric_path", "max_value"], ["value"], "start_ns", "end_ns") if merge else out
 
 
-def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact: DataFrame, variable: DataFrame) -> DataFrame:
-    """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of leaf phases, within their metric's span.
+def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact: DataFrame, variable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metric_path, phase_path, rule, start_ns, end_ns) of leaf phases, and (metric_path, rule, start_ns, end_ns, usage,
+    capacity), what a phase takes by its rule, within the metric's span.
 
     An exact demand d of a total D takes min(usage * d / D, d); a variable one takes (usage - D exact) * d / D
     variable; a demand of 0 takes nothing and could have everything. What a phase takes follows from its rule alone, so
     it is worked out and merged once for all phases with equal rules, over the times at which one of them is active.
-    The phases then meet these steps, and need no further merging: neighbouring steps differ.
     """
     series = [
         (upsampled.select("metric_path", "start_ns", "end_ns", F.col("value").alias("u"), F.col("max_value").alias("cap")), ["u", "cap"]),
@@ -190,7 +198,7 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
         (variable.select("metric_path", "start_ns", "end_ns", F.col("demand").alias("v")), ["v"]),
     ]
     level = written(merged_steps(series, ["metric_path"], "start_ns", "end_ns", eager=True).filter("u is not null"), "levels")
-    spans = rules.filter(F.col("kind") != NONE).join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path").filter("start_ns < end_ns")
+    spans = bounded(rules.filter(F.col("kind") != NONE), phases).filter("start_ns < end_ns")
     rule = F.concat_ws(" ", "kind", F.col("d").cast("string"))
     spans = written(spans.select("metric_path", "phase_path", "kind", F.col("demand").cast("double").alias("d"), "start_ns", "end_ns").withColumn("rule", rule), "spans")
     alike = ["metric_path", "rule", "kind", "d"]
@@ -204,30 +212,57 @@ def attribute_leaves(rules: DataFrame, phases: DataFrame, upsampled: DataFrame,
 
     steps = met.select("metric_path", "rule", "start_ns", "end_ns", part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
     steps = written(coalesce_intervals(steps, ["metric_path", "rule"], ["usage", "capacity"], "start_ns", "end_ns"), "steps")
-    taken = overlaps(spans.drop("kind", "d"), steps, ["metric_path", "rule"])
+    return spans.drop("kind", "d"), steps
+
+
+def attribute_leaves(spans: DataFrame, steps: DataFrame) -> DataFrame:
+    """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of the phases of ``rule_steps``.
+
+    The phases meet the steps of their rules, and need no further merging: neighbouring steps differ.
+    """
+    taken = overlaps(spans, steps, ["metric_path", "rule"])
     return taken.select("metric_path", "phase_path", "start_ns", "end_ns", "usage", "capacity")
 
 
-def ancestors_of(phases: DataFrame) -> DataFrame:
-    """(phase_path, above): every phase with each phase above it, from the components of its path."""
+def above(path: str) -> Column:
+    """The paths above a path, from its components."""
     # Slashes inside brackets do not separate components.
-    parts = F.regexp_extract_all("path", F.lit(r"/(?:[^/\[]|\[[^\]]*\])+"), F.lit(0))
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "")))
-    return phases.filter("path <> '/'").select(F.col("path").alias("phase_path"), F.explode(above).alias("above"))
+    parts = F.regexp_extract_all(path, F.lit(r"/(?:[^/\[]|\[[^\]]*\])+"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "")))
+
+
+def ancestors_of(phases: DataFrame) -> DataFrame:
+    """(phase_path, above): every phase with each phase above it."""
+    return phases.filter("path <> '/'").select(F.col("path").alias("phase_path"), F.explode(above("path")).alias("above"))
 
 
-def attribute_composites(leaves: DataFrame, phases: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+def attribute_composites(spans: DataFrame, steps: DataFrame, phases: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Sums over the leaves below each composite phase; 0 where none is active, over the phase's whole span.
 
-    ``chosen`` (path) restricts the composite phases.
+    ``spans`` and ``steps`` are those of ``rule_steps``; ``chosen`` (path) restricts the composite phases. The leaves of one
+    rule take the same at a time, so what a composite gets by a rule is a step times the number of its leaves that are
+    active, and no leaf meets the steps. A leaf that reaches beyond the composite counts with those of its steps that
+    touch the composite, unclipped; only such leaves are laid out.
     """
     span = phases.filter("not is_leaf").select(F.col("path").alias("above"), F.col("start_ns").alias("low"), F.col("end_ns").alias("high"))
     if chosen is not None:
         span = span.join(chosen.withColumnRenamed("path", "above"), "above", "left_semi")
-    raised = leaves.join(ancestors_of(phases), "phase_path").join(span, "above").filter((F.col("start_ns") < F.col("high")) & (F.col("end_ns") > F.col("low")))
-    used = raised.select("metric_path", F.col("above").alias("phase_path"), "start_ns", "end_ns", "usage", "capacity")
-    base = raised.select("metric_path", F.col("above").alias("phase_path"), F.col("low").alias("start_ns"), F.col("high").alias("end_ns")).distinct().filter("start_ns < end_ns")
-    rows = written(used.unionByName(base.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)})), "raised")
+    group, bounds = ["metric_path", "rule"], ["start_ns", "end_ns"]
+    raised = spans.filter("phase_path <> '/'").select(*group, *bounds, F.explode(above("phase_path")).alias("above"))
+    raised = raised.groupBy(*group, *bounds, "above").agg(F.count(F.lit(1)).alias("n"))
+    raised = written(raised.join(span, "above"), "below")
+    inside = F.col("start_ns").between(F.col("low"), F.col("high")) & F.col("end_ns").between(F.col("low"), F.col("high"))
+    active = written(running_count(raised.filter(inside), [*group, "above"], "n", *bounds).filter("n > 0"), "active")
+    met = overlaps(active, steps, group).select("metric_path", "above", "n", *bounds, "usage", "capacity")
+    outer = overlaps(raised.filter(~inside), steps, group).filter((F.col("start_ns") < F.col("high")) & (F.col("end_ns") > F.col("low")))
+    met = met.unionByName(outer.select(*met.columns))
+    # A step of capacity 0 without usage counts as well, if only for the bounds.
+    times = lambda c: (F.col("n") * F.col(c)).alias(c)
+    used = met.select("metric_path", F.col("above").alias("phase_path"), *bounds, times("usage"), times("capacity"))
+    used = written(used, "raised")
+    some = used.select("metric_path", F.col("phase_path").alias("above")).distinct()
+    base = some.join(span, "above").select("metric_path", F.col("above").alias("phase_path"), F.col("low").alias("start_ns"), F.col("high").alias("end_ns")).filter("start_ns < end_ns")
+    rows = written(used.unionByName(base.withColumns({"usage": F.lit(0.0), "capacity": F.lit(0.0)})), "summed")
     keys = ["metric_path", "phase_path"]
     return coalesce_intervals(step_sums(rows, ["usage", "capacity"], keys, "start_ns", "end_ns", eager=True), keys, ["usage", "capacity"], "start_ns", "end_ns")
 
@@ -282,10 +317,10 @@ class Attribution:
             below = ancestors_of(self.phases).join(chosen.withColumnRenamed("path", "above"), "above", "left_semi").select("phase_path")
             needed = chosen.select(F.col("path").alias("phase_path")).unionByName(below).distinct()
             rules = rules.join(needed, "phase_path", "left_semi")
-        leaves = written(attribute_leaves(rules, self.phases, written(self.upsampled(), "upsampled"), exact, variable), "leaves")
-        composites = attribute_composites(leaves, self.phases, chosen)
-        own = leaves if chosen is None else leaves.join(chosen.withColumnRenamed("path", "phase_path"), "phase_path", "left_semi").select(leaves.columns)
-        return own.unionByName(composites)
+        spans, steps = rule_steps(rules, self.phases, written(self.upsampled(), "upsampled"), exact, variable)
+        composites = attribute_composites(spans, steps, self.phases, chosen)
+        own = spans if chosen is None else spans.join(chosen.withColumnRenamed("path", "phase_path"), "phase_path", "left_semi").select(spans.columns)
+        return attribute_leaves(own, steps).unionByName(composites)
 
     def only(self, metrics: Column | None = None, phases: Column | None = None) -> Attribution:
         """Restricted to some metrics before anything is computed (rules are fitted per metric, so they stay the same),

@@ -244,6 +244,12 @@ def active_count(df: DataFrame, keys: Sequence[str] = (), start: str = START, en
     return swept.select(*_cols(keys), F.col("__t").alias(START), F.col("__e").alias(END), F.col("active").cast("double").alias("active"))
 
 
+def running_count(df: DataFrame, keys: Sequence[str], count: str, start: str = START, end: str = END) -> DataFrame:
+    """(keys, start, end, <count>): the sum of a column of whole numbers over the rows active between changes."""
+    swept = _swept(df, keys, {"__n": F.col(q(count)).cast("long")}, start, end).filter("__e is not null")
+    return swept.select(*_cols(keys), F.col("__t").alias(start), F.col("__e").alias(end), F.col("__n").alias(count))
+
+
 def step_sums(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), start: str = START, end: str = END, eager: bool = False) -> DataFrame:
     """(keys, start, end, values): the sums of step functions over the union of their change points.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoplane import workloads
+from chronoplane.analysis import attribution as att
 from chronoplane.operators import intervals as iv
 from tests.oracle import TABLES, compare
 
@@ -58,3 +59,26 @@ def test_long_rows_are_not_repeated(spark, dense):
         out = workloads.queries()[name](spark, dense)
         assert "__first, __last" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "sequence(__first" not in plan
         compare(out, dense, ORACLES[name])
+
+
+def test_composites_do_not_lay_out_leaves(spark, monkeypatch):
+    """Leaves that all span each other's changes: sums as by brute force, and no table of all leaves times changes is written."""
+    n, most = 60, 1_000
+    metrics = spark.createDataFrame([("m", "m", None, 0, most, 30.0, 50.0)], "metric_path string, metric_type string, machine string, start_ns long, end_ns long, value double, max_value double")
+    leaves = [(f"/p/l[{i}]", i * 3, most - i * 5) for i in range(n)]
+    phases = [("/", None, "/", 0, most, False, None), ("/p", "/", "/p", 40, 900, False, None)] + [(p, "/p", "/p/l", s, e, True, None) for p, s, e in leaves]
+    phases = spark.createDataFrame(phases, "path string, parent string, type string, start_ns long, end_ns long, is_leaf boolean, machine string")
+    rules = spark.createDataFrame([("m", p, att.EXACT, 1.0 + k % 2) for k, (p, _, _) in enumerate(leaves)], att.RULES)
+    sizes, plain = [], att.written
+    monkeypatch.setattr(att, "written", lambda df, tag: (out := plain(df, tag), sizes.append(out.count()))[0])
+    out = att.Attribution(metrics, phases, rules=rules).attributed().collect()
+    own = [r for r in out if r.phase_path not in ("/", "/p")]
+    assert len(own) > n * 50 and max(sizes) < len(own) * 2 // 3
+    for path, low, high in (("/", 0, most), ("/p", 40, 900)):
+        sums = {t: r for r in out if r.phase_path == path for t in range(r.start_ns, r.end_ns)}
+        for t in range(0, most, 7):
+            at = [r for r in own if r.start_ns <= t < r.end_ns and r.start_ns < high and r.end_ns > low]
+            if at or low <= t < high:
+                assert (sums[t].usage, sums[t].capacity) == pytest.approx((sum(r.usage for r in at), sum(r.capacity for r in at)))
+            else:
+                assert t not in sums or sums[t].usage == 0
