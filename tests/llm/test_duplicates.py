@@ -217,3 +217,37 @@ def test_cells_lose_no_link_of_spread_vectors(spark):
     got = {r.vec_id: r.n_links for r in vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), per_cell=8).collect()}
     true = {r[0]: r[1] for r in brute_vectors(rows)}
     assert sum(true.values()) > 500 and got == true
+
+
+def test_vectors_are_written_once_however_near_the_cells(spark, monkeypatch):
+    """Spread vectors lie near the borders of most cells: no table has a row for each cell that a vector may reach."""
+    random_rows = np.random.default_rng(5).normal(size=(600, 24))
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate([*random_rows, *(random_rows[:60] * 1.5 + 0.01)])]
+    sizes, plain = [], vector_dup.materialize
+    monkeypatch.setattr(vector_dup, "materialize", lambda df, tag, *more: (out := plain(df, tag, *more), sizes.append(out.count()))[0])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in vector_dup.near_vectors(table, per_cell=16, block=100).collect()} == brute_vectors(rows)
+    assert max(sizes) <= len(rows)
+
+
+def test_pruned_cells_and_dense_tiles_keep_all_links():
+    rnd = np.random.default_rng(4)
+    centers = rnd.normal(size=(6, 16))
+    x = np.concatenate([c + rnd.normal(scale=s, size=(60, 16)) for c, s in zip(centers, (0.02, 0.2, 0.3, 0.5, 0.5, 1.0), strict=True)])
+    cells = vector_dup.spherical_k_means(vector_dup.units(x), 8)
+    home, ids, copies = (vector_dup.units(x) @ cells.T).argmax(axis=1), rnd.permutation(len(x)), rnd.integers(1, 4, len(x))
+    u = vector_dup.units(x)
+    link = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    want = {int(ids[k]): int((copies * link[k]).sum()) for k in range(len(x)) if link[k].any()}
+    low = components(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(link)])
+    whole = vector_dup.Block(x, ids, copies, home)
+    halves = [vector_dup.Block(x[k::2], ids[k::2], copies[k::2], home[k::2]) for k in range(2)]
+    for prune in (1, 10_000):
+        parts = [[vector_dup.compare(whole, whole, cells, 0.93, prune)], [vector_dup.compare(a, b, cells, 0.93, prune) for a, b in [(halves[0],) * 2, (halves[1],) * 2, halves]]]
+        for tables in parts:
+            got, edges = {}, []
+            for t in tables:
+                edges += list(zip(t["id"].tolist(), t["root"].tolist(), strict=True))
+                for i, n in zip(t["id"].tolist(), t["links"].tolist(), strict=True):
+                    got[i] = got.get(i, 0) + n
+            assert got == want and components(ids.tolist(), edges) == low
