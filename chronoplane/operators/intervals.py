@@ -7,6 +7,7 @@ predicates, so Spark can shuffle, sort, spill and split them.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,123 @@ def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
     return a.join(b, same).select(s.alias(START), e.alias(END), (e - s).alias(DURATION), *_cols(names[0] + names[1]))
 
 
+RADIX, LEVELS = 8, 11  # of the tree over change points in ``overlap_sums``
+
+
+def _split(value: Column, unit: Column) -> tuple[Column, Column]:
+    """A number below ``unit`` as two whole numbers: 30 bits, and the 30 bits below."""
+    scaled = value / unit * F.lit(2.0**30)
+    high = F.floor(scaled)
+    return high.cast("long"), F.floor((scaled - high) * F.lit(2.0**30)).cast("long")
+
+
+def _unit(value: Column) -> Column:
+    """The power of two above the finite values of a column."""
+    size = F.abs(value.cast("double"))
+    top = F.coalesce(F.nullif(F.max(F.when(size < float("inf"), size)), F.lit(0.0)), F.lit(1.0))
+    return F.pow(F.lit(2.0), F.floor(F.log2(top)) + 1)
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], sums: dict[str, tuple[Column | None, Column | None, float]]) -> DataFrame:
+    """(left_keys, right_keys, __n, sums) over the pairs of ``temporal_join`` without equal columns, without making them.
+
+    A sum (f, g, c) is that of f + g + c * (the length of the intersection) over the pairs in which f, of the left row,
+    and g, of the right row, are not null; null where there is none. Two rows overlap where the one is active when the
+    other starts. So with +f at a row's start and -f at its end, what counts is the sum of products over all pairs of a
+    change point and a later start; lengths likewise. Change points are numbered and are the leaves of a tree: a point
+    and a later one are below two children of one node, and there sums by key meet, not rows. What opened and closed
+    below a child has gone from its sum, and keys without any are left out, so many keys are not all paired. All sums are
+    of whole numbers, with 60 bits below the largest value. Rows that end before they start are in no pair.
+    """
+    sides = []
+    both = left.select(START, END).unionAll(right.select(START, END)).filter(F.col(START) <= F.col(END))
+    # One row with the units of all sums, which rows and results are joined with.
+    units = both.agg(_unit(F.greatest(F.abs(F.col(START).cast("double")), F.abs(F.col(END).cast("double")))).alias("u_t"))
+    for k, df in enumerate((left, right)):
+        values = [_unit(v[k]).alias(f"u_{k}{i}") for i, v in enumerate(sums.values()) if v[k] is not None]
+        units = units.crossJoin(df.agg(*values)) if values else units
+    units = F.broadcast(units)
+    whole = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    for k, (df, keys) in enumerate(((left, left_keys), (right, right_keys))):
+        weights = {"one": F.lit(1).cast("long")}
+        for i, value in enumerate(sums.values()):
+            if value[k] is not None:
+                v = value[k].cast("double")
+                plain = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+                high, low = _split(F.when(plain, v).otherwise(F.lit(0.0)), F.col(f"u_{k}{i}"))
+                flags = {"some": whole(v.isNotNull()), "nan": whole(F.isnan(v)), "up": whole(v == float("inf")), "down": whole(v == -float("inf"))}
+                weights |= {f"{n}{i}": c for n, c in (flags | {"high": high, "low": low}).items()}
+        rows = df.filter(F.col(START) <= F.col(END)).crossJoin(units)
+        rows = rows.select("u_t", F.struct(*_cols(keys)).alias("k") if keys else F.lit(0).alias("k"), F.col(START).alias("a"), F.col(END).alias("z"), *(c.alias(n) for n, c in weights.items()))
+        none = F.lit(0).cast("long")
+        held = F.col("a") == F.col("z")  # starts ``s`` and ends ``e`` of rows with a length, ``o`` of those without
+        marks = [[F.when(held, none).otherwise(F.col(n)).alias(f"s_{n}") for n in weights] + [none.alias(f"e_{n}") for n in weights] + [F.when(held, F.col(n)).otherwise(none).alias(f"o_{n}") for n in weights],
+                 [none.alias(f"s_{n}") for n in weights] + [F.when(held, none).otherwise(F.col(n)).alias(f"e_{n}") for n in weights] + [none.alias(f"o_{n}") for n in weights]]
+        names = [f"{m}_{n}" for m in "seo" for n in weights]
+        points = rows.select("u_t", "k", F.explode(F.array(F.struct(F.col("a").alias("t"), *marks[0]), F.struct(F.col("z").alias("t"), *marks[1]))).alias("p")).select("u_t", "k", "p.*")
+        points = points.groupBy("k", "t").agg(F.first("u_t").alias("u_t"), *(F.sum(n).alias(n) for n in names))
+        lengths = [n for n in weights if n == "one" or n.startswith("some")]
+        for n in lengths:  # for lengths: the signed times
+            for m, part in zip("hl", _split(F.col("t").cast("double"), F.col("u_t"))):
+                points = points.withColumn(f"{m}_{n}", (F.col(f"s_{n}") - F.col(f"e_{n}")) * part)
+        sides.append((points, [*names, *(f"{m}_{n}" for m in "hl" for n in lengths)], list(weights)))
+    numbers = change_points(both).select(F.col("__t").alias("t"), (F.col("__i") - 1).alias("i"))
+    nodes = []
+    for k, (points, names, weights) in enumerate(sides):
+        tag = "lr"[k]
+        leaves = points.join(numbers, "t").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        # Level 0 holds the points themselves; above it, a child of a node.
+        size = F.pow(F.lit(float(RADIX)), F.greatest(F.col("level") - 1, F.lit(0))).cast("long")
+        child = F.floor(F.col("i") / size)
+        leaves = leaves.select("k", "level", F.when(F.col("level") == 0, F.col("i")).otherwise(F.floor(child / RADIX)).alias("node"), F.when(F.col("level") == 0, F.lit(0)).otherwise(F.pmod(child, F.lit(RADIX))).alias("child"), *names)
+        # Sums have their last names at once: Spark infers conditions for each way to name what a filter reads.
+        keyed = leaves.withColumnsRenamed({"k": f"{tag}_k", "child": f"{tag}_child"})
+        added = keyed.groupBy("level", "node", f"{tag}_child", f"{tag}_k").agg(*(F.sum(n).alias(f"{tag}_{n}") for n in names))
+        nets = [F.col(f"{tag}_s_{n}") - F.col(f"{tag}_e_{n}") for n in weights]
+        nodes.append(added.withColumn(f"{tag}_open", F.exists(F.array(*nets), lambda x: x != 0)))
+    a, b = nodes
+    at, less = ["level", "node"], F.col("l_child") < F.col("r_child")
+    equal = F.col("level") == 0
+    first = a.filter("l_open or level = 0").join(b, at).filter(equal | less | (F.col("l_child") > F.col("r_child")) & F.col("r_open"))
+    second = a.filter("not l_open and level > 0").join(b.filter("r_open and level > 0"), at).filter("l_child <> r_child")
+    met = first.unionByName(second)
+    exact = lambda c: c.cast("decimal(19,0)")
+
+    def product(x: str, y: str) -> Column:
+        of = lambda tag, m, n: F.col(f"{tag}_{m}_{n}")
+        xs, xe, xo, ys, ye, yo = (of(t, m, n) for t, n in (("l", x), ("r", y)) for m in "seo")
+        here = exact(xs - xe) * exact(ys) - exact(xe) * exact(yo) - exact(ye) * exact(xs + xo)
+        return F.sum(F.when(equal, here).when(less, exact(xs - xe) * exact(ys + yo)).otherwise(exact(ys - ye) * exact(xs + xo)))
+
+    def length(x: str, y: str, m: str) -> Column:
+        net = lambda tag, n: exact(F.col(f"{tag}_s_{n}") - F.col(f"{tag}_e_{n}"))
+        later = exact(F.col(f"l_{m}_{x}")) * net("r", y) - net("l", x) * exact(F.col(f"r_{m}_{y}"))
+        return F.sum(F.when(~equal & less, later).otherwise(F.lit(0).cast("decimal(38,0)")))
+
+    made, out = {"n": product("one", "one")}, {}
+    for i, (name, (f, g, c)) in enumerate(sums.items()):
+        x, y = "one" if f is None else f"some{i}", "one" if g is None else f"some{i}"
+        made[f"some{i}"] = product(x, y)
+        terms, flags = [], {m: [] for m in ("nan", "up", "down")}
+        for k, there in ((0, f), (1, g)):
+            if there is not None:
+                pair = (lambda m, k=k: (f"{m}{i}", y) if k == 0 else (x, f"{m}{i}"))  # noqa: B023
+                made |= {f"{m}{i}_{k}": product(*pair(m)) for m in ("high", "low", *flags)}
+                terms.append((f"high{i}_{k}", f"low{i}_{k}", F.col(f"u_{k}{i}")))
+                for m in flags:
+                    flags[m].append(F.col(f"{m}{i}_{k}"))
+        if c:
+            made |= {f"{m}{i}_t": length(x, y, m) for m in "hl"}
+            terms.append((f"h{i}_t", f"l{i}_t", F.col("u_t") * F.lit(float(c))))
+        total = reduce(lambda p, q: p + q, [(F.col(h).cast("double") + F.col(low).cast("double") * F.lit(2.0**-30)) * F.lit(2.0**-30) * unit for h, low, unit in terms], F.lit(0.0))
+        nan, up, down = (reduce(lambda p, q: p | q, [v > 0 for v in flags[m]], F.lit(False)) for m in ("nan", "up", "down"))
+        total = F.when(nan | up & down, F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(-float("inf"))).otherwise(total)
+        out[name] = F.when(F.col(f"some{i}") > 0, total)
+    found = met.groupBy("l_k", "r_k").agg(*(v.alias(n) for n, v in made.items())).filter("n > 0").crossJoin(units)
+    keys = [F.col(f"{t}_k.{q(c)}").alias(c) for t, names in (("l", left_keys), ("r", right_keys)) for c in names]
+    return found.select(*keys, F.col("n").cast("long").alias("__n"), *(v.alias(n) for n, v in out.items()))
+
+
 def change_points(df: DataFrame, keys: Sequence[str] = (), start: str = START, end: str = END, width: Column | None = None) -> DataFrame:
     """(keys, __t, __i, __next): the distinct change points of each key, numbered in order, and the one that follows.
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import coalesce_intervals, sliced, temporal_counts, temporal_join, tiled
+from ..operators.intervals import coalesce_intervals, overlap_sums, sliced, temporal_counts, temporal_join, tiled
 from ..schema import BOOLEAN, DURATION, END, NUMERIC, RESERVED, START, PlanError, kind_of, q, require_distinct
 from .expressions import Compiler, conjuncts, has_aggregate, names_in
-from .language import Binary, Call, Name, Select, Star, Unary, show
+from .language import Binary, Call, Literal, Name, Select, Star, Unary, show
 
 
 @dataclass
@@ -54,6 +54,39 @@ def unprefixed(e: object, alias: str) -> object:
     return Binary(e.op, unprefixed(e.left, alias), unprefixed(e.right, alias)) if isinstance(e, Binary) else e
 
 
+def linear(e: object, typing: Compiler, own: list[set[str]]) -> tuple[Column | None, Column | None, float, float, float] | None:
+    """f, g, a, b, c of an expression that is f + g + a * _start_time + b * _end_time + c, with f and g of columns of one side
+    each; None if it is not of this form."""
+    names = names_in(e)
+    if names:
+        for k, side in enumerate(own):
+            if names <= side:
+                c = typing.typed(e, NUMERIC, False)
+                return (c, None, 0.0, 0.0, 0.0) if k == 0 else (None, c, 0.0, 0.0, 0.0)
+    if isinstance(e, Literal):
+        return (None, None, 0.0, 0.0, float(e.value)) if isinstance(e.value, (int, float)) and not isinstance(e.value, bool) else None
+    if isinstance(e, Name):
+        return {START: (None, None, 1.0, 0.0, 0.0), END: (None, None, 0.0, 1.0, 0.0), DURATION: (None, None, -1.0, 1.0, 0.0)}.get(e.path)
+    if isinstance(e, Unary) and e.op == "-":
+        found = linear(e.arg, typing, own)
+        return None if found is None else (*(None if c is None else -c for c in found[:2]), *(-x for x in found[2:]))
+    if not isinstance(e, Binary) or e.op not in ("+", "-", "*", "/"):
+        return None
+    x, y = linear(e.left, typing, own), linear(e.right, typing, own)
+    if x is None or y is None:
+        return None
+    if e.op in ("+", "-"):
+        sign = 1.0 if e.op == "+" else -1.0
+        both = [p if r is None else (r if sign > 0 else -r) if p is None else p + r if sign > 0 else p - r for p, r in zip(x[:2], y[:2], strict=True)]
+        return (*both, *(p + sign * r for p, r in zip(x[2:], y[2:], strict=True)))
+    if e.op == "*" and not names_in(e.left):
+        x, y = y, x
+    if y[:4] != (None, None, 0.0, 0.0) or names_in(e.left) and names_in(e.right) or e.op == "/" and y[4] == 0:
+        return None
+    by = y[4]
+    return (*(None if c is None else c * F.lit(by) if e.op == "*" else c / F.lit(by) for c in x[:2]), *(p * by if e.op == "*" else p / by for p in x[2:]))
+
+
 @dataclass
 class Planner:
     """lookup: gives the relation of a table name, and may use the conditions given with it to compute less of it."""
@@ -64,9 +97,13 @@ class Planner:
     def plan(self, s: Select) -> Relation:
         inputs = [self.source(x.table, x.alias, len(s.sources) > 1, s) for x in s.sources]
         parts = conjuncts(s.where) if s.where is not None else []
+        summed = self.summed_overlaps(s, *inputs, parts) if len(inputs) == 2 else None
         rel = inputs[0]
-        for right in inputs[1:]:
+        for right in inputs[1:] if summed is None else []:
             rel = self.note(self.join(rel, right, parts))
+        if summed is not None:
+            rel = self.note(summed)
+            return self.finished(s, rel)
         if s.where is not None:
             c, kind = Compiler(rel.kinds)(s.where)
             if kind != BOOLEAN:
@@ -77,6 +114,9 @@ class Planner:
             rel = self.note(self.aggregate(rel, s, terms))
         else:
             rel = self.note(self.project(rel, terms))
+        return self.finished(s, rel)
+
+    def finished(self, s: Select, rel: Relation) -> Relation:
         if s.order_by:
             rel = self.note(self.sort(rel, s.order_by))
         if s.limit is not None:
@@ -135,6 +175,46 @@ class Planner:
         tree = [f"TemporalJoin ({len(on)} equal columns)", *("  " + x for x in left.tree + right.tree)]
         return Relation(df, {**dict.fromkeys(RESERVED, NUMERIC), **rest}, left.keys | right.keys, hidden, tree)
 
+    def summed_overlaps(self, s: Select, left: Relation, right: Relation, parts: list[object]) -> Relation | None:
+        """A temporal join without conditions on both sides of which only counts and sums are wanted: of columns of one
+        side each and of the length of the intersection. No pair of rows is made. None for any other statement."""
+        own = [set(side.kinds) - set(RESERVED) for side in (left, right)]
+        if any(START not in side.kinds or END not in side.kinds for side in (left, right)) or not set(s.group_by) <= own[0] | own[1]:
+            return None
+        kinds = {**dict.fromkeys(RESERVED, NUMERIC), **{c: k for side in (left, right) for c, k in side.kinds.items() if c not in RESERVED}}
+        if any(not names_in(e) or not any(names_in(e) <= side for side in own) for e in parts):
+            return None
+        terms, sums, typing = self.named_terms(s, Relation(None, kinds)), {}, Compiler(kinds)
+        for n, e in terms:
+            if isinstance(e, Call) and e.function == "SUM" and len(e.args) == 1:
+                found = linear(e.args[0], typing, own)
+                if found is None or found[2] != -found[3]:
+                    return None
+                f, g, _, c, constant = found
+                f = F.lit(constant) if f is None and constant else f if not constant else f + F.lit(constant)
+                sums[n] = (f, g, c)
+            elif not (isinstance(e, Name) and e.path in s.group_by or isinstance(e, Call) and e.function == "COUNT" and len(e.args) == 1):
+                return None
+        if not any(isinstance(e, Call) for _, e in terms):
+            return None
+        for _, e in terms:
+            Compiler(kinds, F.lit(0), set(s.group_by), F.col)(e)
+        frames = []
+        for side, names in zip((left, right), own, strict=True):
+            df = side.df
+            for e in parts:
+                if names_in(e) <= names:
+                    df = df.filter(typing.typed(e, BOOLEAN, False))
+            frames.append(df)
+        groups = [[c for c in dict.fromkeys(s.group_by) if c in names] for names in own]
+        out = overlap_sums(*frames, *groups, {f"__sum{i}": v for i, v in enumerate(sums.values())})
+        made = {n: f"__sum{i}" for i, n in enumerate(sums)}
+        columns = [(F.col(made[n]) if n in made else F.col(q(e.path)) if isinstance(e, Name) else F.col("__n").cast("double")).alias(n) for n, e in terms]
+        series = F.struct(*(F.col(q(c)) for c in dict.fromkeys(s.group_by))) if s.group_by else F.lit(0)
+        tree = ["SummedOverlaps by [" + ", ".join(s.group_by) + "] " + ", ".join(f"{show(e)} AS {n}" for n, e in terms), *("  " + x for x in left.tree + right.tree)]
+        given = {n: kinds[e.path] if isinstance(e, Name) else NUMERIC for n, e in terms}
+        return Relation(out.select(*columns, series.alias("__s0")), given, {n for n, e in terms if isinstance(e, Name)}, ["__s0"], tree)
+
     def named_terms(self, s: Select, rel: Relation) -> list[tuple[str, object]]:
         out: list[tuple[str, object]] = []
         for t in s.terms:

@@ -82,3 +82,31 @@ def test_composites_do_not_lay_out_leaves(spark, monkeypatch):
                 assert (sums[t].usage, sums[t].capacity) == pytest.approx((sum(r.usage for r in at), sum(r.capacity for r in at)))
             else:
                 assert t not in sums or sums[t].usage == 0
+
+
+def test_sums_over_overlaps_make_no_pairs(spark):
+    """Counts and sums over all pairs that overlap, with ties, rows without length, nulls and infinite values, against brute force."""
+    from chronoplane.plans.session import Session
+
+    rnd = random.Random(3)
+    rows = [(float(s), float(s + rnd.choice([0, 0, 1, 3, 40])), rnd.choice("xyz"), rnd.choice([None, 1.5, -2.25, 1e6])) for s in (rnd.randrange(60) for _ in range(90))]
+    rows += [(5.0, 9.0, "inf", float("inf")), (7.0, 30.0, None, 2.0), (8.0, 8.0, "nan", float("nan"))]
+    df = spark.createDataFrame([(s, e, e - s, k, v) for s, e, k, v in rows], "_start_time double, _end_time double, _duration double, k string, v double")
+    s = Session(spark)
+    s.register("t", df, ("k",))
+    text = 'FROM t AS a TEMPORAL JOIN t AS b WHERE a.k !~ "none" GROUP BY a.k, b.k SELECT a.k AS p, b.k AS q, COUNT(a.v) AS n, SUM(2 * (a.v - b.v) + 1) AS d, SUM((_end_time - _start_time) / 4 + b.v) AS l;'
+    out = s.sql(text)
+    assert "l_child" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, f, p, x in rows:
+        for j, g, r, y in rows:
+            if p is not None and i < g and j < f:
+                n, d, length = want.get((p, r), (0, [], []))
+                both = [] if x is None or y is None else [2 * (x - y) + 1]
+                want[p, r] = n + 1, d + both, length + ([] if y is None else [(min(f, g) - max(i, j)) / 4 + y])
+    got = {(r.p, r.q): (r.n, r.d, r.l) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for key, (n, d, length) in want.items():
+        assert got[key][0] == n
+        for mine, theirs in zip(got[key][1:], (d, length)):
+            assert mine is None if not theirs else mine == pytest.approx(sum(theirs), rel=1e-9, abs=1e-6, nan_ok=True), (key, mine, theirs)
