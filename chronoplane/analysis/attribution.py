@@ -119,9 +119,13 @@ def fitted_rules(metrics: DataFrame, pairs: DataFrame, overrides: DataFrame | No
     return rules
 
 
+def has_bounds(rules: DataFrame) -> bool:
+    return {"start_ns", "end_ns"} <= set(rules.columns)
+
+
 def bounded(rules: DataFrame, phases: DataFrame) -> DataFrame:
     """Rules with the bounds of their phases."""
-    if {"start_ns", "end_ns"} <= set(rules.columns):
+    if has_bounds(rules):
         return rules
     return rules.join(phases.select(F.col("path").alias("phase_path"), "start_ns", "end_ns"), "phase_path")
 
@@ -130,13 +134,14 @@ def demand(metrics: DataFrame, rules: DataFrame, phases: DataFrame, kind: str) -
     """(metric_path, start_ns, end_ns, demand): the sum of the demands of the leaf phases active, over each metric's span.
 
     Sums are exact (see ``step_sums``), not floating-point numbers carried along. Rules that have their phases' bounds as
-    columns start_ns and end_ns are not joined with the phases.
+    columns start_ns and end_ns, a written table, are not joined with the phases, and nothing as long is written again.
     """
     span = metrics.groupBy("metric_path").agg(F.min("start_ns").alias("low"), F.max("end_ns").alias("high"))
     own = bounded(rules.filter(F.col("kind") == kind), phases).select("metric_path", "start_ns", "end_ns", "demand")
     own = own.join(span, "metric_path").select("metric_path", F.greatest("start_ns", "low").alias("start_ns"), F.least("end_ns", "high").alias("end_ns"), "demand").filter("start_ns < end_ns")
     base = span.filter("low < high").select("metric_path", F.col("low").alias("start_ns"), F.col("high").alias("end_ns"), F.lit(0.0).alias("demand"))
-    steps = step_sums(written(base.unionByName(own), "demands"), ["demand"], ["metric_path"], "start_ns", "end_ns", eager=True)
+    rows = base.unionByName(own)
+    steps = step_sums(rows if has_bounds(rules) else written(rows, "demands"), ["demand"], ["metric_path"], "start_ns", "end_ns", eager=True)
     return coalesce_intervals(steps, ["metric_path"], ["demand"], "start_ns", "end_ns")
 
 
@@ -184,6 +189,11 @@ def upsample(metrics: DataFrame, exact: DataFrame, variable: DataFrame, merge: b
     return coalesce_intervals(out, ["metric_path", "max_value"], ["value"], "start_ns", "end_ns") if merge else out
 
 
+def in_order(rows: DataFrame, *of: str) -> DataFrame:
+    """Rows by metric, the columns given, and time."""
+    return rows.sort("metric_path", *of, "start_ns", "end_ns")
+
+
 def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact: DataFrame, variable: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(metric_path, phase_path, rule, start_ns, end_ns) of leaf phases, and (metric_path, rule, start_ns, end_ns, usage,
     capacity), what a phase takes by its rule, within the metric's span.
@@ -191,6 +201,9 @@ def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact:
     An exact demand d of a total D takes min(usage * d / D, d); a variable one takes (usage - D exact) * d / D
     variable; a demand of 0 takes nothing and could have everything. What a phase takes follows from its rule alone, so
     it is worked out and merged once for all phases with equal rules, over the times at which one of them is active.
+    Phases and steps are written by rule and time: leaves then come with those beside them that have nearly the same
+    steps, in the same order, and a table of them is packed to a fraction of the size. Rules with bounds, a written
+    table, are to be in this order already (``in_order``); they are not written again.
     """
     series = [
         (upsampled.select("metric_path", "start_ns", "end_ns", F.col("value").alias("u"), F.col("max_value").alias("cap")), ["u", "cap"]),
@@ -200,7 +213,8 @@ def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact:
     level = written(merged_steps(series, ["metric_path"], "start_ns", "end_ns", eager=True).filter("u is not null"), "levels")
     spans = bounded(rules.filter(F.col("kind") != NONE), phases).filter("start_ns < end_ns")
     rule = F.concat_ws(" ", "kind", F.col("d").cast("string"))
-    spans = written(spans.select("metric_path", "phase_path", "kind", F.col("demand").cast("double").alias("d"), "start_ns", "end_ns").withColumn("rule", rule), "spans")
+    spans = spans.select("metric_path", "phase_path", "kind", F.col("demand").cast("double").alias("d"), "start_ns", "end_ns").withColumn("rule", rule)
+    spans = spans if has_bounds(rules) else written(in_order(spans, "rule"), "spans")
     alike = ["metric_path", "rule", "kind", "d"]
     active = active_count(spans, alike, "start_ns", "end_ns").filter("active > 0").withColumnsRenamed({START: "start_ns", END: "end_ns"})
     met = overlaps(written(active.drop("active"), "active"), level, ["metric_path"])
@@ -211,7 +225,7 @@ def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact:
         return F.when(F.col("d") == 0, when_zero).when(F.col("kind") == EXACT, as_exact).otherwise(as_variable)
 
     steps = met.select("metric_path", "rule", "start_ns", "end_ns", part_of(F.col("u"), F.lit(0.0)).alias("usage"), part_of(F.col("cap"), F.col("cap")).alias("capacity"))
-    steps = written(coalesce_intervals(steps, ["metric_path", "rule"], ["usage", "capacity"], "start_ns", "end_ns"), "steps")
+    steps = written(in_order(coalesce_intervals(steps, ["metric_path", "rule"], ["usage", "capacity"], "start_ns", "end_ns"), "rule"), "steps")
     return spans.drop("kind", "d"), steps
 
 

@@ -84,6 +84,20 @@ def test_composites_do_not_lay_out_leaves(spark, monkeypatch):
                 assert t not in sums or sums[t].usage == 0
 
 
+def test_leaves_come_by_time_and_phases_are_written_once(spark, dense, monkeypatch, tmp_path):
+    """Phases are in only one of the tables written, and a table of the result is packed much smaller than one of its rows in any order."""
+    tables, plain = [], att.written
+    for module in (att, workloads):
+        monkeypatch.setattr(module, "written", lambda df, tag: (out := plain(df, tag), tables.append((tag, out)))[0])
+    out = workloads.queries()["attribution_leaf"](spark, dense)
+    phases = workloads.attribution_inputs(spark, dense)[1].count()
+    assert [tag for tag, t in tables if "phase_path" in t.columns or tag == "demands"] == ["pairs"]
+    rows = plain(out, "rows")
+    sizes = [sum(f.stat().st_size for f in path.glob("*.parquet")) for path, df in ((tmp_path / "own", out), (tmp_path / "any", rows.orderBy(F.rand(1)))) if df.coalesce(1).write.parquet(str(path)) is None]
+    assert rows.count() > 10 * phases and sizes[0] < sizes[1] * 0.6, sizes
+    compare(out, dense, ORACLES["attribution_leaf"])
+
+
 def test_sums_over_overlaps_make_no_pairs(spark):
     """Counts and sums over all pairs that overlap, with ties, rows without length, nulls and infinite values, against brute force."""
     from chronoplane.plans.session import Session
