@@ -23,6 +23,7 @@ NONE, EXACT, VARIABLE = "none", "exact", "variable"
 OVERRIDES = "metric_path string, phase_path string, kind string, demand double"
 RULES = OVERRIDES
 PARTS = 64
+LEAVES = 8_192  # phases with equal rules, at about the same time, that are laid out together
 ALL_EXACT, ALL_VARIABLE = "\x01exact", "\x01variable"  # stand for the phases with rules of these kinds given
 
 
@@ -50,11 +51,12 @@ def candidate_pairs(metrics: DataFrame, phases: DataFrame, aliases: dict[str, st
     return same.unionByName(free_metrics).unionByName(free_phases)
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows of equal keys that overlap, with the stretch they share as start_ns and end_ns."""
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Pairs of rows of equal keys that overlap, with the stretch they share as start_ns and end_ns; ``most`` as for
+    ``temporal_join``."""
     a = left.withColumnsRenamed({"start_ns": START, "end_ns": END})
     b = right.withColumnsRenamed({"start_ns": START, "end_ns": END} | {k: f"__{k}" for k in keys})
-    met = temporal_join(a, b, [(F.col(k), F.col(f"__{k}")) for k in keys], eager=True)
+    met = temporal_join(a, b, [(F.col(k), F.col(f"__{k}")) for k in keys], eager=True, most=most)
     return met.drop(DURATION, *(f"__{k}" for k in keys)).withColumnsRenamed({START: "start_ns", END: "end_ns"})
 
 
@@ -232,9 +234,10 @@ def rule_steps(rules: DataFrame, phases: DataFrame, upsampled: DataFrame, exact:
 def attribute_leaves(spans: DataFrame, steps: DataFrame) -> DataFrame:
     """(metric_path, phase_path, start_ns, end_ns, usage, capacity) of the phases of ``rule_steps``.
 
-    The phases meet the steps of their rules, and need no further merging: neighbouring steps differ.
+    The phases meet the steps of their rules, and need no further merging: neighbouring steps differ. Tasks have so few
+    phases that a Parquet file of their rows holds each path once, in its dictionary of 1 MB.
     """
-    taken = overlaps(spans, steps, ["metric_path", "rule"])
+    taken = overlaps(spans, steps, ["metric_path", "rule"], LEAVES)
     return taken.select("metric_path", "phase_path", "start_ns", "end_ns", "usage", "capacity")
 
 

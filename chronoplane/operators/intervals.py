@@ -58,13 +58,40 @@ def bucket_width(left: DataFrame, right: DataFrame, eager: bool = False) -> Colu
     return _only_value(both.agg(F.coalesce(F.nullif(F.greatest(mean(0), mean(1), F.max("d") / F.lit(512.0)), F.lit(0.0)), F.lit(1.0)).alias("width")), eager)
 
 
-def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]] = (), width: float | Column | None = None, eager: bool = False) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], most: int, left_order: Sequence[str], right_order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join, with one more key to join on: __lp of the left side, __rp of the right one.
+
+    Keys with more than ``most`` left rows are split into pieces with about as many, each of which meets all right rows of
+    its key. Left rows that are equal in the order given stay together, but if they are very many, an eighth of the
+    key's pieces holds them. Pieces are dealt to so many tasks that one has about twice ``most`` left rows, in order.
+    """
+    sizes = left.groupBy(*_cols(left_keys)).agg(F.count(F.lit(1)).alias("__n"))
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("__n")).first()[0] or 0) // (2 * most)))
+    pieces = F.ceil(F.col("__n") / F.lit(most)).alias("__pieces")
+    # One row for ``most`` left rows at most.
+    large = F.broadcast(sizes.filter(F.col("__n") > most).select(*(F.col(q(k)).alias(f"__large{i}") for i, k in enumerate(left_keys)), pieces))
+    out = []
+    for df, keys, name, order in ((left, left_keys, "__lp", left_order), (right, right_keys, "__rp", right_order)):
+        same = reduce(lambda x, y: x & y, [F.col(q(k)) == F.col(f"__large{i}") for i, k in enumerate(keys)])
+        of = F.coalesce("__pieces", F.lit(1))
+        if name == "__lp":
+            apart = F.pmod(F.xxhash64(*_cols(df.columns)), F.ceil(of / F.lit(8)))
+            piece = F.pmod(F.pmod(F.xxhash64(*_cols(order)), of) + apart, of)
+        else:
+            piece = F.explode(F.sequence(F.lit(0).cast("long"), of - 1))
+        df = df.join(large, same, "left").select(*_cols(df.columns), piece.alias(name))
+        out.append(df.repartition(tasks, *_cols([*keys, name])).sortWithinPartitions(*_cols([*keys, name, *order])))
+    return out[0], out[1]
+
+
+def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column, Column]] = (), width: float | Column | None = None, eager: bool = False, most: int | None = None) -> DataFrame:
     """Pairs of rows that overlap and agree ``on`` pairs of expressions; valid over the intersection.
 
     Output: the reserved columns, then the other columns of left and right, whose names must not clash. Intervals
     that only touch do not join. Both sides are dealt into time buckets of ``width`` seconds (by default chosen from
     their durations), which are part of the join key, so rows that share a key, or all rows where there is none, are
-    not all paired; a pair counts in the bucket where the later of the two starts.
+    not all paired; a pair counts in the bucket where the later of the two starts. With ``most``, which runs a job, tasks
+    have about twice as many rows of the left side, by key, bucket and time.
     """
     require_columns(left, (START, END))
     require_columns(right, (START, END))
@@ -84,6 +111,10 @@ def temporal_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[Column,
     for i in range(len(on)):
         same &= F.col(f"__l{i}") == F.col(f"__r{i}")
     same &= (F.col("__lb") == F.col("__rb")) & (F.col("__lb") == F.floor(F.greatest("__ls", "__rs") / width))
+    if most is not None:
+        keys = [[f"__{tag}{i}" for i in [*range(len(on)), "b"]] for tag in "lr"]
+        a, b = dealt(a, b, *keys, most, ["__ls", "__le"], ["__rs", "__re"])
+        same &= F.col("__lp") == F.col("__rp")
     s, e = F.greatest("__ls", "__rs"), F.least("__le", "__re")
     return a.join(b, same).select(s.alias(START), e.alias(END), (e - s).alias(DURATION), *_cols(names[0] + names[1]))
 

@@ -98,6 +98,30 @@ def test_leaves_come_by_time_and_phases_are_written_once(spark, dense, monkeypat
     compare(out, dense, ORACLES["attribution_leaf"])
 
 
+def test_leaves_are_laid_out_in_small_tasks(spark, dense, monkeypatch):
+    """No task of the result has many more phases than others, though most phases are of one metric, and a phase's rows lie together."""
+    monkeypatch.setattr(att, "LEAVES", 64, raising=False)
+    out = workloads.queries()["attribution_leaf"](spark, dense)
+    by_task = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("phase_path").alias("n")).collect()
+    phases = workloads.attribution_inputs(spark, dense)[1].count()
+    assert len(by_task) > phases / 256 and max(r.n for r in by_task) < 6 * 64, by_task
+    assert compare(out, dense, ORACLES["attribution_leaf"]) > 10 * phases
+
+
+def test_joins_in_pieces(spark):
+    """A key with many rows, most of them equal in time, in pieces: the same pairs as without, and no task with most rows."""
+    rnd = random.Random(5)
+    rows = [("a", 10.0, 40.0, i) for i in range(900)] + [(rnd.choice(["a", "b", None]), s, s + rnd.choice([0.0, 3.0, 50.0]), i) for i in range(300) for s in [float(rnd.randrange(90))]]
+    left = spark.createDataFrame(rows, "k string, _start_time double, _end_time double, i long")
+    right = spark.createDataFrame([(k, float(5 * n), 5.0 * n + 5, n) for k in "ab" for n in range(30)], "j string, _start_time double, _end_time double, n long")
+    pairs = lambda df: sorted(map(str, map(tuple, df.collect())))
+    on = [(F.col("k"), F.col("j"))]
+    got = iv.temporal_join(left, right, on, eager=True, most=20)
+    assert pairs(got) == pairs(iv.temporal_join(left, right, on)) != []
+    sizes = [r.c for r in got.groupBy(F.spark_partition_id()).agg(F.count_distinct("i").alias("c")).collect()]
+    assert max(sizes) < 400 and len(sizes) > 8, sizes
+
+
 def test_sums_over_overlaps_make_no_pairs(spark):
     """Counts and sums over all pairs that overlap, with ties, rows without length, nulls and infinite values, against brute force."""
     from chronoplane.plans.session import Session
