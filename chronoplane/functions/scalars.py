@@ -12,9 +12,10 @@ def _nan() -> Column:
 
 
 def ieee_div(a: Column, b: Column) -> Column:
-    """a / b on doubles with x/0 infinite and 0/0 not a number, in ANSI mode too."""
+    """a / b on doubles with x/0 infinite and 0/0 not a number, in ANSI mode too; no value where a or b has none."""
     return (
-        F.when(b != 0, F.try_divide(a, b))
+        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
+        .when(b != 0, F.try_divide(a, b))
         .when(F.isnan(a) | (a == 0), _nan())
         .when(a > 0, F.lit(float("inf")))
         .otherwise(F.lit(float("-inf")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoplane import workloads
 from chronoplane.analysis import attribution as att
+from chronoplane.functions.scalars import ieee_div
 from chronoplane.operators import intervals as iv
 from tests.oracle import TABLES, compare
 
@@ -31,6 +32,18 @@ def test_quotients_of_zero(spark, dense):
     assert compare(workloads.queries()["arithmetic"](spark, dense), dense, ORACLES["arithmetic"]) > 2_000
 
 
+def test_quotients_of_no_value(spark, dense, tmp_path):
+    """Events without a value have no quotient either, and what is divided by no value has none."""
+    some = tmp_path / "some"
+    some.mkdir()
+    for t in TABLES:
+        os.symlink(f"{dense}/{t}.parquet", some / f"{t}.parquet") if t != "events" else None
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 7 > 0 THEN value END AS value) FROM '{dense}/events.parquet') TO '{some}/events.parquet' (FORMAT parquet)")
+    assert compare(workloads.queries()["arithmetic"](spark, str(some)), str(some), ORACLES["arithmetic"]) > 2_000
+    row = spark.range(1).select(*(ieee_div(F.lit(a).cast("double"), F.lit(b).cast("double")).alias(n) for n, a, b in (("x", 1.0, None), ("y", None, 0.0), ("z", 1.0, 0.0)))).first()
+    assert tuple(row) == (None, None, float("inf"))
+
+
 def test_means_above_the_limit_are_kept(spark, dense):
     compare(workloads.queries()["upsample_totals"](spark, dense), dense, ORACLES["upsample_totals"])
     hours, _ = workloads.attribution_inputs(spark, dense)
